@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import encoder
+from lodestone.llm.bpe import Encoder, encoder
 from lodestone.storage import materialize
 
 HASHED, DIMS, BITS = 512, 3, 7  # buckets of the vector, projected numbers, bits of a coordinate
@@ -64,19 +64,25 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(1).normal(size=(HASHED, DIMS))
 
 
+def _stored(coder: Encoder) -> str:
+    """How ids are kept until they are cut: two bytes each where the vocabulary allows it."""
+    return "<u2" if max(coder.bytes_of) < 1 << 16 else "<u4"
+
+
 def tokens(docs: DataFrame, end_id: int = 1, path: str | None = None) -> DataFrame:
-    """doc_id, ids (unsigned 32-bit, little-endian, end_id last), n, mix (a hash of ids and doc_id), p0.. (projected vector)."""
+    """doc_id, ids (little-endian, as _stored says, end_id last), n, mix (a hash of ids and doc_id), p0.. (projected vector)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, matrix = encoder(path, by_library=True), _projection()
+        stored = _stored(coder)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, n, mix, points = [], [], [], np.zeros((len(texts), DIMS))
             for i, x in enumerate(coder.encode(texts)):
-                own = np.append(x, np.uint32(end_id)).astype("<u4")
+                own = np.append(x, np.uint32(end_id))
                 vector = np.bincount(own * np.uint32(2654435761) >> np.uint32(23), minlength=HASHED).astype(float)
                 points[i] = vector @ matrix / np.linalg.norm(vector)
-                ids.append(own.tobytes())
+                ids.append(own.astype(stored).tobytes())
                 n.append(len(own))
                 mix.append(zlib.crc32(ids[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(mix, pa.int64()), *(pa.array(points[:, k], pa.float64()) for k in range(DIMS))], ["doc_id", "ids", "n", "mix", *(f"p{k}" for k in range(DIMS))])
@@ -123,18 +129,19 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, path: str | None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = -1, 0
+        stored = _stored(encoder(path, by_library=True))
         for batch in batches:
             out: list[tuple] = []
             for bucket, doc, data in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
                 if bucket != now:
                     now, at = bucket, int(before[bucket])
-                data = memoryview(data.as_buffer())
-                size, start = len(data) // 4, 0
+                data = np.frombuffer(data.as_buffer(), stored).astype("<u4")
+                size, start = len(data), 0
                 while start < size:
                     sequence, offset = divmod(at, length)
                     n = min(size - start, length - offset)
-                    part = data[4 * start : 4 * (start + n)]
-                    out.append((doc, start, n, zlib.crc32(part), size, sequence, offset) + ((bytes(part),) if keep_ids else ()))
+                    part = data[start : start + n].tobytes()
+                    out.append((doc, start, n, zlib.crc32(part), size, sequence, offset) + ((part,) if keep_ids else ()))
                     start += n
                     at += n
             columns = list(zip(*out)) or [[] for _ in kinds]
