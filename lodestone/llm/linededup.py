@@ -78,8 +78,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     return bitmaps(dropped_lines(materialize(occurrences(docs, min_chars), "lines"), min_docs))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """All columns of docs with text (less its dropped lines), and n_lines, n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, counts: bool = True) -> DataFrame:
+    """All columns of docs with text (less its dropped lines), and n_lines, n_dropped if counts.
 
     Lines are what line feeds separate; a null or empty text has one empty line
     and becomes or stays empty. A key is a line stripped of white space at both
@@ -90,11 +90,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     n_lines and n_dropped replace others of these names. An empty table stays empty.
     """
     text = F.coalesce("text", F.lit(""))
-    left = docs.drop("n_lines", "n_dropped").withColumn("text", text).alias("d")
+    left = (docs.drop("n_lines", "n_dropped") if counts else docs).withColumn("text", text).alias("d")
     marks = keep_bitmaps(docs, min_chars, min_docs).alias("m")
     joined = left.join(marks, F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64("d.text") == F.col("m.th")), "left")
     dropped, lines = F.col("m.dropped"), F.split(F.col("d.text"), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~_dropped(dropped, i)), "\n")
     count = F.aggregate(F.map_values(dropped), F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x))
     columns = [F.when(dropped.isNull(), F.col("d.text")).otherwise(kept).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in left.columns]
+    if not counts:
+        return joined.select(*columns)
     return joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(count, F.lit(0).cast("long")).alias("n_dropped"))

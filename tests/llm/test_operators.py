@@ -1,0 +1,248 @@
+"""The training-data operators against brute force, with odd rows: null, empty, repeated, long, tied, and clashing columns."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, imatch, langid, licenses, linededup, packing, pii, quality, simhash, substrings
+
+WHITE = " \t\n\x0b\x0c\r"
+EDGE = [
+    (-1, None), (-2, ""), (-3, "AÉ b\r\n" * 3), (-4, "x" * 50 + "\n" + " é" * 30000), (-5, "don't <|endoftext|> it's\n\n  日本 ①"),
+    (-6, "mail a.b@c.de, x@y 1.2.3.4 999.1.1.1 é 4845168114407329! +1 (017) 555-7713 and+49 30 123456789."), (-7, "token = \"cb1a9fee807a05366fcb8b6c95c7c565ede51a72\" 🎉 a@b-c.d.e.."),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(i, t, None, None, 0) for i, t in EDGE], base.schema)
+    extra = [F.lit("clash").alias(c) for c in ("h1", "fp", "n_lines", "component", "key", "bucket", "m", "removed", "base")]
+    return base.unionByName(odd).select("*", *extra).cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_path())
+
+
+def lower(s):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
+
+
+def words(s):
+    return re.findall(r"[^\x20\x09-\x0D]+", s)
+
+
+def test_packing(docs, texts, tokenizer):
+    rows = packing.pack(docs).collect()
+    by, used = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+        used[r.sequence_id].append((r.offset, r.length))
+    for d, text in texts.items():
+        ids, at = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4"), 0
+        for r in sorted(by[d], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    for k, spans in used.items():
+        ends = [0, *(o + n for o, n in sorted(spans))]
+        assert [o for o, _ in sorted(spans)] == ends[:-1]
+        assert ends[-1] == 2048 or k == max(used)
+
+
+def test_hilbert_curve_visits_neighbours():
+    cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
+    key = packing.hilbert_key(cells, 3)
+    assert sorted(key) == list(range(512))
+    assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(1) == 1).all()
+
+
+def test_line_dedup(docs, texts):
+    key = lambda line: lower(line.strip(WHITE))
+    held = collections.defaultdict(set)
+    for d, x in texts.items():
+        for line in x.split("\n"):
+            held[key(line)].add(d)
+    gone = lambda d, k: len(k) >= 40 and len(held[k]) >= 3 and max(held[k]) != d
+    for r in linededup.dedup_lines(docs, min_docs=3).collect():
+        lines = texts[r.doc_id].split("\n")
+        kept = [x for x in lines if not gone(r.doc_id, key(x))]
+        assert (r.n_lines, r.n_dropped, r.text) == (len(lines), len(lines) - len(kept), "\n".join(kept))
+
+
+def test_hot_line(spark):
+    hot = "the same very long line of text, over and over again in all of them"
+    rows = [(i, f"{hot}\nline of its own number {i} that is long enough to count too\n{hot.upper()}") for i in range(3000)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_dropped for r in got) == 2 * 2999 and next(r for r in got if r.doc_id == 2999).n_dropped == 0
+
+
+def test_line_repeated_within_documents_counts_them_once(spark):
+    line = "a line of more than forty code points, repeated within a document"
+    rows = [(i, "\n".join([line] * 9)) for i in range(4)]
+    assert all(r.n_dropped == 0 for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_simhash(docs, texts):
+    prints = {}
+    for d, x in texts.items():
+        w = words(lower(x))
+        parts = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] * bool(w)
+        h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+        prints[d] = sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+    root = {d: d for d in prints}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in prints:
+        for b in prints:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    for r in simhash.near_duplicates(docs).collect():
+        assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", find(r.doc_id))
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(docs.unionByName(docs)).collect()]
+    assert sorted(kept) == sorted(d for d in prints if find(d) == d)
+
+
+def test_chains_of_fingerprints_are_one_component(spark):
+    prints = spark.createDataFrame([(sum(3 << (2 * j) for j in range(i)),) for i in range(20)] + [(1 << 62,)], "fp long")
+    from lodestone.operators.components import connected_components
+
+    assert {r.component for r in connected_components(simhash.links(prints)).collect()} == {0}
+
+
+def test_quality(docs, texts):
+    for r in quality.score(docs).collect():
+        x, w = texts[r.doc_id], words(texts[r.doc_id])
+        count = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {j for i in range(len(w) - 7) if count[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [line for line in x.split("\n") if words(line)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
+
+
+def test_imatch(docs, texts):
+    ids = sorted(texts, reverse=True)
+    rows = imatch.fingerprint_edits(docs).collect()
+    prints = {}
+    for r in rows:
+        x, y = texts[r.doc_id], texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        m = len(x) // 3
+        edited = x[: len(x) - m] + y[:m]
+        assert (r.n_chars, r.edited_sha256) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert prints.setdefault(x, r.fingerprint) == r.fingerprint
+    assert len(rows) == len(texts) and np.mean([r.near_edited for r in rows]) > 5 * np.mean([r.near_next for r in rows])
+
+
+def test_hash_table_answers_exactly():
+    rng = np.random.default_rng(0)
+    keys = rng.integers(-(1 << 63), 1 << 63, 5000).tolist()
+    table = imatch.hash_table(keys)
+    size = len(table)
+    held = lambda h: table[h & (size - 1)] == h or table[h >> 32 & (size - 1)] == h
+    assert all(map(held, keys)) and not any(held(h) for h in [*range(3000), *rng.integers(-(1 << 63), 1 << 63, 3000).tolist()] if h not in set(keys))
+
+
+def test_bpe(docs, texts, tokenizer):
+    for r in bpe.encode_decode(docs).collect():
+        ids = tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_on_random_text(tokenizer):
+    import random
+
+    rng, coder = random.Random(3), bpe.encoder()
+    odd = ["".join(rng.choice("ab'stvremdl \n\t  1!é日 \x1c") for _ in range(rng.randrange(60))) for _ in range(1500)]
+    for text, ids in zip(odd, coder.encode(odd)):
+        assert tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist()
+        assert coder.decode(ids) == text
+
+
+def test_substring_dedup(docs, texts):
+    first, gone = set(), collections.defaultdict(set)
+    for d in sorted(texts):
+        parts = substrings.sentences(texts[d])
+        assert "".join(parts) == texts[d]
+        for i, j, *_ in sorted(substrings.spans(texts[d])):
+            key = " ".join(" ".join(parts[i:j]).lower().split())
+            if key in first:
+                gone[d] |= set(range(i, j))
+            first.add(key)
+    for r in substrings.dedup_spans(docs).collect():
+        parts = substrings.sentences(texts[r.doc_id])
+        assert (r.n_removed, r.text) == (len(gone[r.doc_id]), "".join(s for k, s in enumerate(parts) if k not in gone[r.doc_id]))
+
+
+def test_language_id(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: r.lang for r in rows.collect()}
+    odd = spark.createDataFrame([(-1, None, "en", None, 0), (-2, "12 !", "en", None, 0)], rows.schema)
+    got = langid.identify(rows.unionByName(odd)).collect()
+    held = [r for r in got if r.held_out and r.doc_id >= 0]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.98
+    assert {(r.lang_pred, r.score) for r in got if r.doc_id < 0} == {("und", 0.0)}
+    assert {r.lang_pred for r in langid.identify(rows.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def luhn(s):
+    d = [int(c) for c in re.sub("[^0-9]", "", s)]
+    return 12 <= len(d) <= 19 and sum(v * (1 + i % 2) - 9 * (v * (1 + i % 2) > 9) for i, v in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pii(docs, texts):
+    checks = [(pii.EMAIL, lambda s: True), (pii.IP, lambda s: all(int(p) <= 255 for p in s.split("."))), (pii.CARD, luhn), (pii.PHONE, lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15)]
+    model = pii.train(docs)
+    for r in pii.find(docs, model).collect():
+        base = sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(checks) for m in re.finditer(p, texts[r.doc_id]) if ok(m.group()))
+        told = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in base) for j in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest() and set(told) <= set(r.spans.split(",")) | {""}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[-1] is None and clean[-6].startswith("mail [email], x@y [ip] 999.1.1.1 é [card]! [phone] and[phone].")
+
+
+def test_licenses(spark):
+    said = {1: "Released under the MIT License.", 2: "A driving licence is required.", 3: None, 4: "x\nLicensed under CC BY-NC 4.0.", 5: "Licensed under the Apache License, Version 2.0."}
+    rows = spark.createDataFrame(list(said.items()), "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licenses.scan(rows).collect()}
+    assert got == {1: ["mit"], 2: [], 3: [], 4: ["cc-by-nc"], 5: ["apache"]}
+
+
+@pytest.mark.parametrize("f", [packing.pack, linededup.dedup_lines, licenses.scan, simhash.near_duplicates, quality.score, imatch.fingerprint_edits, bpe.encode_decode, substrings.dedup_spans, langid.identify, pii.find, pii.redact, langid.keep_identified])
+def test_empty_table(docs, f):
+    assert f(docs.limit(0)).count() == 0
+
+
+def test_pipeline(spark, docs):
+    import corpus_pipeline
+
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, now, "").cache()
+        assert after.columns == docs.columns, name
+        now = after
+    assert {-1, -2}.isdisjoint({r.doc_id for r in now.collect()})
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() > 0
