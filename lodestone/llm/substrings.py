@@ -4,8 +4,8 @@ A text is cut into sentences (an ending mark or a line break closes one). Spans
 are runs of consecutive sentences with at least min_words words: from every
 sentence the shortest such run that begins there, and to every sentence the
 shortest that ends there, so a repeated passage is covered to both ends.
-Spans are compared by 96 bits of hash of their sentences' keys (lower-cased,
-white space collapsed). The first occurrence of a span by document and position
+Spans are joined globally by 96 bits of hash of their sentences' keys
+(lower-cased, white space collapsed), as a merge of one range-partitioned sort. The first occurrence of a span by document and position
 stays; sentences that a later occurrence covers go.
 """
 
@@ -14,9 +14,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.storage import materialize
@@ -64,15 +65,81 @@ def spans(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, in
 
 
 def _span_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    names = ["doc_id", "th", "i", "j", "h", "g"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("h", pa.int64()), ("g", pa.int32())]))
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32()]
         for batch in batches:
-            found = [[dict(zip("ijhg", x)) for x in spans(t, min_words)] if t else [] for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["doc_id", "th", "spans"])
+            whose: list[int] = []
+            found: list[tuple[int, int, int, int]] = []
+            for row, text in enumerate(batch.column(2).to_pylist()):
+                each = spans(text, min_words) if text else []
+                whose += [row] * len(each)
+                found += each
+            at = pa.array(whose, pa.int64())
+            flat = [pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 4, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *flat], names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    each = rows.mapInArrow(run, "doc_id long, th long, spans array<struct<i:int,j:int,h:long,g:int>>")
-    return each.select("doc_id", "th", F.explode("spans").alias("s")).select("doc_id", "th", "s.*")
+    return rows.mapInArrow(run, "doc_id long, th long, i int, j int, h long, g int")
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One partition of the spans in the order of hash and place.
+
+    Yields the spans that follow another place of their hash (edge false), and as
+    edges the first place of the partition's first hash and of its last one: what
+    earlier partitions hold can only change the former.
+    """
+    names = ["edge", "lead", "h", "g", "doc_id", "th", "i", "j"]
+    first = None  # row of the first place of the hash at hand, as Arrow
+    lead = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {n: batch.column(batch.schema.get_field_index(n)) for n in names[2:]}
+        n = batch.num_rows
+        key = [cols["h"].to_numpy(), cols["g"].to_numpy()]
+        nil = np.asarray(cols["doc_id"].is_null())
+        place = [nil, cols["doc_id"].fill_null(0).to_numpy(), cols["th"].to_numpy(), cols["i"].to_numpy()]
+        new = np.ones(n, bool)
+        new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
+        if first is not None:
+            new[0] = (key[0][0], key[1][0]) != first[0]
+        starts = np.maximum.accumulate(np.where(new, np.arange(n), -1))  # -1: the hash began in an earlier batch
+        other = np.zeros(n, bool)
+        for k, c in enumerate(place):
+            base = c[np.maximum(starts, 0)]
+            if first is not None:
+                base = np.where(starts < 0, first[1][k], base)
+            other |= c != base
+        at = pa.array(np.flatnonzero(other))
+        size = len(at)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(size, bool)), pa.array(np.zeros(size, bool)), *[cols[c].take(at) for c in names[2:]]], names)
+        if starts[-1] >= 0:
+            k = int(starts[-1])
+            first = ((key[0][k], key[1][k]), [c[k] for c in place], [cols[c].slice(k, 1) for c in names[2:]])
+        if lead:
+            yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([True]), *[cols[c].slice(0, 1) for c in names[2:]]], names)
+            lead = False
+    if first is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([False]), *first[2]], names)
+
+
+def repeated_spans(table: DataFrame) -> DataFrame:
+    """doc_id, th, i, j of the spans (of _span_rows) that are not at the first place of their hash.
+
+    The table meets itself in one global sort by hash and place: a hash that a
+    large share of the documents hold goes over many partitions, as its places
+    differ. Two rows for each partition settle the hashes on the borders.
+    """
+    order = ["h", "g", F.asc_nulls_last("doc_id"), "th", "i"]
+    kinds = "edge boolean, lead boolean, h long, g int, doc_id long, th long, i int, j int"
+    met = materialize(table.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_meet, kinds), "repeats")
+    place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th", "i")
+    edges = met.where("edge").withColumn("first", F.min(place).over(Window.partitionBy("h", "g")))
+    late = edges.where(F.col("lead") & (place != F.col("first")))
+    return met.where("not edge").select("doc_id", "th", "i", "j").unionByName(late.select("doc_id", "th", "i", "j"))
 
 
 def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -84,10 +151,7 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     returned alike. A document none of whose sentences repeat keeps its text to
     the letter. An empty table gives an empty result; other columns play no part.
     """
-    table = materialize(_span_rows(docs, min_words), "spans")
-    place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th", "i")
-    firsts = table.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "g", "first")
-    later = table.join(firsts, ["h", "g"]).where(place != F.col("first"))
+    later = repeated_spans(materialize(_span_rows(docs, min_words), "spans"))
     gone = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("i", "j"))).alias("removed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -195,6 +195,25 @@ def test_substring_dedup(docs, texts):
         assert (r.n_removed, r.text) == (len(gone[r.doc_id]), "".join(s for k, s in enumerate(parts) if k not in gone[r.doc_id]))
 
 
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_repeated_spans_over_partitions(spark, parts):
+    """A hash whose places fill many partitions, repeated rows and a null doc_id."""
+    rows = [(d, d or 7, i, i + 1, 5 if d is None or d % 3 else 6 + d % 2, i % 2) for d in [*range(400), 3, 3, None] for i in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, th long, i int, j int, h long, g int")
+    place = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    first = {}
+    for r in rows:
+        first[r[4:]] = min(first.get(r[4:], place(r)), place(r))
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {tuple(r) for r in substrings.repeated_spans(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {r[:4] for r in rows if place(r) != first[r[4:]]}
+
+
 def test_language_id(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in rows.collect()}
