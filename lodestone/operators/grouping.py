@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,20 +18,37 @@ def duplicate_counts(rows: DataFrame, content: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_distinct(content).alias("distinct_contents"), (F.count("*") - F.count_distinct(content)).alias("surplus"))
 
 
-def hamming_edges(rows: DataFrame, key: str, bits: str, radius: int = 4) -> DataFrame:
-    """a < b, distance of the pairs of rows whose 64-bit numbers differ in at most radius bits.
+def simhash_bits(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """by, bits: the 64-bit number whose bits are set in over half of the group's values (nulls left out; 0 without values).
 
-    radius + 1 bands of bits: such a pair is equal in one of them, so an equality
-    join on (band, its bits) finds all; pairs are verified and then made distinct.
+    Sums of the 64 bits are aggregated before the shuffle, so it carries a row for each group.
     """
-    bands = radius + 1
-    width = -(-64 // bands)
-    part = lambda b: F.call_function("shiftrightunsigned", F.col(bits), b * width).bitwiseAND((1 << width) - 1)
-    banded = rows.select(F.col(key).alias("id"), F.col(bits).alias("h"), F.posexplode(F.array(*[part(F.lit(b)) for b in range(bands)])).alias("band", "part"))
-    left, right = banded.alias("l"), banded.alias("r")
-    met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.id") < F.col("r.id")))
+    sums = rows.groupBy(*by).agg(F.count(value).alias("_n"), *[F.sum(F.getbit(F.col(value), F.lit(k)).cast("long")).alias(f"_{k}") for k in range(64)])
+    bit = [F.when(2 * F.col(f"_{k}") > F.col("_n"), F.lit((1 << k) - (1 << 64 if k == 63 else 0))).otherwise(F.lit(0)).cast("long") for k in range(64)]
+    return sums.select(*by, reduce(lambda x, y: x.bitwiseOR(y), bit).alias("bits"))
+
+
+def hamming_edges(rows: DataFrame, key: str, bits: str, radius: int = 4, spare: int = 2) -> DataFrame:
+    """a < b, distance: pairs of class representatives at most radius bits apart, and membership at distance 0.
+
+    A class is the rows of one number; its smallest key represents it and is tied
+    to each other member, so copies cost a row each and never their square. The
+    representatives are cut into radius + spare bands of bits: those within the
+    radius agree in some set of spare bands, so an equality join on (set, its
+    bits) finds all; pairs are verified and then made distinct.
+    """
+    cuts = [64 * b // (radius + spare) for b in range(radius + spare + 1)]
+    bands = [(1 << high) - (1 << low) for low, high in zip(cuts, cuts[1:])]
+    masks = [sum(c) for c in combinations(bands, spare)]
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+    classes = rows.groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("id"))
+    keyed = classes.select("id", "h", F.posexplode(F.transform(masks, lambda m: F.col("h").bitwiseAND(m))).alias("set", "part"))
+    left, right = keyed.alias("l"), keyed.alias("r")
+    met = left.join(right, (F.col("l.set") == F.col("r.set")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.id") < F.col("r.id")))
     distance = hamming(F.col("l.h"), F.col("r.h")).cast("int")
-    return met.where(distance <= radius).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), distance.alias("distance")).distinct()
+    near = met.where(distance <= radius).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), distance.alias("distance")).distinct()
+    members = rows.select(F.col(bits).alias("h"), F.col(key).alias("b")).join(classes, "h").where("id <> b")
+    return near.unionByName(members.select(F.col("id").alias("a"), "b", F.lit(0).alias("distance")))
 
 
 def duplicate_groups(rows: DataFrame, key: str, content: str, edges: DataFrame) -> DataFrame:

@@ -61,13 +61,20 @@ def hash_coin_flip(spark, d):
 
 
 def content_bits(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, content, bits: a 64-bit number that near copies nearly share (parity of hashed lines' digits)."""
-    docs = table(spark, d, "documents")
-    content = F.sha2(F.substring("text", 1, 200), 256)
-    return docs.select("doc_id", F.sha2("text", 256).alias("content"), F.conv(F.substring(content, 1, 16), 16, -10).cast("long").alias("bits"))
+    """doc_id, content, bits: SimHash of the words of the whole text (0 without words)."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content"), F.translate("text", _UPPER, _UPPER.lower()).alias("t"))
+    words = docs.select("doc_id", "content", F.explode_outer(F.filter(F.split("t", " "), lambda w: w != "")).alias("w"))
+    hashed = words.select("doc_id", "content", F.conv(F.substring(F.sha2("w", 256), 1, 16), 16, -10).cast("long").alias("v"))
+    return grouping.simhash_bits(hashed, "v", "doc_id", "content")
 
 
-_BITS = "SELECT doc_id, sha256(text) AS content, ('0x' || substr(sha256(substr(text, 1, 200)), 1, 16))::UBIGINT AS bits FROM documents"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BITS = f"""SELECT doc_id, content, {" | ".join(f"(CASE WHEN 2 * sum((v >> {k}) & 1) > count(v) THEN {1 << k}::UBIGINT ELSE 0::UBIGINT END)" for k in range(64))} AS bits FROM (
+ SELECT doc_id, content, ('0x' || substr(sha256(w), 1, 16))::UBIGINT AS v FROM (SELECT doc_id, content, unnest(CASE WHEN len(ws) > 0 THEN ws ELSE [NULL] END) AS w FROM (
+ SELECT doc_id, sha256(text) AS content, list_filter(string_split(coalesce(translate(text, '{_UPPER}', '{_UPPER.lower()}'), ''), ' '), lambda x: x <> '') AS ws FROM documents))) GROUP BY doc_id, content"""
+_EDGES = f"""b AS MATERIALIZED ({_BITS}), c AS MATERIALIZED (SELECT bits, min(doc_id) AS rep FROM b GROUP BY 1), e AS MATERIALIZED (
+ SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, bit_count(xor(x.bits, y.bits))::INT AS distance FROM c x JOIN c y ON x.bits < y.bits AND bit_count(xor(x.bits, y.bits)) <= 4
+ UNION ALL SELECT rep, doc_id, 0 FROM b JOIN c USING (bits) WHERE rep <> doc_id)"""
 
 
 @query("SELECT count(*) AS n, count(DISTINCT sha256(text)) AS distinct_contents, count(*) - count(DISTINCT sha256(text)) AS surplus FROM documents")
@@ -75,13 +82,14 @@ def exact_duplicates(spark, d):
     return grouping.duplicate_counts(table(spark, d, "documents").select(F.sha2("text", 256).alias("content")), "content")
 
 
-@query(f"WITH b AS ({_BITS}) SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.bits, y.bits))::INT AS distance FROM b x JOIN b y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.bits, y.bits)) <= 4")
+@query(f"WITH {_EDGES} SELECT a, b, distance FROM e")
 def neardup_edges(spark, d):
     return grouping.hamming_edges(content_bits(spark, d), "doc_id", "bits", 4)
 
 
-@query(f"""WITH b AS ({_BITS}), g AS (SELECT doc_id, content, min(doc_id) OVER (PARTITION BY bits) AS group_key FROM b),
- h AS (SELECT group_key, sha256(string_agg(content, chr(10) ORDER BY content)) AS group_id FROM g GROUP BY 1) SELECT doc_id, g.group_key, group_id FROM g JOIN h USING (group_key)""")
+@query(f"""WITH RECURSIVE {_EDGES}, s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e UNION ALL SELECT x.doc_id, y.doc_id FROM b x JOIN b y ON x.content = y.content AND x.doc_id <> y.doc_id),
+ r AS (SELECT doc_id, doc_id AS root FROM b UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.doc_id), g AS (SELECT doc_id, min(root) AS group_key FROM r GROUP BY 1),
+ h AS (SELECT group_key, sha256(coalesce(string_agg(content, chr(10) ORDER BY content), '')) AS group_id FROM g JOIN b USING (doc_id) GROUP BY 1) SELECT doc_id, group_key, group_id FROM g JOIN h USING (group_key)""")
 def dup_components(spark, d):
     rows = content_bits(spark, d)
     return grouping.duplicate_groups(rows, "doc_id", "content", grouping.hamming_edges(rows, "doc_id", "bits", 4))

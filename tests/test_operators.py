@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,22 @@ def test_hamming_edges(spark):
     assert sorted(tuple(r) for r in grouping.hamming_edges(rows, "id", "h").collect()) == [(0, 1, 4), (1, 2, 1)]
 
 
+def test_hamming_edges_ties_copies_to_one(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    values = [v ^ sum(1 << b for b in rng.sample(range(64), k)) for v in base for k in (0, 0, 1, 3, 5)]
+    rows = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "id long, h long")
+    first = {v: i for i, v in reversed(list(enumerate(values)))}
+    want = {(first[v], i, 0) for i, v in enumerate(values) if first[v] != i}
+    want |= {(min(i, j), max(i, j), (v ^ w).bit_count()) for v, i in first.items() for w, j in first.items() if i < j and (v ^ w).bit_count() <= 4}
+    assert sorted(tuple(r) for r in grouping.hamming_edges(rows, "id", "h").collect()) == sorted(want)
+
+
+def test_simhash_bits(spark):
+    rows = spark.createDataFrame([(1, -1), (1, 0), (1, 5), (2, -(1 << 63)), (3, None)], "k int, v long")
+    assert {r.k: r.bits for r in grouping.simhash_bits(rows, "v", "k").collect()} == {1: 5, 2: -(1 << 63), 3: 0}
+
+
 def test_split_keeps_groups_whole(spark):
     rows = spark.createDataFrame([(i, f"g{i // 3}", i % 2) for i in range(300)], "i int, g string, y int")
     out = grouping.grouped_split(rows, "g", "y", {"train": 0.6, "test": 0.4})
