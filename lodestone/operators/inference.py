@@ -1,12 +1,16 @@
 """Resampling, paired tests and corrections for many tests."""
 
-from __future__ import annotations
+import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lodestone.functions import ids
 from lodestone.operators.metrics import midranks
+from lodestone.operators.ordering import numbered
+from lodestone.storage import materialize
 
 
 def paired(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -30,8 +34,8 @@ def cluster_bootstrap(rows: DataFrame, group: str, value: str, replicates: int =
     A replicate's mean is a ratio of weighted sums over groups, so replicates meet
     one row for each group and never the rows.
     """
-    sums = rows.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    ordered = sums.withColumn("number", F.row_number().over(Window.orderBy(group)) - 1)
+    sums = rows.groupBy(F.col(group).alias("_group")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    ordered = numbered(sums, "_group")
     means = draws(sums, replicates, seed).join(ordered, "number").groupBy("replicate").agg((F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("n"))).alias("m"))
     low = (1 - confidence) / 2
     ends = means.agg(F.percentile("m", F.array(F.lit(low), F.lit(1 - low))).alias("q"))
@@ -39,6 +43,46 @@ def cluster_bootstrap(rows: DataFrame, group: str, value: str, replicates: int =
     return whole.join(F.broadcast(ends)).select("estimate", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), "groups")
 
 
+def clustered_ap(rows: DataFrame, group: str, target: str, score: str, replicates: int = 20, confidence: float = 0.95, seed: int = 1) -> DataFrame:
+    """estimate, lower, upper, replicates of the average precision when whole groups are drawn.
+
+    Replicates of a single class are undefined and left out (replicates counts the
+    rest). They meet one row for each group and score, never the rows.
+    """
+    levels = rows.groupBy(F.col(group).alias("_group"), F.col(score).alias("s")).agg(F.sum(F.col(target).cast("long")).alias("pos"), F.count("*").alias("cnt"))
+    groups = materialize(numbered(levels.select("_group").distinct(), "_group"), "groups")
+    weights = draws(groups, replicates, seed).unionByName(groups.select(F.lit(-1).alias("replicate"), "number", F.lit(1).cast("long").alias("weight")))
+    each = levels.join(groups, "_group").join(weights, "number").groupBy("replicate", "s").agg(F.sum(F.col("weight") * F.col("pos")).alias("pos"), F.sum(F.col("weight") * F.col("cnt")).alias("cnt"))
+    running = Window.partitionBy("replicate").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = each.select("replicate", "pos", "cnt", F.sum("pos").over(running).alias("tp"), F.sum("cnt").over(running).alias("k"))
+    found = cum.groupBy("replicate").agg((F.sum(F.col("pos") * F.col("tp") / F.col("k")) / F.nullif(F.sum("pos"), F.lit(0))).alias("ap"), (F.sum("pos") < F.sum("cnt")).alias("both"))
+    drawn, low = F.when(F.col("both") & (F.col("replicate") >= 0), F.col("ap")), (1 - confidence) / 2
+    ends = F.percentile(drawn, F.array(F.lit(low), F.lit(1 - low)))
+    return found.agg(F.max(F.when(F.col("both") & (F.col("replicate") < 0), F.col("ap"))).alias("estimate"), ends[0].alias("lower"), ends[1].alias("upper"), F.count(drawn).alias("replicates"))
+
+
+def two_level_bootstrap(rows: DataFrame, seed_key: str, group: str, value: str, replicates: int = 20, confidence: float = 0.95, seed: int = 1) -> DataFrame:
+    """estimate, lower, upper of the mean of the seeds' means when seeds, then whole groups of a drawn seed, are drawn.
+
+    Seeds are few (a row of each is broadcast); groups may be many and never meet in one task.
+    """
+    sums = rows.groupBy(F.col(seed_key).alias("_seed"), F.col(group).alias("_group")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    placed = materialize(numbered(sums, "_seed", "_group", out="_at"), "groups")
+    seeds = placed.groupBy("_seed").agg(F.count("*").alias("_m"), F.min("_at").alias("_first"), (F.sum("s") / F.sum("n")).alias("_mean"))
+    seeds = materialize(seeds.withColumn("_pick", F.row_number().over(Window.orderBy("_seed")).cast("long") - 1), "seeds")
+    count, most = seeds.agg(F.count("*"), F.max("_m")).first()
+    cells = rows.sparkSession.range(most or 0).select(F.col("id").alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(max(replicates * count, 1) - 1))).alias("_c"))
+    cells = cells.select("_i", F.expr(f"_c DIV {max(count, 1)}").alias("replicate"), (F.col("_c") % max(count, 1)).alias("slot"))
+    cells = cells.withColumn("_pick", ids.choice(ids.digest(str(seed), "seed", F.col("replicate"), F.col("slot")), max(count, 1)))
+    drawn = cells.join(F.broadcast(seeds), "_pick").where("_i < _m")
+    at = F.col("_first") + ids.choice(ids.digest(str(seed), F.col("replicate"), F.col("slot"), F.col("_i")), F.col("_m"))
+    weights = drawn.select("replicate", "slot", at.alias("_at")).groupBy("replicate", "slot", "_at").agg(F.count("*").alias("w"))
+    means = weights.join(placed, "_at").groupBy("replicate", "slot").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+    low = (1 - confidence) / 2
+    ends = means.groupBy("replicate").agg(F.avg("m").alias("m")).agg(F.percentile("m", F.array(F.lit(low), F.lit(1 - low))).alias("q"))
+    return seeds.agg(F.avg("_mean").alias("estimate")).join(F.broadcast(ends)).select("estimate", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+
+
 def holm(rows: DataFrame, p: str, *by: str, alpha: float = 0.05) -> DataFrame:
     """rows with holm_p and holm_rejected; null p-values pass through and do not count."""
     return _corrected(rows, p, by, "holm", alpha)
@@ -61,8 +105,14 @@ def _corrected(rows: DataFrame, p: str, by: tuple[str, ...], name: str, level: f
     return done.unionByName(rows.where(F.col(p).isNull()), allowMissingColumns=True)
 
 
+@F.pandas_udf(DoubleType())
+def _two_sided(z: pd.Series) -> pd.Series:
+    """Normal tail on both sides; a row for each group, so nothing of size goes through Python."""
+    return z.map(lambda x: math.erfc(x / math.sqrt(2)), na_action="ignore").astype("float64")
+
+
 def wilcoxon(rows: DataFrame, difference: str, *by: str) -> DataFrame:
-    """n (without zeros), statistic, rank_biserial, p_value (two-sided, tie-corrected normal) by group; null without a nonzero difference."""
+    """n (without zeros), statistic, rank_biserial, z, p_value (two-sided, tie-corrected normal) by group; null without a nonzero difference."""
     moved = rows.where(F.col(difference) != 0).withColumn("_abs", F.abs(difference))
     ranked = midranks(moved, "_abs", "_rank", *by)
     side = lambda test: F.coalesce(F.sum(F.when(test, F.col("_rank"))), F.lit(0.0))
@@ -72,4 +122,4 @@ def wilcoxon(rows: DataFrame, difference: str, *by: str) -> DataFrame:
     n = F.col("n")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
     z = F.when(spread > 0, F.abs(F.col("up") - n * (n + 1) / 4.0) / spread)
-    return met.select(*by, "n", F.least("up", "down").alias("statistic"), ((F.col("up") - F.col("down")) / (n * (n + 1) / 2.0)).alias("rank_biserial"), z.alias("z"))
+    return met.select(*by, "n", F.least("up", "down").alias("statistic"), ((F.col("up") - F.col("down")) / (n * (n + 1) / 2.0)).alias("rank_biserial"), z.alias("z")).withColumn("p_value", _two_sided("z"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordering import before
+
 
 def top_unique(rows: DataFrame, unique: str, order: list[Column], k: int) -> DataFrame:
     """The first k rows in order, one for each value of unique."""
@@ -19,8 +21,7 @@ def pareto(rows: DataFrame, x: str, y: str) -> DataFrame:
     and exceeds every y of a better x. Only the best y of each x is compared.
     """
     best = rows.groupBy(x).agg(F.max(y).alias("_best"))
-    above = F.max("_best").over(Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("_above", above).where(F.col("_above").isNull() | (F.col("_best") > F.col("_above"))).select(x, F.col("_best").alias(y))
+    front = before(best, F.max, F.col("_best"), F.desc(x), out="_above").where(F.col("_above").isNull() | (F.col("_best") > F.col("_above"))).select(x, F.col("_best").alias(y))
     return rows.join(front, [x, y], "left_semi")
 
 

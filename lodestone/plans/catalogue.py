@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import ids
 from lodestone.functions import scalars as S
 from lodestone.operators import grouping, inference, metrics, pairs, reports
+from lodestone.sources import files, synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -181,6 +182,33 @@ def prob_kl(spark, d):
     return rows.select("vec_id", _no_zero(S.kl_divergence(F.col("p"), F.col("q"))).alias("kl"), S.valid_probabilities(F.col("p")).alias("valid"))
 
 
+@query(f"WITH {_pairs_sql()} SELECT vec_id, family, severity, round(entropy, 6) + 0.0 AS entropy, round(changed_entropy, 6) + 0.0 AS changed_entropy FROM pm")
+def prob_entropy(spark, d):
+    rows = pairs.pairs(spark, d)
+    return rows.select("vec_id", "family", "severity", _no_zero(S.entropy(F.col("p"))).alias("entropy"), _no_zero(S.entropy(F.col("q"))).alias("changed_entropy"))
+
+
+@query(f"WITH {_pairs_sql()} SELECT vec_id, family, severity, round(js, 6) + 0.0 AS js FROM pm")
+def prob_js(spark, d):
+    return pairs.pairs(spark, d).select("vec_id", "family", "severity", _no_zero(S.js_divergence(F.col("p"), F.col("q"))).alias("js"))
+
+
+@query(f"WITH {_pairs_sql()} SELECT vec_id, family, severity, round(cosine, 6) + 0.0 AS cosine FROM pm")
+def vec_cosine(spark, d):
+    return pairs.pairs(spark, d).select("vec_id", "family", "severity", _no_zero(S.cosine(F.col("e"), F.col("t"))).alias("cosine"))
+
+
+@query(f"""WITH {_pairs_sql()} SELECT family, count(*) AS n, round(avg(confidence_change), 6) + 0.0 AS mean_change, round(avg(abs(confidence_change)), 6) + 0.0 AS mean_absolute, round(quantile_cont(confidence_change, 0.5), 6) + 0.0 AS median_change,
+ round(avg((confidence_change > 0)::INT) FILTER (WHERE failure), 6) + 0.0 AS failures_more_confident FROM pm GROUP BY 1""")
+def confidence_summary(spark, d):
+    change = F.col("confidence_change")
+    found = _metrics(spark, d).groupBy("family").agg(
+        F.count("*").alias("n"), F.avg(change).alias("mean_change"), F.avg(F.abs(change)).alias("mean_absolute"), F.percentile(change, F.lit(0.5)).alias("median_change"),
+        F.avg(F.when(F.col("failure"), (change > 0).cast("double"))).alias("failures_more_confident"),
+    )
+    return found.select("family", "n", *[_no_zero(F.col(c)).alias(c) for c in found.columns[2:]])
+
+
 @query(f"""WITH {_pairs_sql()}, s AS (SELECT vec_id, family, ordinal, 1 - cosine AS far FROM pm) SELECT a.family, count(*) AS steps, count(*) FILTER (WHERE b.far + 1e-9 >= a.far) AS nested
  FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.family = b.family AND b.ordinal = a.ordinal + 1 GROUP BY a.family""")
 def severity_support(spark, d):
@@ -331,6 +359,24 @@ def average_precision(spark, d):
     return metrics.ranking(rows, "y", "s", "lang").select("lang", "n", "positives", "defined", "underpowered", r6("average_precision", "average_precision"), r6("auroc", "auroc"))
 
 
+@query(f"""WITH r AS ({_RANKED}), g AS (SELECT lang, count(*) AS n, sum(y)::BIGINT AS positives FROM r GROUP BY 1)
+ SELECT lang, n, positives, CASE WHEN positives = 0 OR positives = n THEN 'single target class' WHEN positives < 20 THEN 'underpowered' ELSE 'defined' END AS gate FROM g""")
+def detection_gate(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id").select("lang", (F.col("quality") == 0).cast("int").alias("y"), (F.col("n_chars") % 97).alias("s"))
+    gate = F.when(~F.col("defined"), "single target class").when(F.col("underpowered"), "underpowered").otherwise("defined")
+    return metrics.ranking(rows, "y", "s", "lang").select("lang", "n", "positives", gate.alias("gate"))
+
+
+@query(f"""WITH d AS (SELECT d.source, (l.quality = 0)::INT AS y, d.n_chars % 97 AS s FROM labels l JOIN documents d USING (doc_id)), g AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS number FROM d GROUP BY 1), k AS (SELECT count(*) AS m FROM g),
+ w AS (SELECT r.range AS replicate, (('0x' || substr(sha256('1' || chr(0) || r.range || chr(0) || i.range), 1, 16))::UBIGINT % k.m)::BIGINT AS number, count(*) AS weight FROM range(20) r, k, range(k.m) i GROUP BY 1, 2 UNION ALL SELECT -1, number, 1 FROM g),
+ x AS (SELECT replicate, s, sum(weight * y) AS pos, sum(weight) AS cnt FROM d JOIN g USING (source) JOIN w USING (number) GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER o AS tp, sum(cnt) OVER o AS n FROM x WINDOW o AS (PARTITION BY replicate ORDER BY s DESC)),
+ a AS (SELECT replicate, sum(pos * tp / n) / sum(pos) AS ap FROM c GROUP BY 1 HAVING sum(pos) > 0 AND sum(pos) < sum(cnt))
+ SELECT round(max(ap) FILTER (WHERE replicate < 0), 6) AS estimate, round(quantile_cont(ap, 0.025) FILTER (WHERE replicate >= 0), 6) AS lower, round(quantile_cont(ap, 0.975) FILTER (WHERE replicate >= 0), 6) AS upper, count(*) FILTER (WHERE replicate >= 0) AS replicates FROM a""")
+def clustered_ap_ci(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "doc_id").select("source", (F.col("quality") == 0).cast("int").alias("y"), (F.col("n_chars") % 97).alias("s"))
+    return inference.clustered_ap(rows, "source", "y", "s").select(*[r6(c, c) for c in ("estimate", "lower", "upper")], "replicates")
+
+
 @query("""WITH r AS (SELECT l_returnflag, rank() OVER a + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS x, rank() OVER b + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2 AS y FROM lineitem
  WINDOW a AS (PARTITION BY l_returnflag ORDER BY l_quantity), b AS (PARTITION BY l_returnflag ORDER BY l_discount)) SELECT l_returnflag, count(*) AS n, round(corr(x, y), 6) + 0.0 AS rho FROM r GROUP BY 1""")
 def spearman(spark, d):
@@ -378,6 +424,17 @@ def cluster_bootstrap_ci(spark, d):
     return found.select(*[F.round(c, 4).alias(c) for c in ("estimate", "lower", "upper")], "groups")
 
 
+@query("""WITH g AS (SELECT o_orderpriority AS seed, o_custkey, sum(o_totalprice) AS s, count(*) AS n, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) - 1 AS number FROM orders GROUP BY 1, 2),
+ e AS (SELECT seed, count(*) AS m, sum(s) / sum(n) AS mean, row_number() OVER (ORDER BY seed) - 1 AS pick FROM g GROUP BY 1), k AS (SELECT count(*) AS c FROM e),
+ p AS (SELECT r.range AS replicate, t.range AS slot, (('0x' || substr(sha256('1' || chr(0) || 'seed' || chr(0) || r.range || chr(0) || t.range), 1, 16))::UBIGINT % k.c)::BIGINT AS pick FROM range(20) r, k, range(k.c) t),
+ w AS (SELECT replicate, slot, seed, (('0x' || substr(sha256('1' || chr(0) || replicate || chr(0) || slot || chr(0) || i.range), 1, 16))::UBIGINT % m)::BIGINT AS number, count(*) AS w FROM (SELECT * FROM p JOIN e USING (pick)) q, range(q.m) i GROUP BY 1, 2, 3, 4),
+ a AS (SELECT replicate, slot, sum(w * s) / sum(w * n) AS m FROM w JOIN g USING (seed, number) GROUP BY 1, 2), b AS (SELECT replicate, avg(m) AS m FROM a GROUP BY 1)
+ SELECT (SELECT round(avg(mean), 4) FROM e) AS estimate, round(quantile_cont(m, 0.025), 4) AS lower, round(quantile_cont(m, 0.975), 4) AS upper FROM b""")
+def two_level_ci(spark, d):
+    found = inference.two_level_bootstrap(table(spark, d, "orders"), "o_orderpriority", "o_custkey", "o_totalprice")
+    return found.select(*[F.round(c, 4).alias(c) for c in ("estimate", "lower", "upper")])
+
+
 @query("""WITH f AS (SELECT o_custkey, o_orderpriority, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') - avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS d FROM orders GROUP BY 1, 2), g AS (SELECT o_orderpriority, round(d, 2) AS d FROM f WHERE d IS NOT NULL AND round(d, 2) <> 0),
  r AS (SELECT o_orderpriority, d, rank() OVER (PARTITION BY o_orderpriority ORDER BY abs(d)) + (count(*) OVER (PARTITION BY o_orderpriority, abs(d)) - 1) / 2 AS k FROM g),
  s AS (SELECT o_orderpriority, count(*) AS n, coalesce(sum(k) FILTER (WHERE d > 0), 0) AS up, coalesce(sum(k) FILTER (WHERE d < 0), 0) AS down FROM r GROUP BY 1)
@@ -486,6 +543,18 @@ def manifest_verify(spark, d):
     return manifest.join(rows, "doc_id", "full").where(~F.col("expected").eqNullSafe(F.col("actual"))).select("doc_id", "expected", "actual")
 
 
+@query("""WITH r AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, sum(octet_length(encode(coalesce(text, '')))) OVER (ORDER BY doc_id) AS upto FROM documents) SELECT doc_id, bytes, ((upto - bytes) // 1000000)::BIGINT AS part FROM r""")
+def evidence_parts(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    return files.parts(rows, 1_000_000).select(F.col("path").alias("doc_id"), "bytes", "part")
+
+
+@query("""WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS k FROM customer)
+ SELECT c_custkey, c_mktsegment, CASE WHEN k = 1 THEN 'reject' ELSE 'accept' END AS first, CASE WHEN k = 1 THEN 'reject' ELSE 'accept' END AS second, 'accept' AS final FROM r""")
+def review_fill(spark, d):
+    return synthetic.filled_reviews(table(spark, d, "customer"), "c_custkey", "c_mktsegment", "c_nationkey").select("c_custkey", "c_mktsegment", "first", "second", "final")
+
+
 @query("SELECT event_type, median(value) AS median_value, round(median(value) * 253 * 50 / 3600, 6) AS hours FROM events WHERE event_id > 5 GROUP BY 1")
 def step_time_median(spark, d):
     return table(spark, d, "events").where("event_id > 5").groupBy("event_type").agg(F.median("value").alias("median_value"), r6(F.median("value") * 253 * 50 / 3600, "hours"))

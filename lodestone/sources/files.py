@@ -6,10 +6,10 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.storage import materialize
+from lodestone.operators.ordering import before
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -89,20 +89,7 @@ def manifest_violations(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return met.select(F.coalesce("e.path", "a.path").alias("path"), problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def running_total(rows: DataFrame, value: Column, *order: str) -> DataFrame:
-    """rows with total: the sum of value over all rows before this one in order (unique), without sorting all in one task.
-
-    Ranges of the order are summed first; only a row for each range meets in one place.
-    """
-    placed = rows.withColumn("_value", value).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    placed = materialize(placed, "ranges")
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.groupBy("_range").agg(F.sum("_value").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.col("_before") + F.coalesce(F.sum("_value").over(within), F.lit(0))
-    return placed.join(F.broadcast(before), "_range").withColumn("total", total).drop("_range", "_before", "_value")
-
-
 def parts(files: DataFrame, cap: int = 512 << 20) -> DataFrame:
     """path, bytes, part: files in order of path, laid end to end and cut at every cap bytes; part is where a file begins."""
-    return running_total(files.select("path", "bytes"), F.col("bytes"), "path").select("path", "bytes", F.expr(f"total DIV {int(cap)}").alias("part"))
+    placed = before(files.select("path", "bytes"), F.sum, F.col("bytes"), "path")
+    return placed.select("path", "bytes", F.expr(f"coalesce(total, 0L) DIV {int(cap)}").alias("part"))

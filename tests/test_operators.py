@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
-from lodestone.operators import grouping, inference, metrics, reports
+from lodestone.operators import grouping, inference, metrics, ordering, reports
 from lodestone.operators.components import connected_components
 
 
@@ -111,3 +111,37 @@ def test_early_stop_needs_more_than_min_delta(spark):
 def test_pareto(spark):
     rows = spark.createDataFrame([(1, 1.0, 3.0), (2, 2.0, 2.0), (3, 2.0, 1.0), (4, 1.0, 3.0), (5, 0.5, 2.5)], "i int, x double, y double")
     assert sorted(r.i for r in reports.pareto(rows, "x", "y").collect()) == [1, 2, 4]
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_folds_before_each_row(spark, parts):
+    rng = random.Random(parts)
+    values = [(i, rng.randrange(50)) for i in range(300)]
+    rows = spark.createDataFrame(values, "k int, v long")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        up = {r.k: r.total for r in ordering.before(rows, F.sum, F.col("v"), "k").collect()}
+        down = {r.k: r.most for r in ordering.before(rows, F.max, F.col("v"), F.desc("k"), out="most").collect()}
+        place = {r.k: r.number for r in ordering.numbered(rows, F.desc("k")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert up == {k: sum(v for _, v in values[:k]) if k else None for k, _ in values}
+    assert down == {k: max([v for _, v in values[k + 1 :]], default=None) for k, _ in values}
+    assert place == {k: 299 - k for k, _ in values}
+
+
+def test_wilcoxon_p_value(spark):
+    rows = spark.createDataFrame([("a", float(d)) for d in (1, 2, 3, -4, 5, 6, 7, 8, 9, 10)] + [("b", 0.0)], "g string, d double")
+    found = inference.wilcoxon(rows, "d", "g").collect()
+    z = (51 - 27.5) / math.sqrt(10 * 11 * 21 / 24)
+    assert [(r.g, r.n, r.statistic) for r in found] == [("a", 10, 4.0)] and math.isclose(found[0].p_value, math.erfc(z / math.sqrt(2)))
+
+
+def test_bootstraps_of_one_answer(spark):
+    rows = spark.createDataFrame([(s, g, float(y), y) for s in "xy" for g in range(10) for y in (0, 1)], "s string, g int, score double, y int")
+    assert tuple(inference.clustered_ap(rows, "g", "y", "score").first()) == (1.0, 1.0, 1.0, 20)
+    assert tuple(inference.two_level_bootstrap(rows, "s", "g", "score").first()) == (0.5, 0.5, 0.5)
+    assert tuple(inference.clustered_ap(rows.limit(0), "g", "y", "score").first()) == (None, None, None, 0)
+    assert tuple(inference.two_level_bootstrap(rows.limit(0), "s", "g", "score").first()) == (None, None, None)
