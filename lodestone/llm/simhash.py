@@ -88,9 +88,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs that stand for their component: the smallest doc_id, and one of rows that repeat it with the same text."""
-    keep = near_duplicates(docs, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+def keep_least(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the component_id of labelled, one of rows that repeat it with the same text."""
+    keep = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
     again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     return kept.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of docs that stand for their component: the smallest doc_id, and one of rows that repeat it with the same text."""
+    return keep_least(docs, near_duplicates(docs, shingle, radius))

@@ -1,0 +1,74 @@
+"""Near copies, substrings, licences and personal data: what earlier cuts left out, against brute force."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import nearcopies
+
+
+def five_words(text):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def brute_components(rows):
+    """Place in rows: places of its component, over all pairs of similar texts."""
+    found, root = [five_words(t) for _, t in rows], list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    linked = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if found[a] == found[b] or 5 * len(found[a] & found[b]) >= 4 * len(found[a] | found[b]):
+                linked += found[a] != found[b]
+                root[find(a)] = find(b)
+    return [find(a) for a in range(len(rows))], linked
+
+
+def test_near_copies_are_all_found(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst") + rng.choice("uvwxyz")
+    rows = [(0, None), (1, ""), (2, "one two"), (3, "One  two")]
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice((30, 80, 200)))]
+        for edits in (0, 0, 1, 2, 3, 4, 6, 8):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w)))
+    same = " ".join(word() for _ in range(60))  # a passage of many texts that are not alike
+    rows += [(len(rows) + i, " ".join([same, *[word() for _ in range(60)]])) for i in range(40)]
+    part, linked = brute_components(rows)
+    assert linked > 60
+    least = {}
+    for (d, _), p in zip(rows, part):
+        least[p] = min(least.get(p, d), d)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bound in (0, 100_000):  # the order of the shingles changes nothing
+        monkeypatch.setattr(nearcopies, "FREQUENT", bound)
+        got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()}
+        assert got == {d: least[p] for (d, _), p in zip(rows, part)}
+
+
+def test_stage_keeps_one_of_each_group(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    copy = docs.limit(20).select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.concat(F.col("text"), F.lit(" x")).alias("text"), *[c for c in docs.columns if c not in ("doc_id", "text")]).select(docs.columns)
+    both = docs.unionByName(copy)
+    rows = [(r.doc_id, r.text) for r in both.collect()]
+    part, _ = brute_components(rows)
+    least = {}
+    for (d, _), p in zip(rows, part):
+        least[p] = min(least.get(p, d), d)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, both, "").collect()) == sorted(least.values())
+
+
+def test_empty_table_has_no_near_copies(spark):
+    assert nearcopies.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
