@@ -1,18 +1,27 @@
 """Substring deduplication by sliding sentence spans (operator 8).
 
-A text is cut into sentences (an ending mark or a line break closes one). Spans
-are runs of consecutive sentences with at least min_words words: from every
-sentence the shortest such run that begins there, and to every sentence the
-shortest that ends there, so a repeated passage is covered to both ends.
-Spans are joined globally by 96 bits of hash of their sentences' keys
-(lower-cased, white space collapsed), as a merge of one range-partitioned sort. The first occurrence of a span by document and position
-stays; sentences that a later occurrence covers go.
+A text is cut into sentences (an ending mark or a line break closes one), and
+sentences of more than WINDOW words once more at words that their own hash picks:
+the least of every WINDOW words in a row begins a part. What decides a cut lies
+within WINDOW words of it, so of a repeated passage all but fewer than WINDOW
+words at each end is cut alike wherever it begins and ends, and every repeat of
+MIN_WORDS + 2 * WINDOW - 1 = 50 or more words holds a common span.
+
+Spans are runs of consecutive parts with at least min_words words: from every part the
+shortest such run that begins there, and to every part the shortest that ends
+there, so a repeated passage is covered to its outermost common cuts.
+Spans are joined globally by 96 bits of hash of their parts' keys (lower-cased,
+white space collapsed), as a merge of one range-partitioned sort. The first
+occurrence of a span by document and position stays; parts that a later
+occurrence covers go.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +32,42 @@ from pyspark.sql import functions as F
 from lodestone.storage import materialize
 
 MIN_WORDS = 25
+WINDOW = 13  # words: most of a part
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
+WORD = re.compile(r"\S+")
+
+
+def _picked(hashes: list[int]) -> list[int]:
+    """Places that hold the least hash (the last of equal ones) of any WINDOW in a row, in order."""
+    out: list[int] = []
+    line: deque[int] = deque()  # places of the window at hand, hashes rising
+    for p, h in enumerate(hashes):
+        while line and hashes[line[-1]] >= h:
+            line.pop()
+        line.append(p)
+        if line[0] <= p - WINDOW:
+            line.popleft()
+        if p >= WINDOW - 1 and (not out or out[-1] != line[0]):
+            out.append(line[0])
+    return out
 
 
 def sentences(text: str) -> list[str]:
-    """Consecutive parts that make up the text."""
-    return SENTENCE.findall(text)
+    """Consecutive parts that make up the text: sentences, long ones in parts of at most WINDOW words."""
+    out: list[str] = []
+    for s in SENTENCE.findall(text):
+        words = s.lower().split()
+        if len(words) <= WINDOW:
+            out.append(s)
+            continue
+        starts = [m.start() for m in WORD.finditer(s)]
+        at = [0, *[starts[p] for p in _picked([crc32(w.encode("utf-8", "replace")) for w in words]) if p], len(s)]
+        out += [s[a:b] for a, b in zip(at, at[1:])]
+    return out
 
 
 def spans(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(first sentence, sentence after the last, two parts of the hash) of every span."""
+    """(first part, part after the last, two halves of the hash) of every span."""
     parts = [s.lower().split() for s in sentences(text)]
     counts = [len(p) for p in parts]
     keys = [" ".join(p) for p in parts]
@@ -143,12 +178,13 @@ def repeated_spans(table: DataFrame) -> DataFrame:
 
 
 def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_sentences, n_removed, removed (array of first and after-last sentence), text of every row.
+    """doc_id, n_sentences, n_removed, removed (array of first and after-last part), text of every row.
 
-    A null or empty text has no sentences and becomes or stays empty. The first
+    n_sentences and n_removed count the parts of `sentences`. A null or empty
+    text has none and becomes or stays empty. The first
     occurrence is that of the smallest doc_id (null last), then hash of the text,
     then position; rows that repeat both doc_id and text are one document and all
-    returned alike. A document none of whose sentences repeat keeps its text to
+    returned alike. A document none of whose parts repeat keeps its text to
     the letter. An empty table gives an empty result; other columns play no part.
     """
     later = repeated_spans(materialize(_span_rows(docs, min_words), "spans"))

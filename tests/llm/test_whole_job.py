@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import nearcopies
+from lodestone.llm import nearcopies, substrings
 
 
 def five_words(text):
@@ -72,3 +72,35 @@ def test_stage_keeps_one_of_each_group(spark):
 
 def test_empty_table_has_no_near_copies(spark):
     assert nearcopies.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_parts_are_short_and_make_up_the_text():
+    rng = random.Random(5)
+    for text in ["", "a " * 300, "x", " ".join(rng.choice(["ab", "İ", "c.d", "e", "f!", "\x1c"]) for _ in range(3000)), "\n\n . ! word " * 40]:
+        parts = substrings.sentences(text)
+        assert "".join(parts) == text and all(len(p.split()) <= substrings.WINDOW for p in parts)
+
+
+@pytest.mark.parametrize("n", [51, 72])
+def test_every_repeat_of_over_fifty_words_loses_parts(spark, n):
+    """Passages that begin and end within sentences, with no or few sentence ends inside."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    rows, kept = [], {}
+    for i in range(150):
+        w = [word() for _ in range(n)]
+        for _ in range(i % 4):
+            w[rng.randrange(n)] += rng.choice(".!?")
+        if i % 10 == 0:
+            w = ["same"] * n
+        for k in (0, 1):
+            before, after = ([f"{word()}{i}{k}" for _ in range(rng.randrange(1, 40))] for _ in range(2))
+            rows.append((2 * i + k, " ".join([*before, *w, *after])))
+            kept[2 * i + k] = {*before, *after}
+    got = {r.doc_id: r for r in substrings.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        first = d % 2 == 0 and d % 20
+        assert (got[d].n_removed == 0) == bool(first) or d % 20 == 0, d
+        if d % 2:
+            assert len(got[d].text.split()) <= len(text.split()) - substrings.MIN_WORDS
+        assert kept[d] <= set(got[d].text.split())  # words of its own stay
