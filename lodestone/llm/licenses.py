@@ -1,6 +1,7 @@
 """Licence scans (operator 3): a trained paragraph classifier, without user functions.
 
-Paragraphs (lines) with an anchor word are described by the hashed words and
+Paragraphs (lines) that pass a gate, which is made of the templates' own words
+and word pairs and of general anchor words, are described by the hashed words and
 word pairs they hold; a multinomial logistic regression with sparse weights
 gives the licence family or none. Its probabilities are calibrated by a
 temperature, and below a threshold chosen on kept-out paragraphs the answer is
@@ -8,7 +9,8 @@ temperature, and below a threshold chosen on kept-out paragraphs the answer is
 template's word pairs are shared with a template of that family.
 
 Fitted on the driver on variants of the templates below and on at most
-NEGATIVES lines of the corpus without an anchor word (smallest hash first).
+NEGATIVES lines of the corpus without an anchor word or licence name (smallest
+hash first).
 """
 
 from __future__ import annotations
@@ -36,16 +38,34 @@ TEMPLATES = {
     "agpl": ["licensed under the gnu affero general public license version 3", "distributed under the terms of the gnu agpl"],
     "bsd": ["licensed under the bsd 3 clause license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],
-    "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
-    "cc-by-sa": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
-    "cc-by-nc": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
+    "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "creative commons attribution 4.0 international"],
+    "cc-by-sa": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license", "creative commons attribution sharealike 4.0 international"],
+    "cc-by-nc": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", "creative commons attribution noncommercial 4.0 international"],
     "public-domain": ["this is free and unencumbered software released into the public domain", "dedicated to the public domain under cc0 1.0 universal"],
     "proprietary": ["copyright all rights reserved no part may be reproduced without permission", "all rights reserved unauthorized copying is strictly prohibited"],
 }
 ANCHORS = r"(?i)licen[sc]|copyright|all rights reserved|public domain|redistribut|\bgpl|\bcc[ -]?(?:by|0)|spdx|permission is hereby|free software|compliance with"
 # Lines with an anchor word that grant nothing.
 OTHERS = ["a driving licence is required for this job", "the poet took license with the facts", "software licensing costs rose last year", "the copyright office opened again on monday", "he worked in the public domain of politics", "taxes redistribute income", "in compliance with the rules of the court", "license to operate a taxi"]
+OTHERS += ["students at mit built a robot", "the apache helicopter landed", "a herd of gnu crossed the river", "mozilla released a new browser", "the creative commons of the town", "the terms of the contract were kept", "the file is in the folder", "bsd is an operating system", "the form must be signed with the following conditions"]
 PART = r"[^\p{L}\p{N}.-]+"
+# Words that name a licence by themselves, and words that say nothing of one (a pair of two such is no sign).
+NAMES = ["gnu", "gpl", "lgpl", "agpl", "mit", "apache", "bsd", "mozilla", "mpl", "creative commons", "cc0", "unlicense", "sharealike", "noncommercial", "unencumbered"]
+PLAIN = set("a any as at be by can file following for free from in into is it may no not obtain of or part person program see source that the this to under use with without work you and are".split())
+
+
+def gate() -> str:
+    """Pattern that finds a line with an anchor word, a licence name, or a word pair of a template with a telling word in it."""
+    pairs: dict[str, set[str]] = {}
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        w = text.split()
+        for a, b in zip(w, w[1:]):
+            if not {a, b} <= PLAIN:
+                pairs.setdefault(a, set()).add(b)
+    quoted = lambda x: x.replace(".", r"\.")
+    tree = "|".join(f"{quoted(a)}{PART}(?:{'|'.join(map(quoted, sorted(bs)))})" for a, bs in sorted(pairs.items()))
+    names = "|".join(n.replace(" ", PART) for n in NAMES)
+    return rf"{ANCHORS}|(?<![\p{{L}}\p{{N}}])(?:(?:{names})(?!\p{{L}})|(?:{tree})(?![\p{{L}}\p{{N}}]))"
 
 
 def tokens(line: str) -> list[str]:
@@ -110,7 +130,8 @@ def fit(negatives: list[str]) -> dict:
 
 
 def train(docs: DataFrame) -> dict:
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(ANCHORS) & (F.char_length("line") > 20))
+    names = "|".join(NAMES).replace(" ", PART)
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(rf"{ANCHORS}|(?<![\p{{L}}\p{{N}}])(?:{names})(?!\p{{L}})") & (F.char_length("line") > 20))
     rows = lines.select(F.xxhash64("line").alias("h"), F.substring("line", 1, 200).alias("line")).orderBy("h", "line").limit(NEGATIVES).collect()
     return fit([r[1] for r in rows])
 
@@ -156,16 +177,16 @@ def classify(line: Column, model: dict) -> Column:
 def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """doc_id, families (sorted, distinct; "unknown" for a licence paragraph of no certain family), paragraphs of every row.
 
-    paragraphs: array of (line, family, probability, confirmed) of the lines with
-    an anchor word that the classifier does not take for ordinary text; line
+    paragraphs: array of (line, family, probability, confirmed) of the lines that
+    pass the gate and that the classifier does not take for ordinary text; line
     counts from 0. A null or empty text has none. Repeated rows repeat, further
     columns play no part, and an empty table gives an empty result.
     """
     model = train(docs) if model is None else model
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("t"))), lambda s: s["t"].rlike(ANCHORS))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("t"))), lambda s: s["t"].rlike(gate()))
     each = lambda s: let(classify(s["t"], model), lambda r: F.struct(s["line"].alias("line"), r["family"].alias("family"), r["probability"].alias("probability"), r["confirmed"].alias("confirmed")))
     kind = "array<struct<line:int,family:string,probability:double,confirmed:boolean>>"
-    found = F.when(text.rlike(ANCHORS), F.filter(F.transform(lines, each), lambda r: r["family"] != "none")).otherwise(F.array().cast(kind))
+    found = F.when(text.rlike(gate()), F.filter(F.transform(lines, each), lambda r: r["family"] != "none")).otherwise(F.array().cast(kind))
     rows = docs.select(F.col("doc_id").cast("long"), found.alias("paragraphs"))
     return rows.select("doc_id", F.array_sort(F.array_distinct(F.transform("paragraphs", lambda r: r["family"]))).alias("families"), "paragraphs")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import nearcopies, substrings
+from lodestone.llm import licenses, nearcopies, substrings
 
 
 def five_words(text):
@@ -104,3 +104,27 @@ def test_every_repeat_of_over_fifty_words_loses_parts(spark, n):
         if d % 2:
             assert len(got[d].text.split()) <= len(text.split()) - substrings.MIN_WORDS
         assert kept[d] <= set(got[d].text.split())  # words of its own stay
+
+
+def test_templates_and_their_variants_pass_the_gate():
+    import regex
+
+    rule = regex.compile(licenses.gate())
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            w = text.split()
+            for k in range(len(w) + 1):
+                line = " ".join(w[:k] + w[k + 1 :])
+                assert rule.search(line) and rule.search(line.upper()), (family, line)
+
+
+def test_licence_lines_without_the_old_anchors_are_scored(spark):
+    said = {
+        1: ("This program is distributed under the terms of the GNU LGPL v2.1", "lgpl"), 2: ("distributed under the terms of the gnu agpl", "agpl"), 3: ("Released under MIT", "mit"),
+        4: ("Creative Commons Attribution 4.0 International", "cc-by"), 5: ("Students at MIT built a robot last year.", None), 6: ("She read the terms and went home to her family.", None),
+    }
+    rows = spark.createDataFrame([(d, t) for d, (t, _) in said.items()], "doc_id long, text string")
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for model in (licenses.train(rows), licenses.train(base)):
+        got = {r.doc_id: r.families for r in licenses.scan(rows, model).collect()}
+        assert got == {d: [f] if f else [] for d, (_, f) in said.items()}
