@@ -1,8 +1,8 @@
-"""SimHash near-duplicates by multi-index hashing (operator 4).
+"""SimHash near-duplicates by a table of Hamming balls (operator 4).
 
-The fingerprint is cut into segments. For every distinct fingerprint the small
-Hamming balls within each segment are enumerated: the fingerprint with up to
-radius / 2 bits changed. Two fingerprints within the radius have an entry of
+There are no segment tables: the key is the whole fingerprint. For every distinct
+fingerprint the ball of half the radius is enumerated: the fingerprint with up
+to radius / 2 bits changed, so keys grow with that power of 64. Two fingerprints within the radius have an entry of
 that table in common, and two with a common entry are within the radius of each
 other, so a table key of radius 2 holds at most 65 fingerprints. Each is tied to
 the least of its key (after the complete distance is verified), never to all
