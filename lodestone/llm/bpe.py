@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 SPACE, LETTER, NUMBER, OTHER, END = range(5)
 #: Code points of Unicode's White_Space (fixed values).
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-BLOCK = 1_000_000  # code points handled at once; a longer text is cut before line breaks
-MEMO = 500_000  # pieces, and pairs, that a worker remembers before it starts afresh
+BLOCK = 250_000  # code points handled at once; a longer text is cut between pieces
+MEMO = 150_000  # pieces, and pairs, that a worker remembers before it starts afresh
+#: A single space between two visible characters, or a line break after one, begins a piece whatever stands around.
+BORDER = re.compile(r"(?<=\S)(?: (?=\S)|\n)")
 
 
 def default_path() -> str:
@@ -41,6 +44,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def largest_id(path: str | None = None) -> int:
+    """The largest id that a vocabulary file gives."""
+    with open(path or default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    return max(*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]))
+
+
 def _classes() -> np.ndarray:
     kind = np.full(0x110000, OTHER, np.uint8)
     for c in range(0x110000):
@@ -78,10 +88,20 @@ class Encoder:
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.token_of = {b: i for i, b in self.bytes_of.items() if i not in self.special.values()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        self.kind = _classes()
+        self.salt = np.random.default_rng(20).integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
+        self._clear()
+        made = [vocab[a + b] for a, b in merges]
+        if by_library and sorted(made) == made:
+            import tiktoken
+
+            self.piece = tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=self.token_of, special_tokens={})._core_bpe.encode_single_piece
+            del self.token_of, self.bytes_of  # the library has its own
+            return
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}  # pair: (rank, token made)
         made_by: dict[int, tuple[int, int, int]] = {}  # token: (rank, left, right)
-        for rank, (a, b) in enumerate(merges):
-            pair, token = (vocab[a], vocab[b]), vocab[a + b]
+        for rank, ((a, b), token) in enumerate(zip(merges, made)):
+            pair = vocab[a], vocab[b]
             self.merge.setdefault(pair, (rank, token))
             made_by.setdefault(token, (rank, *pair))
         # A token's outer parts on one side, from the whole inwards, each with the rank at which it is merged away.
@@ -95,16 +115,8 @@ class Encoder:
                         break
                     until, now = made_by[now][0], made_by[now][side]
                 to[token] = parts
-        self.kind = _classes()
-        self.salt = np.random.default_rng(20).integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
         self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
         self.pairs: dict[int, bool] = {}
-        self._clear()
-        if by_library and sorted(made_by, key=lambda t: made_by[t][0]) == sorted(made_by):
-            import tiktoken
-
-            self.piece = tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=self.token_of, special_tokens={})._core_bpe.encode_single_piece
-            return
         self.automaton = ahocorasick.Automaton()
         for b, i in self.token_of.items():
             self.automaton.add_word(b.decode("latin-1"), (len(b), i))
@@ -220,20 +232,18 @@ class Encoder:
         return pieces, codes[own], bounds
 
     def _segments(self, text: str) -> list[str | int]:
-        """The text around added tokens, each part cut before line breaks if it is long."""
+        """The text around added tokens, each part cut between pieces if it is long (not within a run without white space)."""
         parts: list[str | int] = [text]
         for name, token in self.special.items():
             parts = [y for x in parts for y in (self._around(x, name, token) if isinstance(x, str) and name in x else [x])]
         out: list[str | int] = []
         for x in parts:
             while isinstance(x, str) and len(x) > BLOCK:
-                at = x.find("\n", BLOCK)
-                while at > 0 and x[at - 1].isspace():
-                    at = x.find("\n", at + 1)
-                if at < 0:
+                border = BORDER.search(x, BLOCK)
+                if not border:
                     break
-                out.append(x[:at])
-                x = x[at:]
+                out.append(x[: border.start()])
+                x = x[border.start() :]
             out.append(x)
         return out
 
@@ -325,7 +335,9 @@ def encoder(path: str | None = None, by_library: bool = False) -> Encoder:
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode every whole text, decode the ids, and return digests: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    A null text counts as empty: no tokens and the digest of the empty string.
+    A null text counts as empty: no tokens and the digest of the empty string. Long
+    texts are handled in blocks cut between pieces; only a run without any white
+    space is held whole, at some 60 bytes a code point.
     Rows are independent, so repeated rows repeat and other columns play no part;
     an empty table gives an empty result.
     """

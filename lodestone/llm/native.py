@@ -37,3 +37,13 @@ def starts_of(lengths: Column) -> Column:
         let(sums, before),
         lambda base: F.transform(lengths, lambda x, i: F.get(base, (i / 64).cast("int")) + total(F.slice(lengths, (i / 64).cast("int") * 64 + 1, i % 64))),
     )
+
+
+def bucket_of(value: Column, bounds: list[int]) -> Column:
+    """Number of the sorted bounds below value (null: 0), by bisection in one constant array."""
+    if not bounds:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+    steps = [1 << b for b in range((len(bounds)).bit_length() - 1, -1, -1)]
+    count = lambda t: F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(F.get(t, at + step - 1) < value, step).otherwise(0))
+    return F.when(value.isNull(), F.lit(0)).otherwise(let(table, count))

@@ -6,11 +6,12 @@ documents, are the coordinates of a cell of a Hilbert curve. Documents in
 order of their cell are laid end to end and cut every `length` tokens, so that
 sequences hold neighbours and only the last one is padded.
 
-The ids are computed once and written to the shared folder. Places in the
-global order come from sums over buckets of the curve: bucket borders are
-quantiles of the sort key, whose low bits are a hash of the row, so one cell
-with a third of all documents still spreads over many buckets. Only a sum for
-each bucket reaches the driver.
+The ids are computed once and written to the shared folder; the keys are plain
+column expressions. Places in the global order come from sums over buckets of the
+curve: bucket borders are quantiles of a sample of the keys (a matter of balance,
+not of results), whose low bits are a hash of the row, so one cell with a third of
+all documents still spreads over many buckets. Only SAMPLED keys and a sum for each
+bucket reach the driver.
 """
 
 from __future__ import annotations
@@ -19,62 +20,67 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import Encoder, encoder
+from lodestone.llm.bpe import encoder, largest_id
+from lodestone.llm.native import bucket_of, let
 from lodestone.storage import materialize
 
 HASHED, DIMS, BITS = 512, 3, 7  # buckets of the vector, projected numbers, bits of a coordinate
 LOW_BITS = 63 - DIMS * BITS
-BUCKET_TOKENS = 8_000_000  # tokens of a bucket of the curve at which more buckets than tasks are made
-MOST_BUCKETS = 20_000
-
-
-def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Position on the Hilbert curve of rows of integer coordinates below 2**bits (Skilling's transform)."""
-    x = cells.astype(np.int64).T.copy()
-    dims = len(x)
-    q = 1 << (bits - 1)
-    while q > 1:
-        for i in range(dims):
-            hit = (x[i] & q) > 0
-            swap = np.where(hit, 0, (x[0] ^ x[i]) & (q - 1))
-            x[0] ^= np.where(hit, q - 1, swap)
-            x[i] ^= swap
-        q >>= 1
-    for i in range(1, dims):
-        x[i] ^= x[i - 1]
-    flip = np.zeros_like(x[0])
-    q = 1 << (bits - 1)
-    while q > 1:
-        flip ^= np.where((x[-1] & q) > 0, q - 1, 0)
-        q >>= 1
-    x ^= flip
-    key = np.zeros_like(x[0])
-    for bit in range(bits - 1, -1, -1):
-        for i in range(dims):
-            key = key << 1 | (x[i] >> bit & 1)
-    return key
+BUCKET_TOKENS = 32_000_000  # tokens of a bucket of the curve at which more buckets than tasks are made
+SAMPLED = 8  # keys of the sample for each bucket
+
+
+def hilbert_key(cell: Column, bits: int = BITS) -> Column:
+    """Position on the Hilbert curve of a struct of three whole numbers x0, x1, x2 below 2**bits (Skilling's transform)."""
+    num = lambda v: F.lit(v).cast("long")
+    turns = F.array(*[F.struct(num(1 << b).alias("q"), num(i).alias("i")) for b in range(bits - 1, 0, -1) for i in range(3)])
+
+    def turn(x: Column, t: Column) -> Column:
+        own = F.when(t["i"] == 0, x["x0"]).when(t["i"] == 1, x["x1"]).otherwise(x["x2"])
+        low = t["q"] - 1
+        hit = own.bitwiseAND(t["q"]) != 0
+        swap = F.when(hit, num(0)).otherwise(x["x0"].bitwiseXOR(own).bitwiseAND(low))
+        changed = lambda i: F.when(t["i"] == i, x[f"x{i}"].bitwiseXOR(swap)).otherwise(x[f"x{i}"])
+        return F.struct(x["x0"].bitwiseXOR(F.when(hit, low).otherwise(swap)).alias("x0"), changed(1).alias("x1"), changed(2).alias("x2"))
+
+    def gray(x: Column) -> Column:
+        one = x["x1"].bitwiseXOR(x["x0"])
+        two = x["x2"].bitwiseXOR(one)
+        flip = num(0)
+        for b in range(bits - 1, 0, -1):
+            flip = flip.bitwiseXOR(F.when(two.bitwiseAND(1 << b) != 0, num((1 << b) - 1)).otherwise(num(0)))
+        return F.struct(flip.alias("flip"), x["x0"].alias("x0"), one.alias("x1"), two.alias("x2"))
+
+    def woven(x: Column) -> Column:
+        key = num(0)
+        for b in range(bits - 1, -1, -1):
+            for i in range(3):
+                bit = F.shiftright(x[f"x{i}"].bitwiseXOR(x["flip"]), b).bitwiseAND(1)
+                key = key + F.shiftleft(bit, 3 * b + 2 - i)
+        return key
+
+    return let(let(F.aggregate(turns, cell, turn), gray), woven)
 
 
 def _projection() -> np.ndarray:
     return np.random.default_rng(1).normal(size=(HASHED, DIMS))
 
 
-def _stored(coder: Encoder) -> str:
+def _stored(path: str | None) -> str:
     """How ids are kept until they are cut: two bytes each where the vocabulary allows it."""
-    return "<u2" if max(coder.bytes_of) < 1 << 16 else "<u4"
+    return "<u2" if largest_id(path) < 1 << 16 else "<u4"
 
 
 def tokens(docs: DataFrame, end_id: int = 1, path: str | None = None) -> DataFrame:
     """doc_id, ids (little-endian, as _stored says, end_id last), n, mix (a hash of ids and doc_id), p0.. (projected vector)."""
+    stored = _stored(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, matrix = encoder(path, by_library=True), _projection()
-        stored = _stored(coder)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, n, mix, points = [], [], [], np.zeros((len(texts), DIMS))
@@ -99,37 +105,31 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, path: str | None
     doc_id (null first), then by content, so ties give one order up to equal rows.
     An empty table gives no rows; other columns play no part.
     """
-    spark = docs.sparkSession
+    spark, stored = docs.sparkSession, _stored(path)
     table = materialize(tokens(docs, end_id, path), "tokens")
     measured = table.agg(F.count("*"), F.sum("n"), *(f(f"p{k}") for k in range(DIMS) for f in (F.avg, F.stddev_pop))).first()
     rows, total = measured[0], measured[1] or 0
     centre, width = np.array([x or 0.0 for x in measured[2::2]]), np.array([x or 1.0 for x in measured[3::2]])
 
-    @F.pandas_udf("long")
-    def curve_key(mix: pd.Series, doc_id: pd.Series, p0: pd.Series, p1: pd.Series, p2: pd.Series) -> pd.Series:
-        scaled = (np.stack([p0, p1, p2], 1) - centre) / width
-        cells = np.clip((scaled + 2.5) / 5 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-        low = (doc_id.fillna(-1).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix.to_numpy().astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-        return pd.Series(hilbert_key(cells, BITS) << LOW_BITS | (low >> np.uint64(64 - LOW_BITS)).astype(np.int64))
-
-    keyed = table.withColumn("key", curve_key("mix", "doc_id", "p0", "p1", "p2")).select("key", "doc_id", "mix", "n", "ids")
+    scale = lambda k: F.coalesce((F.col(f"p{k}") - float(centre[k])) / float(width[k] or 1.0), F.lit(0.0))
+    cell = lambda k: F.least(F.greatest(F.floor((scale(k) + 2.5) / 5 * (1 << BITS)), F.lit(0)), F.lit((1 << BITS) - 1)).cast("long")
+    curve = hilbert_key(F.struct(*[cell(k).alias(f"x{k}") for k in range(DIMS)]))
+    low = F.shiftrightunsigned(F.xxhash64("doc_id", "mix"), 64 - LOW_BITS)
+    keyed = table.withColumn("key", F.shiftleft(curve, LOW_BITS) + low).select("key", "doc_id", "mix", "n", "ids")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    buckets = int(max(1, min(MOST_BUCKETS, max(8 * tasks, total // BUCKET_TOKENS), rows)))
-    cuts = np.array(keyed.agg(F.percentile_approx("key", F.lit([i / buckets for i in range(1, buckets)]), F.lit(20 * buckets))).first()[0] or [], np.int64) if buckets > 1 else np.empty(0, np.int64)
-
-    @F.pandas_udf("int")
-    def bucket_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="left").astype(np.int32))
-
-    placed = keyed.withColumn("bucket", bucket_of("key"))
-    before = np.zeros(buckets + 1, np.int64)
-    for bucket, n in placed.groupBy("bucket").agg(F.sum("n")).collect():  # a row for each bucket
-        before[bucket + 1] = n
+    buckets = int(max(1, min(max(8 * tasks, total // BUCKET_TOKENS), rows)))
+    one_in = max(1, rows // (SAMPLED * buckets))
+    sampled = keyed.where(F.pmod(F.xxhash64("mix", "doc_id", F.lit(1)), F.lit(one_in)) == 0).select("key").toArrow()
+    found = np.sort(sampled["key"].to_numpy())
+    cuts = np.unique(found[np.arange(1, buckets) * len(found) // buckets]) if len(found) else found
+    placed = keyed.withColumn("bucket", bucket_of(F.col("key"), cuts.tolist()))
+    sums = placed.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row for each bucket
+    before = np.zeros(len(cuts) + 2, np.int64)
+    before[sums["bucket"].to_numpy() + 1] = sums["n"].to_numpy()
     before = np.cumsum(before)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = -1, 0
-        stored = _stored(encoder(path, by_library=True))
         for batch in batches:
             out: list[tuple] = []
             for bucket, doc, data in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):

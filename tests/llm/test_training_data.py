@@ -65,11 +65,34 @@ def test_packing(docs, texts, tokenizer):
         assert ends[-1] == 2048 or k == max(used)
 
 
-def test_hilbert_curve_visits_neighbours():
-    cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
-    key = packing.hilbert_key(cells, 3)
-    assert sorted(key) == list(range(512))
-    assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(1) == 1).all()
+def test_hilbert_curve_visits_neighbours(spark):
+    cells = spark.range(512).select(*[F.shiftright("id", 3 * i).bitwiseAND(7).alias(f"x{i}") for i in range(3)])
+    rows = sorted(cells.select(packing.hilbert_key(F.struct("x0", "x1", "x2"), 3).alias("key"), "*").collect())
+    assert [r.key for r in rows] == list(range(512))
+    path = np.array([r[1:] for r in rows])
+    assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def test_packing_follows_the_curve(docs):
+    """Brute force of the order: sort by key, lay end to end."""
+    rows = packing.pack(docs.where("text is not null"), keep_ids=True).orderBy("sequence_id", "offset").collect()
+    at = [r.sequence_id * 2048 + r.offset for r in rows]
+    assert at == [sum(r.length for r in rows[:k]) for k in range(len(rows))]
+    table = packing.tokens(docs.where("text is not null")).collect()
+    p = np.array([[r.p0, r.p1, r.p2] for r in table])
+    cells = np.clip(np.floor(((p - p.mean(0)) / p.std(0) + 2.5) / 5 * 128), 0, 127)
+    where = {r.doc_id: c for r, c in zip(table, cells)}
+    order = list(dict.fromkeys(r.doc_id for r in rows))
+    step = lambda ids: np.mean([np.abs(where[a] - where[b]).sum() for a, b in zip(ids, ids[1:])])
+    assert len(order) == len(where) and step(order) < step(sorted(order)) / 2
+
+
+def test_bucket_of_is_bisection(spark):
+    from lodestone.llm.native import bucket_of
+
+    for bounds in ([], [5], [1, 2, 3], [-7, 0, 4, 9, 10, 11, 12, 99]):
+        got = spark.range(-10, 120).select("id", bucket_of(F.col("id"), bounds).alias("b")).collect()
+        assert all(r.b == sum(x < r.id for x in bounds) for r in got)
 
 
 def test_line_dedup(docs, texts):
@@ -170,6 +193,13 @@ def test_bpe(docs, texts, tokenizer):
         assert r.decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_cuts_long_texts_between_pieces(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 50)
+    for text in ("ab  c\x1c d\u00a0 e's\n\n f" * 40, "no break at all " * 60, "x" * 300, "a \n b" * 100):
+        (ids,) = bpe.encoder().encode([text])
+        assert tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist()
+
+
 def test_bpe_on_random_text(tokenizer):
     import random
 
