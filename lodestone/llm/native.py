@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"  # what separates words
@@ -17,6 +17,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that rows do not have."""
+    while name.lower() in map(str.lower, rows.columns):
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; the fast built-in serves where no character beyond ASCII and ß-ÿ occurs."""
     return F.when(text.rlike(r"[^\x00-\x7Fß-ÿ]"), F.translate(text, CAPITALS, CAPITALS.lower())).otherwise(F.lower(text))
@@ -29,14 +36,16 @@ def words(text: Column) -> Column:
 
 def starts_of(lengths: Column) -> Column:
     """Running sums before each element of an array of lengths, by blocks of 64: no square of the length."""
-    n = F.size(lengths)
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    sums = F.transform(F.sequence(F.lit(0), (n / 64).cast("int")), lambda b: total(F.slice(lengths, b * 64 + 1, F.lit(64))))
-    before = lambda each: F.transform(F.sequence(F.lit(0), F.size(each) - 1), lambda b: total(F.slice(each, F.lit(1), b)))
-    return let(
-        let(sums, before),
-        lambda base: F.transform(lengths, lambda x, i: F.get(base, (i / 64).cast("int")) + total(F.slice(lengths, (i / 64).cast("int") * 64 + 1, i % 64))),
-    )
+    blocks = lambda xs: F.transform(F.sequence(F.lit(0), (F.size(xs) / 64).cast("int")), lambda b: F.slice(xs, b * 64 + 1, F.lit(64)))
+    before = lambda xs: F.transform(xs, lambda _, i: total(F.slice(xs, F.lit(1), i)))
+
+    def placed(parts: Column, base: Column) -> Column:
+        inside = lambda part, b: F.transform(part, lambda _, i: F.get(base, b) + total(F.slice(part, F.lit(1), i)))
+        return F.flatten(F.transform(parts, inside))
+
+    sums = lambda parts: let(F.transform(parts, total), lambda each: let(F.transform(blocks(each), total), lambda upper: let(before(upper), lambda u: placed(blocks(each), u))))
+    return let(lengths, lambda xs: let(blocks(xs), lambda parts: let(sums(parts), lambda base: placed(parts, base))))
 
 
 def bucket_of(value: Column, bounds: list[int]) -> Column:
