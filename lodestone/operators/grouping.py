@@ -70,8 +70,9 @@ def grouped_split(rows: DataFrame, group: str, label: str, fractions: dict[str,
     with no other and one row for those that do: their number, not their names.
     Roles are dealt within such a set by the order of a hash.
     """
-    classes = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]
-    counts = rows.groupBy(group).pivot(label, classes).count().na.fill(0)
+    named = rows.withColumn("_class", F.coalesce(F.col(label).cast("string"), F.lit("(none)")))
+    classes = [r[0] for r in named.select("_class").distinct().orderBy("_class").collect()]
+    counts = named.groupBy(group).pivot("_class", classes).count().na.fill(0)
     profile = F.array(*[F.col(f"`{c}`").cast("long") for c in classes])
     shaped = counts.select(group, profile.alias("profile"))
     shapes = [(tuple(r[0]), r[1]) for r in shaped.groupBy("profile").count().collect()]
@@ -94,9 +95,9 @@ def grouped_split(rows: DataFrame, group: str, label: str, fractions: dict[str,
                 dealt.append((list(shape), last, last + k, role))
                 last += k
     table = rows.sparkSession.createDataFrame(dealt, "profile array<bigint>, low bigint, high bigint, role string")
-    placed = shaped.withColumn("k", F.row_number().over(Window.partitionBy("profile").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), group), 256))) - 1)
-    roles = placed.join(F.broadcast(table), "profile").where((F.col("k") >= F.col("low")) & (F.col("k") < F.col("high"))).select(group, "role")
-    return rows.join(roles, group)
+    placed = shaped.withColumn("k", F.row_number().over(Window.partitionBy("profile").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(group).cast("string"), F.lit("(none)"))), 256))) - 1)
+    roles = placed.join(table, "profile").where((F.col("k") >= F.col("low")) & (F.col("k") < F.col("high"))).select(F.col(group).alias("_group"), "role")
+    return rows.join(roles, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def split_violations(rows: DataFrame, group: str, role: str = "role") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,26 +29,43 @@ def draws(groups: DataFrame, replicates: int, seed: int) -> DataFrame:
     return drawn.groupBy("replicate", "number").agg(F.count("*").alias("weight"))
 
 
-def cluster_bootstrap(rows: DataFrame, group: str, value: str, replicates: int = 20, confidence: float = 0.95, seed: int = 1) -> DataFrame:
-    """estimate, lower, upper, groups of the mean of value when whole groups are drawn.
+def cluster_bootstrap(rows: DataFrame, group: str, value: str, *by: str, replicates: int = 2000, confidence: float = 0.95, seed: int = 1) -> DataFrame:
+    """by, estimate, lower, upper, groups of the mean of value when whole groups are drawn, the same draws for every cell of by.
 
     A replicate's mean is a ratio of weighted sums over groups, so replicates meet
-    one row for each group and never the rows.
+    one row for each group and cell and never the rows.
     """
-    sums = rows.groupBy(F.col(group).alias("_group")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    ordered = numbered(sums, "_group")
-    means = draws(sums, replicates, seed).join(ordered, "number").groupBy("replicate").agg((F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("n"))).alias("m"))
+    sums = rows.groupBy(*by, F.col(group).alias("_group")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    names = sums.select("_group").distinct()
+    ordered = sums.join(numbered(names, "_group"), "_group")
+    mean = lambda w: F.try_divide(F.sum(w * F.col("s")), F.sum(w * F.col("n")))
+    means = draws(names, replicates, seed).join(ordered, "number").groupBy(*by, "replicate").agg(mean(F.col("weight")).alias("m"))
     low = (1 - confidence) / 2
-    ends = means.agg(F.percentile("m", F.array(F.lit(low), F.lit(1 - low))).alias("q"))
-    whole = sums.agg((F.sum("s") / F.sum("n")).alias("estimate"), F.count("*").alias("groups"))
-    return whole.join(F.broadcast(ends)).select("estimate", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), "groups")
+    ends = means.groupBy(*by).agg(F.percentile("m", F.array(F.lit(low), F.lit(1 - low))).alias("q"))
+    whole = sums.groupBy(*by).agg(mean(F.lit(1)).alias("estimate"), F.count("*").alias("groups"))
+    met = whole.join(ends, list(by)) if by else whole.join(F.broadcast(ends))
+    return met.select(*by, "estimate", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), "groups")
 
 
-def clustered_ap(rows: DataFrame, group: str, target: str, score: str, replicates: int = 20, confidence: float = 0.95, seed: int = 1) -> DataFrame:
-    """estimate, lower, upper, replicates of the average precision when whole groups are drawn.
+def paired_bootstrap(left: DataFrame, right: DataFrame, key: str, group: str, value: str, replicates: int = 2000, seed: int = 1) -> DataFrame:
+    """estimate, lower, upper, groups of the mean of right's value less left's over the same keys, drawn by whole groups.
+
+    Both tables need the same keys, each once, with the same groups: else reading is an error.
+    """
+    one = left.groupBy(key).agg(F.count("*").alias("_n"), F.any_value(group).alias("_g"), F.any_value(value).alias("a"))
+    two = right.groupBy(key).agg(F.count("*").alias("_m"), F.any_value(group).alias("_h"), F.any_value(value).alias("b"))
+    met = one.join(two, key, "full")
+    sound = F.coalesce((F.col("_n") == 1) & (F.col("_m") == 1) & F.col("_g").eqNullSafe(F.col("_h")), F.lit(False))
+    difference = F.when(sound, F.col("b") - F.col("a")).otherwise(F.raise_error(F.concat(F.lit("unpaired key "), F.col(key).cast("string"))).cast("double"))
+    return cluster_bootstrap(met.select(F.col("_g").alias("g"), difference.alias("d")), "g", "d", replicates=replicates, seed=seed)
+
+
+def clustered_ap(rows: DataFrame, group: str, target: str, score: str, replicates: int = 2000, confidence: float = 0.95, seed: int = 1) -> DataFrame:
+    """estimate, lower, upper, replicates, defined of the average precision when whole groups are drawn.
 
     Replicates of a single class are undefined and left out (replicates counts the
-    rest). They meet one row for each group and score, never the rows.
+    rest); with fewer than max(100, half of them) left the numbers are null. They
+    meet one row for each group and score, never the rows.
     """
     levels = rows.groupBy(F.col(group).alias("_group"), F.col(score).alias("s")).agg(F.sum(F.col(target).cast("long")).alias("pos"), F.count("*").alias("cnt"))
     groups = materialize(numbered(levels.select("_group").distinct(), "_group"), "groups")
@@ -58,13 +76,15 @@ def clustered_ap(rows: DataFrame, group: str, target: str, score: str, replicate
     found = cum.groupBy("replicate").agg((F.sum(F.col("pos") * F.col("tp") / F.col("k")) / F.nullif(F.sum("pos"), F.lit(0))).alias("ap"), (F.sum("pos") < F.sum("cnt")).alias("both"))
     drawn, low = F.when(F.col("both") & (F.col("replicate") >= 0), F.col("ap")), (1 - confidence) / 2
     ends = F.percentile(drawn, F.array(F.lit(low), F.lit(1 - low)))
-    return found.agg(F.max(F.when(F.col("both") & (F.col("replicate") < 0), F.col("ap"))).alias("estimate"), ends[0].alias("lower"), ends[1].alias("upper"), F.count(drawn).alias("replicates"))
+    whole = found.agg(F.max(F.when(F.col("both") & (F.col("replicate") < 0), F.col("ap"))).alias("e"), ends.alias("q"), F.count(drawn).alias("replicates"))
+    enough = F.col("replicates") >= max(100, replicates // 2)
+    return whole.select(F.when(enough, F.col("e")).alias("estimate"), F.when(enough, F.col("q")[0]).alias("lower"), F.when(enough, F.col("q")[1]).alias("upper"), "replicates", enough.alias("defined"))
 
 
-def two_level_bootstrap(rows: DataFrame, seed_key: str, group: str, value: str, replicates: int = 20, confidence: float = 0.95, seed: int = 1) -> DataFrame:
+def two_level_bootstrap(rows: DataFrame, seed_key: str, group: str, value: str, replicates: int = 2000, confidence: float = 0.95, seed: int = 1) -> DataFrame:
     """estimate, lower, upper of the mean of the seeds' means when seeds, then whole groups of a drawn seed, are drawn.
 
-    Seeds are few (a row of each is broadcast); groups may be many and never meet in one task.
+    Seeds are few; groups may be many and never meet in one task.
     """
     sums = rows.groupBy(F.col(seed_key).alias("_seed"), F.col(group).alias("_group")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     placed = materialize(numbered(sums, "_seed", "_group", out="_at"), "groups")
@@ -74,7 +94,7 @@ def two_level_bootstrap(rows: DataFrame, seed_key: str, group: str, value: str,
     cells = rows.sparkSession.range(most or 0).select(F.col("id").alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(max(replicates * count, 1) - 1))).alias("_c"))
     cells = cells.select("_i", F.expr(f"_c DIV {max(count, 1)}").alias("replicate"), (F.col("_c") % max(count, 1)).alias("slot"))
     cells = cells.withColumn("_pick", ids.choice(ids.digest(str(seed), "seed", F.col("replicate"), F.col("slot")), max(count, 1)))
-    drawn = cells.join(F.broadcast(seeds), "_pick").where("_i < _m")
+    drawn = cells.join(seeds, "_pick").where("_i < _m")
     at = F.col("_first") + ids.choice(ids.digest(str(seed), F.col("replicate"), F.col("slot"), F.col("_i")), F.col("_m"))
     weights = drawn.select("replicate", "slot", at.alias("_at")).groupBy("replicate", "slot", "_at").agg(F.count("*").alias("w"))
     means = weights.join(placed, "_at").groupBy("replicate", "slot").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
@@ -105,14 +125,31 @@ def _corrected(rows: DataFrame, p: str, by: tuple[str, ...], name: str, level: f
     return done.unionByName(rows.where(F.col(p).isNull()), allowMissingColumns=True)
 
 
+EXACT = 50  # differences up to which the distribution of the rank sum is counted out
+
+
+def rank_sum_tail(n: int, statistic: float) -> float:
+    """Two-sided p-value of a signed rank sum of n different absolute differences, by counting all signs."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1.0
+    for k in range(1, n + 1):
+        ways[k:] = ways[k:] + ways[:-k] if k < len(ways) else ways[k:]
+    return min(1.0, 2 * float(ways[: int(statistic) + 1].sum()) / 2.0**n)
+
+
 @F.pandas_udf(DoubleType())
-def _two_sided(z: pd.Series) -> pd.Series:
-    """Normal tail on both sides; a row for each group, so nothing of size goes through Python."""
-    return z.map(lambda x: math.erfc(x / math.sqrt(2)), na_action="ignore").astype("float64")
+def _p_value(n: pd.Series, statistic: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+    """Exact for few differences without ties, else the normal tail; a row for each group, so nothing of size goes through Python."""
+    exact = lambda k, t: k <= EXACT and t == 0
+    found = [rank_sum_tail(int(k), w) if exact(k, t) else None if pd.isna(x) else math.erfc(x / math.sqrt(2)) for k, w, t, x in zip(n, statistic, ties, z)]
+    return pd.Series(found, dtype="float64")
 
 
 def wilcoxon(rows: DataFrame, difference: str, *by: str) -> DataFrame:
-    """n (without zeros), statistic, rank_biserial, z, p_value (two-sided, tie-corrected normal) by group; null without a nonzero difference."""
+    """n (without zeros), statistic, rank_biserial, z, p_value by group; no row without a nonzero difference.
+
+    p_value is two-sided: exact for up to EXACT differences without ties, else normal with a correction for ties.
+    """
     moved = rows.where(F.col(difference) != 0).withColumn("_abs", F.abs(difference))
     ranked = midranks(moved, "_abs", "_rank", *by)
     side = lambda test: F.coalesce(F.sum(F.when(test, F.col("_rank"))), F.lit(0.0))
@@ -122,4 +159,4 @@ def wilcoxon(rows: DataFrame, difference: str, *by: str) -> DataFrame:
     n = F.col("n")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
     z = F.when(spread > 0, F.abs(F.col("up") - n * (n + 1) / 4.0) / spread)
-    return met.select(*by, "n", F.least("up", "down").alias("statistic"), ((F.col("up") - F.col("down")) / (n * (n + 1) / 2.0)).alias("rank_biserial"), z.alias("z")).withColumn("p_value", _two_sided("z"))
+    return met.select(*by, "n", F.least("up", "down").alias("statistic"), ((F.col("up") - F.col("down")) / (n * (n + 1) / 2.0)).alias("rank_biserial"), z.alias("z"), "ties").withColumn("p_value", _p_value("n", "statistic", "ties", "z")).drop("ties")

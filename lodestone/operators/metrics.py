@@ -89,7 +89,7 @@ def ranking(rows: DataFrame, target: str, score: str, *by: str, min_positives: i
 
 
 def control_ecdf(rows: DataFrame, value: str, is_control: str) -> DataFrame:
-    """Rows that are no controls, with percentile: the share of controls at or below their value.
+    """Rows that are no controls, with percentile: the share of controls at or below their value (null for a null value).
 
     Counts are summed for each value first and the running sum is taken within
     ranges of values, with the ranges' totals added: no single task sorts all rows.
@@ -102,7 +102,7 @@ def control_ecdf(rows: DataFrame, value: str, is_control: str) -> DataFrame:
     before = totals.select("range", F.coalesce(F.sum("c").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy()).alias("all"))
     inside = F.sum("controls").over(Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     table = ranged.withColumn("at", inside).join(F.broadcast(before), "range").select(F.col("v").alias(value), F.try_divide((F.col("at") + F.col("before")).cast("double"), F.col("all")).alias("percentile"))
-    return rows.where(~F.col(is_control)).join(table, value)
+    return rows.where(~F.coalesce(F.col(is_control), F.lit(False))).join(table, value, "left")
 
 
 def linear_cka(rows: DataFrame, x: str, y: str) -> DataFrame:

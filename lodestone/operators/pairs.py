@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import ids
 from lodestone.functions import scalars as S
+from lodestone.operators.ordering import numbered
+from lodestone.storage import materialize
 
 # Strength of each change by severity.
 STRENGTH = {
@@ -63,10 +65,12 @@ def changed(e: Column, donor: Column, family: Column, strength: Column, key: Col
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """rows with the representation of the next vec_id of 1 to n (the last: the first) as d."""
-    n = rows.agg(F.max("vec_id")).first()[0] or 0
-    shifted = rows.select(((F.col("vec_id") + n) % (n + 1)).alias("vec_id"), F.col("e").alias("d"))
-    return rows.join(shifted, "vec_id")
+    """rows with the representation of the next vec_id in order (the last: the first) as d, whatever gaps the ids have."""
+    place = materialize(numbered(rows.select("vec_id"), "vec_id"), "places")
+    n = place.count()
+    after = place.select(F.col("vec_id").alias("_next"), F.pmod(F.col("number") - 1, F.lit(max(n, 1))).alias("number"))
+    links = place.join(after, "number").select("vec_id", "_next")
+    return rows.join(links, "vec_id").join(rows.select(F.col("vec_id").alias("_next"), F.col("e").alias("d")), "_next").drop("_next")
 
 
 def pairs(spark: SparkSession, sf_dir: str, temperature: float = 10.0) -> DataFrame:
@@ -87,8 +91,8 @@ def partner(sources: DataFrame, candidates: DataFrame, purpose: str, same_class:
     by_class = candidates.groupBy("label").agg(F.count("*").alias("n"))
     firsts = by_class.select("label", "n", F.coalesce(F.sum("n").over(Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
     own = F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1
-    numbered = candidates.select("id", "label", own.alias("rank")).join(F.broadcast(firsts), "label").select("id", (F.col("before") + F.col("rank")).alias("number"))
-    placed = sources.select("id", "label").join(F.broadcast(firsts), "label").join(candidates.select("id", "label", own.alias("rank")), ["id", "label"], "left")
+    numbered = candidates.select("id", "label", own.alias("rank")).join(firsts, "label").select("id", (F.col("before") + F.col("rank")).alias("number"))
+    placed = sources.select("id", "label").join(firsts, "label").join(candidates.select("id", "label", own.alias("rank")), ["id", "label"], "left")
     pick = ids.digest(f"{seed}:{purpose}", F.col("id"))
     if same_class:
         held = F.when(F.col("rank").isNotNull(), 1).otherwise(0)

@@ -41,6 +41,25 @@ def seed_summary(rows: DataFrame, by: str, seed: str, value: str, seeds: int) ->
     return each.groupBy(by).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count("v").alias("n_seeds"), (F.count("v") == seeds).alias("defined"))
 
 
+def learning_curve(train: DataFrame, validation: DataFrame, keys: list[str], loss: str, score: str) -> DataFrame:
+    """keys, loss, score; a validation row without a training row is an error when the rows are read."""
+    met = validation.select(*keys, score).join(train.select(*keys, loss), keys, "left")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("no training rows for"), *keys)).cast("double")
+    return met.select(*keys, F.coalesce(loss, lost).alias(loss), score)
+
+
+def reconcile(first: DataFrame, second: DataFrame, third: DataFrame, key: str, answer: str) -> DataFrame:
+    """key, first, second, decision: the common answer, or the third one's where two differ.
+
+    The first two need the same keys, and every disagreement a third answer: else reading is an error.
+    """
+    one, two, judge = (t.select(key, F.col(answer).alias(n)) for t, n in ((first, "first"), (second, "second"), (third, "_third")))
+    met = one.join(two, key, "full").join(judge, key, "left")
+    wrong = F.raise_error(F.concat(F.lit("no decision for "), F.col(key).cast("string"))).cast(dict(first.dtypes)[answer])
+    decision = F.when(F.col("first").isNull() | F.col("second").isNull(), wrong).when(F.col("first") == F.col("second"), F.col("first")).otherwise(F.coalesce("_third", wrong))
+    return met.select(key, "first", "second", decision.alias("decision"))
+
+
 def early_stop(rows: DataFrame, run: str, step: str, score: str, min_delta: float, patience: int) -> DataFrame:
     """run, best, best_step, stopped_at (null if never): a score counts as better only by more than min_delta."""
     log = F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), F.col(score).alias("score"))))

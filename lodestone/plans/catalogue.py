@@ -368,13 +368,14 @@ def detection_gate(spark, d):
 
 
 @query(f"""WITH d AS (SELECT d.source, (l.quality = 0)::INT AS y, d.n_chars % 97 AS s FROM labels l JOIN documents d USING (doc_id)), g AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS number FROM d GROUP BY 1), k AS (SELECT count(*) AS m FROM g),
- w AS (SELECT r.range AS replicate, (('0x' || substr(sha256('1' || chr(0) || r.range || chr(0) || i.range), 1, 16))::UBIGINT % k.m)::BIGINT AS number, count(*) AS weight FROM range(20) r, k, range(k.m) i GROUP BY 1, 2 UNION ALL SELECT -1, number, 1 FROM g),
+ w AS (SELECT r.range AS replicate, (('0x' || substr(sha256('1' || chr(0) || r.range || chr(0) || i.range), 1, 16))::UBIGINT % k.m)::BIGINT AS number, count(*) AS weight FROM range(2000) r, k, range(k.m) i GROUP BY 1, 2 UNION ALL SELECT -1, number, 1 FROM g),
  x AS (SELECT replicate, s, sum(weight * y) AS pos, sum(weight) AS cnt FROM d JOIN g USING (source) JOIN w USING (number) GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER o AS tp, sum(cnt) OVER o AS n FROM x WINDOW o AS (PARTITION BY replicate ORDER BY s DESC)),
- a AS (SELECT replicate, sum(pos * tp / n) / sum(pos) AS ap FROM c GROUP BY 1 HAVING sum(pos) > 0 AND sum(pos) < sum(cnt))
- SELECT round(max(ap) FILTER (WHERE replicate < 0), 6) AS estimate, round(quantile_cont(ap, 0.025) FILTER (WHERE replicate >= 0), 6) AS lower, round(quantile_cont(ap, 0.975) FILTER (WHERE replicate >= 0), 6) AS upper, count(*) FILTER (WHERE replicate >= 0) AS replicates FROM a""")
+ a AS (SELECT replicate, sum(pos * tp / n) / sum(pos) AS ap FROM c GROUP BY 1 HAVING sum(pos) > 0 AND sum(pos) < sum(cnt)),
+ z AS (SELECT max(ap) FILTER (WHERE replicate < 0) AS e, quantile_cont(ap, 0.025) FILTER (WHERE replicate >= 0) AS lo, quantile_cont(ap, 0.975) FILTER (WHERE replicate >= 0) AS hi, count(*) FILTER (WHERE replicate >= 0) AS replicates FROM a)
+ SELECT CASE WHEN replicates >= 1000 THEN round(e, 6) END AS estimate, CASE WHEN replicates >= 1000 THEN round(lo, 6) END AS lower, CASE WHEN replicates >= 1000 THEN round(hi, 6) END AS upper, replicates, replicates >= 1000 AS defined FROM z""")
 def clustered_ap_ci(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "doc_id").select("source", (F.col("quality") == 0).cast("int").alias("y"), (F.col("n_chars") % 97).alias("s"))
-    return inference.clustered_ap(rows, "source", "y", "s").select(*[r6(c, c) for c in ("estimate", "lower", "upper")], "replicates")
+    return inference.clustered_ap(rows, "source", "y", "s").select(*[r6(c, c) for c in ("estimate", "lower", "upper")], "replicates", "defined")
 
 
 @query("""WITH r AS (SELECT l_returnflag, rank() OVER a + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS x, rank() OVER b + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2 AS y FROM lineitem
@@ -408,30 +409,30 @@ def family_division(spark, d):
     return reports.division(rows, "p_type", "p_brand", rows.select("p_brand").distinct().count())
 
 
-_DRAWS = """g AS (SELECT o_custkey, sum(o_totalprice) AS s, count(*) AS n, row_number() OVER (ORDER BY o_custkey) - 1 AS number FROM orders GROUP BY 1), k AS (SELECT count(*) AS m FROM g),
- w AS (SELECT r.range AS replicate, (('0x' || substr(sha256('1' || chr(0) || r.range || chr(0) || i.range), 1, 16))::UBIGINT % k.m)::BIGINT AS number, count(*) AS weight FROM range(20) r, k, range(k.m) i GROUP BY 1, 2)"""
+_DRAWS = """g AS (SELECT l_suppkey, sum(l_extendedprice) AS s, count(*) AS n, row_number() OVER (ORDER BY l_suppkey) - 1 AS number FROM lineitem GROUP BY 1), k AS (SELECT count(*) AS m FROM g),
+ w AS (SELECT r.range AS replicate, (('0x' || substr(sha256('1' || chr(0) || r.range || chr(0) || i.range), 1, 16))::UBIGINT % k.m)::BIGINT AS number, count(*) AS weight FROM range(2000) r, k, range(k.m) i GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_DRAWS} SELECT replicate::INT AS replicate, number, weight FROM w")
 def bootstrap_weights(spark, d):
-    return inference.draws(table(spark, d, "orders").select("o_custkey").distinct(), 20, 1)
+    return inference.draws(table(spark, d, "lineitem").select("l_suppkey").distinct(), 2000, 1)
 
 
 @query(f"""WITH {_DRAWS}, m AS (SELECT replicate, sum(weight * s) / sum(weight * n) AS m FROM w JOIN g USING (number) GROUP BY 1)
  SELECT (SELECT round(sum(s) / sum(n), 4) FROM g) AS estimate, round(quantile_cont(m, 0.025), 4) AS lower, round(quantile_cont(m, 0.975), 4) AS upper, (SELECT count(*) FROM g) AS groups FROM m""")
 def cluster_bootstrap_ci(spark, d):
-    found = inference.cluster_bootstrap(table(spark, d, "orders"), "o_custkey", "o_totalprice")
+    found = inference.cluster_bootstrap(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice")
     return found.select(*[F.round(c, 4).alias(c) for c in ("estimate", "lower", "upper")], "groups")
 
 
-@query("""WITH g AS (SELECT o_orderpriority AS seed, o_custkey, sum(o_totalprice) AS s, count(*) AS n, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) - 1 AS number FROM orders GROUP BY 1, 2),
+@query("""WITH g AS (SELECT l_returnflag AS seed, l_suppkey, sum(l_extendedprice) AS s, count(*) AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_suppkey) - 1 AS number FROM lineitem GROUP BY 1, 2),
  e AS (SELECT seed, count(*) AS m, sum(s) / sum(n) AS mean, row_number() OVER (ORDER BY seed) - 1 AS pick FROM g GROUP BY 1), k AS (SELECT count(*) AS c FROM e),
- p AS (SELECT r.range AS replicate, t.range AS slot, (('0x' || substr(sha256('1' || chr(0) || 'seed' || chr(0) || r.range || chr(0) || t.range), 1, 16))::UBIGINT % k.c)::BIGINT AS pick FROM range(20) r, k, range(k.c) t),
+ p AS (SELECT r.range AS replicate, t.range AS slot, (('0x' || substr(sha256('1' || chr(0) || 'seed' || chr(0) || r.range || chr(0) || t.range), 1, 16))::UBIGINT % k.c)::BIGINT AS pick FROM range(2000) r, k, range(k.c) t),
  w AS (SELECT replicate, slot, seed, (('0x' || substr(sha256('1' || chr(0) || replicate || chr(0) || slot || chr(0) || i.range), 1, 16))::UBIGINT % m)::BIGINT AS number, count(*) AS w FROM (SELECT * FROM p JOIN e USING (pick)) q, range(q.m) i GROUP BY 1, 2, 3, 4),
  a AS (SELECT replicate, slot, sum(w * s) / sum(w * n) AS m FROM w JOIN g USING (seed, number) GROUP BY 1, 2), b AS (SELECT replicate, avg(m) AS m FROM a GROUP BY 1)
  SELECT (SELECT round(avg(mean), 4) FROM e) AS estimate, round(quantile_cont(m, 0.025), 4) AS lower, round(quantile_cont(m, 0.975), 4) AS upper FROM b""")
 def two_level_ci(spark, d):
-    found = inference.two_level_bootstrap(table(spark, d, "orders"), "o_orderpriority", "o_custkey", "o_totalprice")
+    found = inference.two_level_bootstrap(table(spark, d, "lineitem"), "l_returnflag", "l_suppkey", "l_extendedprice")
     return found.select(*[F.round(c, 4).alias(c) for c in ("estimate", "lower", "upper")])
 
 
@@ -490,8 +491,9 @@ def _rated(spark, d) -> DataFrame:
 
 @query(f"WITH r AS ({_RATED}) SELECT r.doc_id, first, second, CASE WHEN first = second THEN first ELSE toxic = 0 END AS decision FROM r JOIN labels USING (doc_id)")
 def review_reconcile(spark, d):
-    judged = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 0).alias("third"))
-    return _rated(spark, d).join(judged, "doc_id").select("doc_id", "first", "second", F.when(F.col("first") == F.col("second"), F.col("first")).otherwise(F.col("third")).alias("decision"))
+    rated = _rated(spark, d)
+    judged = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 0).alias("said"))
+    return reports.reconcile(rated.select("doc_id", F.col("first").alias("said")), rated.select("doc_id", F.col("second").alias("said")), judged, "doc_id", "said")
 
 
 @query(f"WITH s AS (SELECT count(*) AS n, avg((first = second)::INT) AS a, avg(first::INT) AS x, avg(second::INT) AS y FROM ({_RATED})) SELECT n, round(a, 6) AS agreement, round((a - (x * y + (1 - x) * (1 - y))) / (1 - (x * y + (1 - x) * (1 - y))), 6) AS kappa FROM s")
@@ -523,12 +525,12 @@ def pareto(spark, d):
     return reports.pareto(rows, "s_acctbal", "revenue").select("s_suppkey", "s_acctbal", "revenue")
 
 
-@query("""WITH t AS (SELECT user_id, ts::DATE AS epoch, avg(value) AS loss FROM events WHERE event_type <> 'error' GROUP BY 1, 2), v AS (SELECT user_id, ts::DATE AS epoch, max(value) AS best FROM events WHERE event_type = 'error' GROUP BY 1, 2)
+@query("""WITH t AS (SELECT user_id, ts::DATE AS epoch, avg(value) AS loss FROM events GROUP BY 1, 2), v AS (SELECT user_id, ts::DATE AS epoch, max(value) AS best FROM events WHERE event_type = 'error' GROUP BY 1, 2)
  SELECT user_id, epoch::VARCHAR AS epoch, round(loss, 6) AS loss, best FROM t JOIN v USING (user_id, epoch)""")
 def learning_curve(spark, d):
     rows = table(spark, d, "events").withColumn("epoch", F.to_date("ts").cast("string"))
-    train = rows.where("event_type <> 'error'").groupBy("user_id", "epoch").agg(r6(F.avg("value"), "loss"))
-    return train.join(rows.where("event_type = 'error'").groupBy("user_id", "epoch").agg(F.max("value").alias("best")), ["user_id", "epoch"])
+    train = rows.groupBy("user_id", "epoch").agg(r6(F.avg("value"), "loss"))
+    return reports.learning_curve(train, rows.where("event_type = 'error'").groupBy("user_id", "epoch").agg(F.max("value").alias("best")), ["user_id", "epoch"], "loss", "best")
 
 
 @query()
@@ -536,11 +538,12 @@ def early_stop(spark, d):
     return reports.early_stop(table(spark, d, "events"), "user_id", "event_id", "value", 0.5, 5)
 
 
-@query("WITH a AS (SELECT doc_id, sha256(text) AS actual, CASE WHEN doc_id % 100 = 3 THEN sha256('changed') ELSE sha256(text) END AS expected FROM documents) SELECT doc_id, expected, actual FROM a WHERE actual <> expected")
+@query("""WITH a AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 100 <> 7), e AS (SELECT doc_id AS path, CASE WHEN doc_id % 100 = 3 THEN sha256('changed') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 100 <> 5)
+ SELECT coalesce(a.path, e.path) AS path, CASE WHEN a.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'unlisted' ELSE 'digest' END AS problem FROM a FULL JOIN e ON a.path = e.path WHERE a.path IS NULL OR e.path IS NULL OR a.h <> e.h""")
 def manifest_verify(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("actual"))
-    manifest = rows.select("doc_id", F.when(F.col("doc_id") % 100 == 3, F.sha2(F.lit("changed"), 256)).otherwise(F.col("actual")).alias("expected"))
-    return manifest.join(rows, "doc_id", "full").where(~F.col("expected").eqNullSafe(F.col("actual"))).select("doc_id", "expected", "actual")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    told = rows.withColumn("sha256", F.when(F.col("path") % 100 == 3, F.sha2(F.lit("changed"), 256)).otherwise(F.col("sha256")))
+    return files.manifest_violations(told.where("path % 100 <> 5"), rows.where("path % 100 <> 7"))
 
 
 @query("""WITH r AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, sum(octet_length(encode(coalesce(text, '')))) OVER (ORDER BY doc_id) AS upto FROM documents) SELECT doc_id, bytes, ((upto - bytes) // 1000000)::BIGINT AS part FROM r""")

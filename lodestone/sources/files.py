@@ -58,10 +58,12 @@ def read_npz(spark: SparkSession, folder: str, key: str, vector: str) -> DataFra
 
 
 def read_npy(spark: SparkSession, folder: str, digests: DataFrame | None = None) -> DataFrame:
-    """path, shape, values (flat, row-major) of every NPY file; with digests (path, sha256) only files that agree with theirs."""
+    """path, shape, values (flat, row-major) of every NPY file; with digests (path, sha256) a file that has no digest there or another one is an error."""
     rows = scan(spark, folder, "*.npy")
     if digests is not None:
-        rows = rows.withColumn("sha256", F.sha2("content", 256)).join(digests.select("path", "sha256"), ["path", "sha256"], "left_semi")
+        told = rows.join(digests.select("path", F.col("sha256").alias("_told")), "path", "left")
+        wrong = F.raise_error(F.concat(F.lit("digest of "), "path")).cast("binary")
+        rows = told.withColumn("content", F.when(F.sha2("content", 256) == F.col("_told"), F.col("content")).otherwise(wrong)).drop("_told")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from functools import reduce
 
@@ -39,10 +40,13 @@ def write_document(spark: SparkSession, path: str, value: dict | list) -> None:
         out.write(bytearray((json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False, allow_nan=False) + "\n").encode()))
     finally:
         out.close()
-    if files.exists(place):
-        files.delete(place, False)
-    if not files.rename(part, place):
-        raise OSError(f"cannot write {path}")
+    if place.toUri().getScheme() in (None, "file") and files.getScheme() == "file":
+        os.replace(part.toUri().getPath(), place.toUri().getPath())
+    else:  # one step where the store renames over a file in one
+        jvm = spark.sparkContext._jvm
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, place, options)
 
 
 def read_documents(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:

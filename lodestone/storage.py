@@ -17,10 +17,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset (tests on one machine)."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one on one machine and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="lodestone-"))
     return _local[0]

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lodestone.plans import catalogue
+from lodestone.plans import catalogue, studies  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -85,9 +85,13 @@ def test_arrays(spark, tmp_path):
     np.save(data, np.arange(6, dtype=np.float32).reshape(2, 3))
     for name in "xy":
         (tmp_path / f"{name}.npy").write_bytes(data.getvalue())
-    known = spark.createDataFrame([("x.npy", hashlib.sha256(data.getvalue()).hexdigest()), ("y.npy", "")], "path string, sha256 string")
-    got = files.read_npy(spark, str(tmp_path), known).collect()
-    assert [(r.path, r.shape, r.values) for r in got] == [("x.npy", [2, 3], [0, 1, 2, 3, 4, 5])]
+    good = hashlib.sha256(data.getvalue()).hexdigest()
+    known = lambda y: spark.createDataFrame([("x.npy", good), ("y.npy", y)], "path string, sha256 string")
+    got = files.read_npy(spark, str(tmp_path), known(good)).collect()
+    assert sorted((r.path, r.shape, r.values) for r in got) == [(p, [2, 3], [0, 1, 2, 3, 4, 5]) for p in ("x.npy", "y.npy")]
+    for wrong in ("", None):
+        with pytest.raises(Exception, match="digest of y.npy"):
+            files.read_npy(spark, str(tmp_path), known(wrong)).collect()
 
 
 def test_parts(spark):
