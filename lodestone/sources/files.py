@@ -95,3 +95,20 @@ def parts(files: DataFrame, cap: int = 512 << 20) -> DataFrame:
     """path, bytes, part: files in order of path, laid end to end and cut at every cap bytes; part is where a file begins."""
     placed = before(files.select("path", "bytes"), F.sum, F.col("bytes"), "path")
     return placed.select("path", "bytes", F.expr(f"coalesce(total, 0L) DIV {int(cap)}").alias("part"))
+
+
+def report_index(rows: DataFrame, keep: str = "*.json") -> DataFrame:
+    """path, bytes, sha256 of the scanned files whose path fits the pattern of names: what a report's inputs are."""
+    pattern = "(^|/)" + keep.replace(".", r"\.").replace("*", "[^/]*") + "$"
+    return manifest(rows.where(F.col("path").rlike(pattern)))
+
+
+def npz_bytes(ids: list[int], vectors: list[list[float]]) -> bytes:
+    """An NPZ file of aligned arrays ids and vectors; for tables that the driver holds."""
+    import numpy as np
+
+    if len(ids) != len(vectors):
+        raise ValueError("ids and vectors are not aligned")
+    out = io.BytesIO()
+    np.savez(out, ids=np.asarray(ids, np.int64), vectors=np.asarray(vectors, np.float64))
+    return out.getvalue()
