@@ -8,9 +8,9 @@ A line kept by enough documents loses its occurrences elsewhere. What goes back
 to the texts is a sparse bitmap of 64-bit words for each document that loses
 lines, and no text.
 
-Keys that hold a large share of all occurrences (found on a sample; a matter
-of balance, not of results) do not enter the sort: their few totals come from
-partial aggregates and are broadcast, a row for each, at most MOST_HOT.
+Keys of many occurrences (more than HOT_ROWS, or HOT_SHARE of all, as a sample
+tells; a matter of balance, not of results) do not enter the sort: their totals
+come from partial aggregates.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.native import STRIPPED, ascii_lower
 from lodestone.storage import materialize
 
-HOT_SHARE = 1 / 2048  # of the occurrences; so there are MOST_HOT hot keys at most
-MOST_HOT = 2048
+HOT_ROWS, HOT_SHARE = 200_000, 1 / 2048  # occurrences of a key, whichever is less, beyond which it is hot
+SAMPLED = 20_000_000  # occurrences (about) of the sample, at most
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -36,22 +36,22 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def dropped_lines(found: DataFrame, min_docs: int) -> DataFrame:
     """doc_id, th, pos of the occurrences to drop."""
-    sample = found.sample(0.05, 11).groupBy("h1").count()
-    size = sample.agg(F.sum("count")).first()[0] or 0
-    hot = [r[0] for r in sample.where(F.col("count") > max(20, HOT_SHARE * size)).orderBy(F.desc("count")).limit(MOST_HOT).select("h1").collect()]
-    is_hot = F.col("h1").isin(hot) if hot else F.lit(False)
+    n = found.count()
+    share = min(0.05, max(SAMPLED / max(n, 1), 100 / HOT_ROWS))
+    hot = materialize(found.sample(share, 11).groupBy("h1").count().where(F.col("count") > max(20, share * min(HOT_ROWS, HOT_SHARE * n))).select("h1"), "hot")
     by_key = Window.partitionBy("h1", "h2").orderBy(F.desc_nulls_last("doc_id"), "pos")
     stream = (
-        found.where(~is_hot).repartitionByRange("h1", "h2")
+        found.join(hot, "h1", "left_anti").repartitionByRange("h1", "h2")
         .withColumn("keeper", F.first("doc_id").over(by_key))
         .withColumn("rank", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy(F.desc_nulls_last("doc_id"))))
         .withColumn("n_docs", F.max("rank").over(by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     )
     drops = [stream.where(F.col("n_docs") >= min_docs)]
-    if hot:
-        once = found.where(is_hot).select("h1", "h2", "doc_id").distinct()
+    if not hot.isEmpty():
+        often = found.join(hot, "h1", "left_semi")
+        once = often.select("h1", "h2", "doc_id").distinct()
         totals = once.groupBy("h1", "h2").agg(F.max("doc_id").alias("keeper"), F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-        drops.append(found.where(is_hot).join(F.broadcast(totals), ["h1", "h2"]))
+        drops.append(often.join(totals, ["h1", "h2"]))
     return _union([d.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "th", "pos") for d in drops])
 
 
