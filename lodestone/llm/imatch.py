@@ -3,15 +3,15 @@
 Document frequencies are counted over all documents. The lexicon is the terms
 whose share of documents lies in a band, BAND; since the shares of all terms add
 up to the mean number of distinct terms of a document, at most that mean
-divided by the band's lower end can qualify, however large the corpus is, and
-the lexicon can be sent to every executor (the lower end is raised for corpora
-of very long documents so that at most MOST_TERMS can). It is laid out as a
+divided by the band's lower end can qualify (200 times that mean), however large the
+corpus is, and the lexicon can be sent to every executor. It is laid out as a
 two-probe hash table in one array, so that a look-up costs the same for any size.
 
 A fingerprint is the signatures of SUBSETS random subsets of the lexicon, each
 a hash of the document's sorted distinct terms in it. Subsets of several rates
 leave few terms of short as of long documents; likeness is the share of equal
-signatures among those that are empty in neither or in one only.
+signatures among those that are empty in neither or in one only. A text without a
+term of the lexicon has a hash of its own in place of the first signature.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.native import let
+from lodestone.llm.native import bucket_of, let
 
-BAND = (0.001, 0.3)  # least and largest share of documents
-MOST_TERMS = 50_000
+BAND = (0.005, 0.3)  # least and largest share of documents
+BROADCAST = 1_000_000  # buckets up to which their first documents (12 bytes each) are broadcast
+BUCKET_ROWS = 50_000  # documents of a bucket at which more buckets than tasks are made
 RATES = [8, 16, 32, 64, 128, 256]  # a subset holds one in so many terms of the lexicon
 SUBSETS = 48
 EMPTY = "00000000"
@@ -34,15 +35,13 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, most: int = MOST_TERMS) -> list[int]:
-    """Hashes of the terms in the band; bounded by `most` whatever the corpus."""
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[int]:
+    """Hashes of the terms whose share of all documents lies in the band, and that two documents hold at least."""
     each = docs.select(terms(F.col("text")).alias("t"))
     counted = each.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    rows, total = each.agg(F.count("*"), F.sum(F.size("t"))).first()
-    if not total:
-        return []
-    least = max(2, band[0] * rows, total / most)  # a term of one document says nothing of others
-    return [r[0] for r in counted.where((F.col("n") >= least) & (F.col("n") <= max(band[1] * rows, 1))).select("term").collect()]
+    rows = docs.count()
+    least = max(2, band[0] * rows)  # a term of one document says nothing of others
+    return counted.where((F.col("n") >= least) & (F.col("n") <= max(band[1] * rows, 1))).select("term").toArrow()["term"].to_pylist()
 
 
 def hash_table(keys: list[int]) -> np.ndarray:
@@ -84,7 +83,9 @@ def signatures(text: Column, table: Column, size: int) -> Column:
     masks = F.array(*[F.lit(RATES[k % len(RATES)] - 1).cast("long") for k in range(SUBSETS)])
     digits = lambda p: F.when(F.size(p) == 0, F.lit(EMPTY)).otherwise(F.lower(F.lpad(F.hex(F.greatest(F.xxhash64(p).bitwiseAND(0xFFFFFFFF), F.lit(1).cast("long"))), 8, "0")))
     one = lambda kept, k: let(F.filter(kept, lambda h: F.xxhash64(k, h).bitwiseAND(F.get(masks, k)) == 0), digits)
-    return let(inside, lambda kept: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: one(kept, k)), ""))
+    alone = F.rpad(digits(F.array(F.coalesce(text, F.lit("")))), 8 * SUBSETS, "0")
+    each = lambda kept: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: one(kept, k)), "")
+    return let(inside, lambda kept: F.when(F.size(kept) == 0, alone).otherwise(each(kept)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -95,18 +96,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(same / F.greatest(used, F.lit(1)))
 
 
-def _bucket(value: Column, bounds: list[int]) -> Column:
-    """Number of bounds below value, found among groups of bounds and then within one."""
-    if not bounds:
-        return F.lit(0)
-    width = max(1, int(len(bounds) ** 0.5))
-    firsts = F.array(*[F.lit(b).cast("long") for b in bounds[::width]])
-    groups = F.array(*[F.array(*[F.lit(b).cast("long") for b in bounds[i : i + width]]) for i in range(0, len(bounds), width)])
-    group = F.size(F.filter(firsts, lambda f: f < value))
-    inner = F.coalesce(F.size(F.filter(F.get(groups, group - 1), lambda f: f < value)), F.lit(0))
-    return F.when(value.isNull() | (group == 0), F.lit(0)).otherwise((group - 1) * width + inner)
-
-
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, fingerprint of every row; equal texts have equal fingerprints, a null text that of the empty one."""
     keys = lexicon(docs, band)
@@ -129,21 +118,18 @@ def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Data
     keys = lexicon(docs, band)
     table, size = lexicon_table(keys), len(hash_table(keys))
     n_rows = rows.count()
-    buckets = max(1, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows))
-    bounds = sorted(set((rows.agg(F.percentile_approx("doc_id", F.lit([i / buckets for i in range(1, buckets)]), F.lit(10_000))).first()[0] or []) if buckets > 1 else []))
-    rows = rows.withColumn("bucket", _bucket(F.col("doc_id"), bounds))
-    firsts = sorted(rows.select("bucket", "doc_id").groupBy("bucket").agg(F.max("doc_id")).collect())  # a row for each bucket
+    buckets = max(1, min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // BUCKET_ROWS), n_rows))
+    one_in = max(1, n_rows // (8 * buckets))
+    sampled = np.sort(rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").toArrow()["doc_id"].to_numpy())
+    bounds = np.unique(sampled[np.arange(1, buckets) * len(sampled) // buckets]).tolist() if len(sampled) else []
+    rows = rows.withColumn("bucket", bucket_of(F.col("doc_id"), bounds))
+    firsts = sorted(rows.groupBy("bucket").agg(F.max("doc_id")).collect())  # a row for each bucket
     # The first documents of a bucket go to the next higher bucket too, those of the highest to the lowest.
-    before = {first: firsts[(i + 1) % len(firsts)][0] for i, (_, first) in enumerate(firsts)}
-    target = F.lit(None).cast("int")
-    if before:
-        known = [k for k in before if k is not None]
-        pairs = F.create_map(*[x for k in known for x in (F.lit(k).cast("long"), F.lit(before[k]).cast("int"))]) if known else None
-        target = F.when(F.col("doc_id").isNull(), F.lit(before.get(None)).cast("int"))
-        if known:
-            target = target.otherwise(F.when(F.col("doc_id").isin(known), F.element_at(pairs, F.coalesce("doc_id", F.lit(known[0])))))
+    sends = spark.createDataFrame([(first, firsts[(i + 1) % len(firsts)][0]) for i, (_, first) in enumerate(firsts)], "first long, target int")
+    sends = F.broadcast(sends) if len(firsts) <= BROADCAST else sends
+    rows = rows.join(sends, F.col("doc_id").eqNullSafe(F.col("first")), "left").drop("first")
     marked = rows.withColumn("fingerprint", signatures(F.col("text"), table, size))
-    sent = marked.withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("ghost")), F.when(target.isNotNull(), F.struct(target.alias("bucket"), F.lit(1).alias("ghost"))))))).drop("bucket").select("*", "to.*").drop("to")
+    sent = marked.withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("ghost")), F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("bucket"), F.lit(1).alias("ghost"))))))).drop("bucket", "target").select("*", "to.*").drop("to")
     order = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
     nexts = sent.select("*", F.lead("text").over(order).alias("next_text"), F.lead("fingerprint").over(order).alias("next_fingerprint")).where("ghost = 0")
     n = F.char_length("text")
