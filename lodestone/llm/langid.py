@@ -5,8 +5,9 @@ unit length) of the whole text. A linear SVM for each family against the rest
 picks the family; within it each pair of languages has an SVM of its own, and
 most votes win (then the larger sum of margins, then the name).
 
-Fitted on at most PER_LANG documents of each language, those with the smallest
-hash of doc_id among rows with a language that are not held out.
+Fitted on at most PER_LANG documents of each language, fewer where there are more
+than SAMPLE / PER_LANG languages (all languages are learned), those with the
+smallest hash of doc_id and text among rows with a language that are not held out.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.storage import materialize
+
 DIM = 4096  # hashed n-grams
 PER_LANG = 400  # bound of the sample for each language
-MOST_LANGS = 200
+SAMPLE = 8000  # documents of all languages together; two of each at least
 CHUNK = 1 << 20  # bytes whose n-grams are counted at once
 
 # Families of language codes; a code that is missing is a family of its own.
@@ -69,12 +72,13 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 50.0, rounds: int = 150) ->
     """Weights and, last, the bias of a linear SVM (squared hinge, classes of equal weight), by accelerated gradients."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w = at = np.zeros(x.shape[1])
-    step = 1 / (1 + 2 * c * 2 * 0.5)
+    weight, y = weight.astype(x.dtype), y.astype(x.dtype)
+    w = at = np.zeros(x.shape[1], x.dtype)
+    c, step = x.dtype.type(c), x.dtype.type(1 / (1 + 2 * c * 2 * 0.5))
     for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ at))
+        slack = np.maximum(x.dtype.type(0), 1 - y * (x @ at))
         new = at - step * (at - 2 * c * (x.T @ (weight * y * slack)))
-        at, w = new + k / (k + 3) * (new - w), new
+        at, w = new + x.dtype.type(k / (k + 3)) * (new - w), new
     return w
 
 
@@ -119,27 +123,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def sample(docs: DataFrame, per_lang: int = PER_LANG, most: int = SAMPLE) -> DataFrame:
+    """lang, text of the documents to learn from.
+
+    A first cut by a bound on the hash, from the number of each language's rows,
+    leaves about twice as many as are wanted, so what is ranked within a language
+    is small however many rows it has.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    want = max(2, min(per_lang, most // max(counts.count(), 1)))
+    share = F.least(F.lit(1.0), F.lit(2.0 * want + 50) / F.col("n"))
+    near = rows.join(counts, "lang").where(F.shiftrightunsigned("h", 11) < share * float(1 << 53))
+    once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= want).select("lang", "text")
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> dict:
     """Model from the bounded sample; without labelled rows a model that knows no language."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.withColumn("h", F.xxhash64("doc_id"))
-    ranked = rows.select("lang", "h").withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= per_lang)
-    limits = ranked.groupBy("lang").agg(F.max("h")).orderBy("lang").limit(MOST_LANGS).collect()
-    if not limits:
-        return {"families": {}, "family": [], "pairs": {}}
-    chosen = F.lit(False)
-    for lang, h in limits:
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= h))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [vector(t).astype(np.float32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["lang", "x"])
 
-    # Rows that repeat a doc_id share its hash, so the sample is cut once more.
-    sample = rows.where(chosen).select("lang", "text").limit(per_lang * len(limits)).mapInArrow(run, "lang string, x binary").collect()
-    sample.sort(key=lambda r: (r[0], bytes(r[1])))
-    return fit(np.stack([np.frombuffer(r[1], np.float32) for r in sample]).astype(np.float64), [r[0] for r in sample])
+    found = sample(docs, per_lang).mapInArrow(run, "lang string, x binary").collect()
+    if not found:
+        return {"families": {}, "family": [], "pairs": {}}
+    found.sort(key=lambda r: (r[0], bytes(r[1])))
+    return fit(np.stack([np.frombuffer(r[1], np.float32) for r in found]), [r[0] for r in found])
 
 
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -162,13 +174,24 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns, that get a language; "und" and scores below least_score go."""
+    """The rows of docs, all columns, that get a language; "und" and scores below least_score go.
+
+    A table without labelled rows teaches no language: then every text with a letter
+    stays. Null and empty texts go, repeated rows are treated alike, texts are read
+    whole, columns of any name stay, and an empty table stays empty.
+    """
     model = train(docs)
 
+    def known_text(text: str | None) -> bool:
+        if not model["families"]:
+            return has_letter(text)
+        lang, score = predict(model, text)
+        return lang != "und" and score >= least_score
+
     @F.pandas_udf("boolean")
     def known(text):
         import pandas as pd
 
-        return pd.Series([(p := predict(model, t))[0] != "und" and p[1] >= least_score for t in text], dtype=bool)
+        return pd.Series([known_text(t) for t in text], dtype=bool)
 
     return docs.where(known("text"))
