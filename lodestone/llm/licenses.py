@@ -1,16 +1,18 @@
 """Licence scans (operator 3): a trained paragraph classifier, without user functions.
 
-Paragraphs (lines) that pass a gate, which is made of the templates' own words
+A paragraph is a line and, unless an ending mark or a blank line closes it, the
+line after it. Those that pass a gate, which is made of the templates' own words
 and word pairs and of general anchor words, are described by the hashed words and
 word pairs they hold; a multinomial logistic regression with sparse weights
-gives the licence family or none. Its probabilities are calibrated by a
-temperature, and below a threshold chosen on kept-out paragraphs the answer is
-"unknown". A prediction counts as confirmed if enough of the paragraph's or the
+gives a licence family, another licence, or none. Its probabilities are calibrated
+by a temperature, and the threshold below which the answer is "unknown" is chosen
+on licences that it has not seen (STRANGE): at most LET_THROUGH of their variants
+get a family. A prediction counts as confirmed if enough of the paragraph's or the
 template's word pairs are shared with a template of that family.
 
 Fitted on the driver on variants of the templates below and on at most
 NEGATIVES lines of the corpus without an anchor word or licence name (smallest
-hash first).
+hash first) of about NEGATIVE_DOCS documents.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.native import let
 
 DIM = 2048
-NEGATIVES = 400  # bound of the lines that the classifier takes from the corpus
-VARIANTS = 60  # of each template
+NEGATIVES, NEGATIVE_DOCS = 400, 20_000  # bounds of what the classifier takes from the corpus
+LET_THROUGH = 0.05  # share of variants of unseen licences that may get a family
+VARIANTS = 30  # of each template
 CONFIRMED = 0.5  # share of word pairs
 
 # Short statements that name a licence, by family.
@@ -44,10 +47,20 @@ TEMPLATES = {
     "public-domain": ["this is free and unencumbered software released into the public domain", "dedicated to the public domain under cc0 1.0 universal"],
     "proprietary": ["copyright all rights reserved no part may be reproduced without permission", "all rights reserved unauthorized copying is strictly prohibited"],
 }
+for _family, _names in {"apache": ["apache-2.0"], "mit": ["mit"], "gpl": ["gpl-2.0-or-later", "gpl-3.0-only"], "lgpl": ["lgpl-2.1-only"], "agpl": ["agpl-3.0-only"], "bsd": ["bsd-3-clause", "bsd-2-clause"], "mpl": ["mpl-2.0"], "cc-by": ["cc-by-4.0"], "cc-by-sa": ["cc-by-sa-4.0"], "cc-by-nc": ["cc-by-nc-4.0"]}.items():
+    TEMPLATES[_family] = TEMPLATES[_family] + [f"spdx-license-identifier {n}" for n in _names]
+# Licences of no family above, to learn what another licence is.
+ANOTHER = [
+    "licensed under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "spdx-license-identifier isc", "distributed under the boost software license version 1.0",
+    "the boost software license applies to this library", "spdx-license-identifier bsl-1.0", "licensed under the eclipse public license version 2.0", "spdx-license-identifier epl-2.0", "subject to the terms of the common development and distribution license",
+    "this font software is licensed under the sil open font license version 1.1", "licensed under the microsoft public license", "licensed under the wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document", "licensed under the terms of the vendor license agreement",
+]
+# Licences that only calibrate.
+STRANGE = ["released under the artistic license 2.0", "licensed under the european union public licence version 1.2", "this library is under the zlib license", "spdx-license-identifier zlib", "licensed under the open data commons license", "licensed under the acme community license version 7", "use is subject to the example research license"]
 ANCHORS = r"(?i)licen[sc]|copyright|all rights reserved|public domain|redistribut|\bgpl|\bcc[ -]?(?:by|0)|spdx|permission is hereby|free software|compliance with"
 # Lines with an anchor word that grant nothing.
 OTHERS = ["a driving licence is required for this job", "the poet took license with the facts", "software licensing costs rose last year", "the copyright office opened again on monday", "he worked in the public domain of politics", "taxes redistribute income", "in compliance with the rules of the court", "license to operate a taxi"]
-OTHERS += ["students at mit built a robot", "the apache helicopter landed", "a herd of gnu crossed the river", "mozilla released a new browser", "the creative commons of the town", "the terms of the contract were kept", "the file is in the folder", "bsd is an operating system", "the form must be signed with the following conditions"]
+OTHERS += ["she read the terms and went home to her family", "under the terms of the treaty the army left", "the version on the shelf is old", "students at mit built a robot", "the apache helicopter landed", "a herd of gnu crossed the river", "mozilla released a new browser", "the creative commons of the town", "the terms of the contract were kept", "the file is in the folder", "bsd is an operating system", "the form must be signed with the following conditions"]
 PART = r"[^\p{L}\p{N}.-]+"
 # Words that name a licence by themselves, and words that say nothing of one (a pair of two such is no sign).
 NAMES = ["gnu", "gpl", "lgpl", "agpl", "mit", "apache", "bsd", "mozilla", "mpl", "creative commons", "cc0", "unlicense", "sharealike", "noncommercial", "unencumbered"]
@@ -93,15 +106,19 @@ def _vector(line: str) -> np.ndarray:
 def fit(negatives: list[str]) -> dict:
     """Weights (classes, DIM), biases, temperature and threshold; class 0 is none."""
     rng = random.Random(5)
-    classes = ["none", *TEMPLATES]
+    classes = ["none", *TEMPLATES, "unknown"]
     lines: list[tuple[str, int]] = [(x, 0) for x in negatives]
     plain = [w for x in negatives for w in tokens(x)][:5000] or ["word"]
-    for c, texts in enumerate(TEMPLATES.values(), 1):
-        for text in texts:
-            for v in range(VARIANTS):
-                words = [w for w in text.split() if v == 0 or rng.random() > 0.08]
-                words = [rng.choice(plain) for _ in range(rng.choice((0, 0, 2, 5)))] + words + [rng.choice(plain) for _ in range(rng.choice((0, 0, 2, 5)))]
-                lines.append((" ".join(words), c))
+
+    def variants(text: str) -> list[str]:
+        out = []
+        for v in range(VARIANTS):
+            words = [w for w in text.split() if v == 0 or rng.random() > 0.08]
+            out.append(" ".join([rng.choice(plain) for _ in range(rng.choice((0, 0, 2, 5)))] + words + [rng.choice(plain) for _ in range(rng.choice((0, 0, 2, 5)))]))
+        return out
+
+    for c, texts in enumerate([*TEMPLATES.values(), ANOTHER], 1):
+        lines += [(line, c) for text in texts for line in variants(text)]
     for text in OTHERS:
         lines += [(" ".join([w for w in text.split() if v == 0 or rng.random() > 0.1]), 0) for v in range(VARIANTS)]
     rng.shuffle(lines)
@@ -124,15 +141,18 @@ def fit(negatives: list[str]) -> dict:
         return p / p.sum(1, keepdims=True)
 
     temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: -np.log(probabilities(t)[np.arange(len(truth)), truth] + 1e-12).mean())
+    held = np.stack([_vector(line) for text in STRANGE for line in variants(text)]) @ w + b
     p = probabilities(temperature)
-    wrong = p.max(1)[(p.argmax(1) != truth) & (p.argmax(1) > 0)]
-    return {"classes": classes, "w": w, "b": b, "temperature": temperature, "threshold": max(0.5, float(np.quantile(wrong, 0.9)) if len(wrong) else 0.5)}
+    family = (p.argmax(1) > 0) & (p.argmax(1) < len(classes) - 1)
+    taken = np.sort(np.where(family, p.max(1), 0.0))
+    return {"classes": classes, "w": w, "b": b, "temperature": temperature, "threshold": max(0.5, float(taken[int((1 - LET_THROUGH) * len(taken))]) + 1e-9)}
 
 
 def train(docs: DataFrame) -> dict:
     names = "|".join(NAMES).replace(" ", PART)
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(rf"{ANCHORS}|(?<![\p{{L}}\p{{N}}])(?:{names})(?!\p{{L}})") & (F.char_length("line") > 20))
-    rows = lines.select(F.xxhash64("line").alias("h"), F.substring("line", 1, 200).alias("line")).orderBy("h", "line").limit(NEGATIVES).collect()
+    one_in = max(1, docs.count() // NEGATIVE_DOCS)
+    lines = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(one_in)) == 0).select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(rf"{ANCHORS}|(?<![\p{{L}}\p{{N}}])(?:{names})(?!\p{{L}})") & (F.char_length("line") > 20))
+    rows = lines.select(F.xxhash64("line").alias("h"), "line").orderBy("h", "line").limit(NEGATIVES).collect()
     return fit([r[1] for r in rows])
 
 
@@ -140,6 +160,11 @@ def _numbers(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(f"{v:.5g}" for v in values)), ",").cast("array<double>")
 
 
+def shortest_of() -> list[int]:
+    """For every class the word pairs of its shortest template that is a sentence."""
+    return [1, *[min(len(t.split()) - 1 for t in texts if not t.startswith("spdx")) for texts in TEMPLATES.values()], 1]
+
+
 def classify(line: Column, model: dict) -> Column:
     """Struct of family, probability and confirmed for one line."""
     classes, k = model["classes"], len(model["classes"])
@@ -148,7 +173,7 @@ def classify(line: Column, model: dict) -> Column:
     pairs = F.array(*[F.array(*[F.lit(h - (1 << 64) if h >> 63 else h) for h in sorted({_hash(g) for t in TEMPLATES.get(c, []) for g in grams(t.split()) if " " in g})] or [F.lit(0).cast("long")]).cast("array<bigint>") for c in classes])
     words = F.filter(F.split(F.lower(line), PART), lambda w: F.regexp_replace(w, "[.-]", "") != "")
     both = lambda w: F.concat(w, F.filter(F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))), lambda g: g.contains(" ")))
-    shortest = F.array(F.lit(1), *[F.lit(min(len(t.split()) - 1 for t in texts)) for texts in TEMPLATES.values()])
+    shortest = F.array(*map(F.lit, shortest_of()))
 
     def scored(hashes: Column) -> Column:
         places = F.array_distinct(F.transform(hashes, lambda h: h.bitwiseAND(DIM - 1).cast("int")))
@@ -167,7 +192,7 @@ def classify(line: Column, model: dict) -> Column:
 
     def told(r: Column) -> Column:
         names = F.array(*[F.lit(c) for c in classes])
-        family = F.when(r["c"] == 0, "none").when((r["p"] < model["threshold"]) | (r["share"] < CONFIRMED), "unknown").otherwise(F.get(names, r["c"]))
+        family = F.when(r["c"] == 0, "none").when((r["c"] == k - 1) | (r["p"] < model["threshold"]) | (r["share"] < CONFIRMED), "unknown").otherwise(F.get(names, r["c"]))
         return F.struct(family.alias("family"), F.round(r["p"], 6).alias("probability"), (r["share"] >= CONFIRMED).alias("confirmed"))
 
     hashes = let(words, lambda w: F.transform(both(w), lambda g: F.xxhash64(g)))
@@ -177,14 +202,16 @@ def classify(line: Column, model: dict) -> Column:
 def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """doc_id, families (sorted, distinct; "unknown" for a licence paragraph of no certain family), paragraphs of every row.
 
-    paragraphs: array of (line, family, probability, confirmed) of the lines that
-    pass the gate and that the classifier does not take for ordinary text; line
-    counts from 0. A null or empty text has none. Repeated rows repeat, further
+    paragraphs: array of (line, family, probability, confirmed) of the paragraphs that
+    pass the gate and that the classifier does not take for ordinary text, by the
+    first line, which counts from 0. Texts of any length are read whole. A null or empty text has none. Repeated rows repeat, further
     columns play no part, and an empty table gives an empty result.
     """
     model = train(docs) if model is None else model
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("t"))), lambda s: s["t"].rlike(gate()))
+    closed = lambda x, after: x.rlike(r"[.!?:;]\s*$") | after.isNull() | ~after.rlike(r"\S")
+    windows = lambda all_lines: F.transform(all_lines, lambda x, i: F.struct(i.alias("line"), F.when(closed(x, F.get(all_lines, i + 1)), x).otherwise(F.concat_ws(" ", x, F.get(all_lines, i + 1))).alias("t")))
+    lines = F.filter(let(F.split(text, "\n"), windows), lambda s: s["t"].rlike(gate()))
     each = lambda s: let(classify(s["t"], model), lambda r: F.struct(s["line"].alias("line"), r["family"].alias("family"), r["probability"].alias("probability"), r["confirmed"].alias("confirmed")))
     kind = "array<struct<line:int,family:string,probability:double,confirmed:boolean>>"
     found = F.when(text.rlike(gate()), F.filter(F.transform(lines, each), lambda r: r["family"] != "none")).otherwise(F.array().cast(kind))
