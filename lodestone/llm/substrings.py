@@ -1,132 +1,172 @@
 """Substring deduplication by sliding sentence spans (operator 8).
 
-A text is cut into sentences (an ending mark or a line break closes one), and
-sentences of more than WINDOW words once more at words that their own hash picks:
-the least of every WINDOW words in a row begins a part. What decides a cut lies
-within WINDOW words of it, so of a repeated passage all but fewer than WINDOW
-words at each end is cut alike wherever it begins and ends, and every repeat of
-MIN_WORDS + 2 * WINDOW - 1 = 50 or more words holds a common span.
+A text is cut into sentences: a word that ends in an ending mark, or a line break
+behind a word, closes one. Sentences of WINDOW words or more are cut once more at
+words that their own hash picks: the least of every WINDOW words in a row begins a
+part. What decides a cut lies within WINDOW words of it, so of a repeated passage
+all but fewer than WINDOW words at each end is cut alike wherever it begins and
+ends, and every repeat of MIN_WORDS + 2 * WINDOW - 1 = 50 or more words holds a
+common span.
 
 Spans are runs of consecutive parts with at least min_words words: from every part the
 shortest such run that begins there, and to every part the shortest that ends
-there, so a repeated passage is covered to its outermost common cuts.
-Spans are joined globally by 96 bits of hash of their parts' keys (lower-cased,
-white space collapsed), as a merge of one range-partitioned sort. The first
-occurrence of a span by document and position stays; parts that a later
-occurrence covers go.
+there, so a repeated passage is covered to its outermost common cuts. Words, cuts
+and spans of a block of texts are found together by array operations on code points.
+
+Spans are joined globally by 96 bits of hash of their words (lower-cased), as a
+merge of one range-partitioned sort. The first occurrence of a span by document
+and position stays; parts that a later occurrence covers go.
 """
 
 from __future__ import annotations
 
-import re
-from collections import deque
 from collections.abc import Iterator
-from zlib import crc32
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.storage import materialize
 
 MIN_WORDS = 25
 WINDOW = 13  # words: most of a part
-SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
-WORD = re.compile(r"\S+")
+BLOCK = 250_000  # code points of the texts handled together; a longer text is a block by itself
+PLAIN = 0x3001  # code points from here on are neither white space nor lower-cased
+SPACE = np.array([chr(c).isspace() for c in range(PLAIN)])
+LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(PLAIN)], np.uint64)
+BASES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]  # odd, so they have inverses
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of h."""
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(29)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """1, base, base ** 2, ... modulo 2 ** 64."""
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+class Parts(NamedTuple):
+    """The parts of a block of texts."""
+
+    whose: np.ndarray  # place of the text of every part
+    at: np.ndarray  # code point of its text at which a part begins
+    bound: np.ndarray  # word at which every part begins, and the number of words
+    hashes: np.ndarray  # of the words
+    first: np.ndarray  # first part of every text, and the number of parts
 
 
-def _picked(hashes: list[int]) -> list[int]:
-    """Places that hold the least hash (the last of equal ones) of any WINDOW in a row, in order."""
-    out: list[int] = []
-    line: deque[int] = deque()  # places of the window at hand, hashes rising
-    for p, h in enumerate(hashes):
-        while line and hashes[line[-1]] >= h:
-            line.pop()
-        line.append(p)
-        if line[0] <= p - WINDOW:
-            line.popleft()
-        if p >= WINDOW - 1 and (not out or out[-1] != line[0]):
-            out.append(line[0])
-    return out
+def parts_of(texts: list[str]) -> Parts:
+    """Sentences of the texts, long ones in parts of at most WINDOW words."""
+    cp = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32)
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts]])  # of the texts
+    low = np.minimum(cp, PLAIN - 1)
+    space = SPACE[low] & (cp < PLAIN)
+    edge = np.flatnonzero(np.diff(space, prepend=True))  # words begin and end in turn
+    start, end = edge[::2], edge[1::2]
+    n = len(start)
+    if not n:
+        return Parts(*[np.zeros(0, np.int64)] * 2, np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64))
+    size = end - start
+    letters = np.where(cp < PLAIN, LOWER[low], cp)[~space] + np.uint64(1)
+    inside = np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)
+    hashes = _mix(np.add.reduceat(letters * _powers(BASES[0], int(size.max()))[inside], np.cumsum(size) - size))
+    lines = np.cumsum(cp == 10)
+    cut = np.ones(n, bool)
+    cut[1:] = np.isin(cp[end[:-1] - 1], [33, 46, 63]) | (lines[start[1:]] > lines[end[:-1] - 1])
+    sentence = np.cumsum(cut)
+    if n >= WINDOW:
+        rank, m = _mix(hashes ^ BASES[2]), n - WINDOW + 1
+        least, where = rank[:m].copy(), np.zeros(m, np.int64)
+        for k in range(1, WINDOW):  # the least of every WINDOW words, the last of equal ones
+            hit = rank[k : m + k] <= least
+            least[hit] = rank[k : m + k][hit]
+            where[hit] = k
+        whole = sentence[:m] == sentence[WINDOW - 1 :]
+        cut[(np.arange(m) + where)[whole]] = True
+    words = np.flatnonzero(cut)
+    whose = np.searchsorted(begins, start[words], side="right") - 1
+    first = np.searchsorted(whose, np.arange(len(texts) + 1))
+    at = start[words] - begins[whose]
+    at[first[:-1][np.diff(first) > 0]] = 0  # white space at the front belongs to the first part
+    return Parts(whose, at, np.append(words, n), hashes, first)
 
 
 def sentences(text: str) -> list[str]:
-    """Consecutive parts that make up the text: sentences, long ones in parts of at most WINDOW words."""
-    out: list[str] = []
-    for s in SENTENCE.findall(text):
-        words = s.lower().split()
-        if len(words) <= WINDOW:
-            out.append(s)
-            continue
-        starts = [m.start() for m in WORD.finditer(s)]
-        at = [0, *[starts[p] for p in _picked([crc32(w.encode("utf-8", "replace")) for w in words]) if p], len(s)]
-        out += [s[a:b] for a, b in zip(at, at[1:])]
-    return out
+    """Consecutive parts that make up a text; one without words is one part, an empty one none."""
+    at = [*parts_of([text]).at.tolist(), len(text)] if text.strip() else [0, len(text)][: 2 * bool(text)]
+    return [text[a:b] for a, b in zip(at, at[1:])]
+
 
+def spans_of(texts: list[str], min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """Of every span of the texts: place of the text, first part, part after the last, two halves of the hash."""
+    p = parts_of(texts)
+    n = len(p.whose)
+    part = np.arange(n)
+    begin, until = p.bound[p.first[p.whose]], p.bound[p.first[p.whose + 1]]  # words of the part's text
+    ahead, back = p.bound[:-1] + min_words, p.bound[1:] - min_words
+    to, since = np.searchsorted(p.bound, ahead), np.searchsorted(p.bound, back, side="right") - 1
+    forth, upto = ahead <= until, back >= begin
+    runs = np.unique(np.concatenate([part[forth] * (n + 1) + to[forth], since[upto] * (n + 1) + part[upto] + 1]))
+    i, j = runs // (n + 1), runs % (n + 1)
+    a, b = p.bound[i], p.bound[j]
+    found = []
+    for base, words in ((BASES[1], p.hashes), (BASES[2], _mix(p.hashes))):
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(base, len(words)))])
+        found.append(_mix((sums[b] - sums[a]) * _powers(inverse, len(words) + 1)[a] + (b - a).astype(np.uint64)))
+    whose = p.whose[i]
+    return whose, (i - p.first[whose]).astype(np.int32), (j - p.first[whose]).astype(np.int32), found[0].view(np.int64), (found[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-def spans(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+
+def spans(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, ...]]:
     """(first part, part after the last, two halves of the hash) of every span."""
-    parts = [s.lower().split() for s in sentences(text)]
-    counts = [len(p) for p in parts]
-    keys = [" ".join(p) for p in parts]
-    runs: set[tuple[int, int]] = set()
-    total = end = 0
-    for i, n in enumerate(counts):  # from i, shortest
-        while total < min_words and end < len(counts):
-            total += counts[end]
-            end += 1
-        if total < min_words:
-            break
-        if n:
-            runs.add((i, end))
-        total -= n
-    total, begin = 0, len(counts)
-    for j in range(len(counts), 0, -1):  # up to j, shortest
-        while total < min_words and begin > 0:
-            begin -= 1
-            total += counts[begin]
-        if total < min_words:
-            break
-        if counts[j - 1]:
-            runs.add((begin, j))
-        total -= counts[j - 1]
-    out = []
-    for i, j in runs:
-        h = xxhash.xxh3_128_intdigest(" ".join([k for k in keys[i:j] if k]))
-        out.append((i, j, (h >> 64) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31)))
-    return out
+    return list(zip(*(x.tolist() for x in spans_of([text], min_words)[1:])))
+
+
+def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about BLOCK code points."""
+    begin = size = 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= BLOCK or k == len(texts) - 1:
+            yield begin, k + 1
+            begin, size = k + 1, 0
 
 
 def _span_rows(docs: DataFrame, min_words: int) -> DataFrame:
     names = ["doc_id", "th", "i", "j", "h", "g"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32()]
         for batch in batches:
-            whose: list[int] = []
-            found: list[tuple[int, int, int, int]] = []
-            for row, text in enumerate(batch.column(2).to_pylist()):
-                each = spans(text, min_words) if text else []
-                whose += [row] * len(each)
-                found += each
-            at = pa.array(whose, pa.int64())
-            flat = [pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 4, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *flat], names)
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            for a, b in _blocks(texts):
+                whose, *found = spans_of(texts[a:b], min_words)
+                at = pa.array(whose + a, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, found)], names)
+
+    return docs.select(F.col("doc_id").cast("long"), _text_hash(F.coalesce("text", F.lit(""))), "text").mapInArrow(run, "doc_id long, th int, i int, j int, h long, g int")
+
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th long, i int, j int, h long, g int")
+def _text_hash(text: Column) -> Column:
+    """32 bits that tell rows of one doc_id apart."""
+    return F.hash(text).alias("th")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition of the spans in the order of hash and place.
+    """One partition of the packed spans in the order of hash and place.
 
     Yields the spans that follow another place of their hash (edge false), and as
     edges the first place of the partition's first hash and of its last one: what
     earlier partitions hold can only change the former.
     """
-    names = ["edge", "lead", "h", "g", "doc_id", "th", "i", "j"]
+    names = ["edge", "lead", "h", "gt", "doc_id", "ij"]
     first = None  # row of the first place of the hash at hand, as Arrow
     lead = True
     for batch in batches:
@@ -134,9 +174,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cols = {n: batch.column(batch.schema.get_field_index(n)) for n in names[2:]}
         n = batch.num_rows
-        key = [cols["h"].to_numpy(), cols["g"].to_numpy()]
+        gt = cols["gt"].to_numpy()
+        key = [cols["h"].to_numpy(), gt >> 32]
         nil = np.asarray(cols["doc_id"].is_null())
-        place = [nil, cols["doc_id"].fill_null(0).to_numpy(), cols["th"].to_numpy(), cols["i"].to_numpy()]
+        place = [nil, cols["doc_id"].fill_null(0).to_numpy(), gt & 0xFFFFFFFF, cols["ij"].to_numpy() >> 32]
         new = np.ones(n, bool)
         new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
         if first is not None:
@@ -166,11 +207,16 @@ def repeated_spans(table: DataFrame) -> DataFrame:
 
     The table meets itself in one global sort by hash and place: a hash that a
     large share of the documents hold goes over many partitions, as its places
-    differ. Two rows for each partition settle the hashes on the borders.
+    differ. Two rows for each partition settle the hashes on the borders. Pairs of
+    small numbers travel as one.
     """
-    order = ["h", "g", F.asc_nulls_last("doc_id"), "th", "i"]
-    kinds = "edge boolean, lead boolean, h long, g int, doc_id long, th long, i int, j int"
-    met = materialize(table.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_meet, kinds), "repeats")
+    two = lambda a, b: (F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long").bitwiseAND(0xFFFFFFFF)))
+    high = lambda c: F.shiftright(c, 32).cast("int")
+    low = lambda c: (F.shiftright(F.shiftleft(F.col(c), 32), 32)).cast("int")
+    packed = table.select("h", two("g", "th").alias("gt"), "doc_id", two("i", "j").alias("ij"))
+    order = ["h", high("gt"), F.asc_nulls_last("doc_id"), low("gt"), high("ij")]
+    met = materialize(packed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_meet, "edge boolean, lead boolean, h long, gt long, doc_id long, ij long"), "repeats")
+    met = met.select("edge", "lead", "h", high("gt").alias("g"), "doc_id", low("gt").alias("th"), high("ij").alias("i"), low("ij").alias("j"))
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th", "i")
     edges = met.where("edge").withColumn("first", F.min(place).over(Window.partitionBy("h", "g")))
     late = edges.where(F.col("lead") & (place != F.col("first")))
@@ -192,16 +238,20 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_all, n_gone = [], [], []
-            for text, removed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                parts = sentences(text)
-                lost = {k for r in removed or [] for k in range(r["i"], r["j"])}
-                texts.append("".join([s for k, s in enumerate(parts) if k not in lost]) if lost else text)
-                n_all.append(len(parts))
-                n_gone.append(len(lost))
+            texts, removed = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            n_all, n_gone = [], []
+            for a, b in _blocks(texts):
+                p = parts_of(texts[a:b])
+                for k, text in enumerate(texts[a:b]):
+                    at = [*p.at[p.first[k] : p.first[k + 1]].tolist(), len(text)]
+                    lost = {x for r in removed[a + k] for x in range(r["i"], r["j"])}
+                    n_all.append(max(len(at) - 1, int(bool(text))))
+                    n_gone.append(len(lost))
+                    if lost:
+                        texts[a + k] = "".join([text[at[x] : at[x + 1]] for x in range(len(at) - 1) if x not in lost])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_all, pa.int64()), pa.array(n_gone, pa.int64()), batch.column(2), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "removed", "text"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).alias("d")
-    met = rows.join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.th")), "left")
+    met = rows.join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (_text_hash(F.col("d.text")) == F.col("g.th")), "left")
     kind = "array<struct<i:int,j:int>>"
     return met.select("d.doc_id", "d.text", F.coalesce("g.removed", F.array().cast(kind)).alias("removed")).mapInArrow(run, f"doc_id long, n_sentences long, n_removed long, removed {kind}, text string")
