@@ -135,13 +135,17 @@ def test_folds_before_each_row(spark, parts):
 def test_wilcoxon_p_value(spark):
     rows = spark.createDataFrame([("a", float(d)) for d in (1, 2, 3, -4, 5, 6, 7, 8, 9, 10)] + [("b", 0.0)], "g string, d double")
     found = inference.wilcoxon(rows, "d", "g").collect()
-    z = (51 - 27.5) / math.sqrt(10 * 11 * 21 / 24)
-    assert [(r.g, r.n, r.statistic) for r in found] == [("a", 10, 4.0)] and math.isclose(found[0].p_value, math.erfc(z / math.sqrt(2)))
+    assert [(r.g, r.n, r.statistic) for r in found] == [("a", 10, 4.0)]
+    assert math.isclose(found[0].p_value, 2 * 7 / 2**10)  # the ranks 1 to 10 have seven subsets of sum 4 or less
+    many = spark.createDataFrame([(float(d) if d % 5 else -float(d),) for d in range(1, 61)], "d double")  # too many to count out
+    (r,) = inference.wilcoxon(many, "d").collect()
+    z = abs(sum(d for d in range(1, 61) if d % 5) - 60 * 61 / 4) / math.sqrt(60 * 61 * 121 / 24)
+    assert math.isclose(r.p_value, math.erfc(z / math.sqrt(2)))
 
 
 def test_bootstraps_of_one_answer(spark):
     rows = spark.createDataFrame([(s, g, float(y), y) for s in "xy" for g in range(10) for y in (0, 1)], "s string, g int, score double, y int")
-    assert tuple(inference.clustered_ap(rows, "g", "y", "score").first()) == (1.0, 1.0, 1.0, 20)
+    assert tuple(inference.clustered_ap(rows, "g", "y", "score").first()) == (1.0, 1.0, 1.0, 2000, True)
     assert tuple(inference.two_level_bootstrap(rows, "s", "g", "score").first()) == (0.5, 0.5, 0.5)
-    assert tuple(inference.clustered_ap(rows.limit(0), "g", "y", "score").first()) == (None, None, None, 0)
+    assert tuple(inference.clustered_ap(rows.limit(0), "g", "y", "score").first()) == (None, None, None, 0, False)
     assert tuple(inference.two_level_bootstrap(rows.limit(0), "s", "g", "score").first()) == (None, None, None)
