@@ -189,9 +189,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if first is not None:
                 base = np.where(starts < 0, first[1][k], base)
             other |= c != base
-        at = pa.array(np.flatnonzero(other))
-        size = len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(size, bool)), pa.array(np.zeros(size, bool)), *[cols[c].take(at) for c in names[2:]]], names)
+        at = np.flatnonzero(other)
+        no, take = pa.array(np.zeros(len(at), bool)), pa.array(at)
+        # The hashes have done their work here; only the edges need them further on.
+        yield pa.RecordBatch.from_arrays([no, no, pa.array(np.zeros(len(at), np.int64)), pa.array(gt[at] & 0xFFFFFFFF), cols["doc_id"].take(take), cols["ij"].take(take)], names)
         if starts[-1] >= 0:
             k = int(starts[-1])
             first = ((key[0][k], key[1][k]), [c[k] for c in place], [cols[c].slice(k, 1) for c in names[2:]])
