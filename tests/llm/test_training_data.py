@@ -153,6 +153,44 @@ def test_chains_of_fingerprints_are_one_component(spark):
     assert {r.component for r in connected_components(simhash.links(prints)).collect()} == {0}
 
 
+def test_multi_index_links_against_brute_force(spark):
+    """Random fingerprints around centres, every radius and number of segments, with and without hot values."""
+    from lodestone.operators.components import connected_components
+
+    rng = np.random.default_rng(6)
+    prints = {int(c) for c in rng.integers(-(1 << 63), 1 << 63, 6)}
+    for c in list(prints):
+        for _ in range(15):
+            for b in rng.choice(64, rng.integers(0, 7), replace=False):
+                c ^= -(1 << 63) if b == 63 else 1 << int(b)
+                prints.add(c)
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long").coalesce(1).cache()
+    for radius, segments, hot in ((2, 2, 64), (2, 2, 1), (2, 1, 64), (4, 4, 2)):
+        root = {p: p for p in prints}
+
+        def find(a):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        for a in prints:
+            for b in prints:
+                if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= radius and (x := find(a)) != (y := find(b)):
+                    root[max(x, y)] = min(x, y)
+        got = {r.node: r.component for r in connected_components(simhash.links(frame, radius, segments, hot)).collect()}
+        assert got == {p: find(p) for p in prints if find(p) != p or any(find(q) == p for q in prints if q != p)}
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """A row goes if its own text is not the one kept, whatever other rows have its doc_id; columns of any name stay."""
+    from lodestone.llm import nearcopies
+
+    rows = [(1, "a b c d e f", "x"), (1, "g h i j k l", "y"), (2, "a b c d e f", "z"), (0, "g h i j k l", "w"), (0, "g h i j k l", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _keep string").withColumn("th", F.lit(1)).withColumn("again", F.lit(2))
+    for drop in (simhash.drop_near_duplicates, nearcopies.drop_near_copies):
+        assert sorted(tuple(r) for r in drop(docs).collect()) == [(0, "g h i j k l", "w", 1, 2), (1, "a b c d e f", "x", 1, 2)]
+
+
 def test_quality(docs, texts):
     for r in quality.score(docs).collect():
         x, w = texts[r.doc_id], words(texts[r.doc_id])
@@ -229,7 +267,7 @@ def test_substring_dedup(docs, texts):
 def test_repeated_spans_over_partitions(spark, parts):
     """A hash whose places fill many partitions, repeated rows and a null doc_id."""
     rows = [(d, d or 7, i, i + 1, 5 if d is None or d % 3 else 6 + d % 2, i % 2) for d in [*range(400), 3, 3, None] for i in range(4)]
-    table = spark.createDataFrame(rows, "doc_id long, th long, i int, j int, h long, g int")
+    table = spark.createDataFrame(rows, "doc_id long, th int, i int, j int, h long, g int")
     place = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     first = {}
     for r in rows:
@@ -256,13 +294,17 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(rows.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+#: The contract's patterns as they stand there.
+PLAIN = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
 def luhn(s):
     d = [int(c) for c in re.sub("[^0-9]", "", s)]
     return 12 <= len(d) <= 19 and sum(v * (1 + i % 2) - 9 * (v * (1 + i % 2) > 9) for i, v in enumerate(reversed(d))) % 10 == 0
 
 
 def test_pii(docs, texts):
-    checks = [(pii.EMAIL, lambda s: True), (pii.IP, lambda s: all(int(p) <= 255 for p in s.split("."))), (pii.CARD, luhn), (pii.PHONE, lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15)]
+    checks = [(PLAIN[0], lambda s: True), (PLAIN[1], lambda s: all(int(p) <= 255 for p in s.split("."))), (PLAIN[2], luhn), (PLAIN[3], lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15)]
     model = pii.train(docs)
     for r in pii.find(docs, model).collect():
         base = sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(checks) for m in re.finditer(p, texts[r.doc_id]) if ok(m.group()))
@@ -273,6 +315,66 @@ def test_pii(docs, texts):
     assert clean[-1] is None and clean[-6].startswith("mail [email], x@y [ip] 999.1.1.1 é [card]! [phone] and[phone].")
 
 
+def test_base_patterns_match_as_the_plain_ones(spark):
+    """Random and very long texts; the plain patterns by Python's re."""
+    import random
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("a_.@.-+ 12() é\n") for _ in range(rng.randrange(80))) for _ in range(3000)]
+    texts += ["1 " * 20_000, "a@b" + ".c" * 20_000, "1" * 2_000, "1." * 2_000, "a.b@c " * 500, "+1" * 500, "x" * 2_000, "a@b.c_d@e.f" * 200, "@" * 2_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    searches = [(p, True, F.lit(True)) for p in (pii.EMAIL, pii.IP, pii.CARD, pii.PHONE)]
+    for r in rows.select("i", pii.found(F.col("text"), searches).alias("f")).toLocalIterator():
+        for k, plain in enumerate(PLAIN):
+            assert [(x.s, x.e) for x in r.f[k]] == [m.span() for m in re.finditer(plain, texts[r.i])], (texts[r.i][:80], k)
+
+
+def test_long_texts_of_numbers(spark):
+    """Many candidates in one line: found, redacted, and no deep recursion."""
+    digits = pii.FEATURES.index("digits")
+    rows = spark.createDataFrame([(0, "1 " * 20_000), (1, "1-" * 10_000), (2, "a@b" + ".c" * 20_000 + " 1.2.3.4" * 2_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(rows, ([(digits, 18.5, -1.0, 1.0)], 0.5)).collect()}
+    ends = [tuple(map(int, x.split(":")[1:])) for x in got[0].spans.split(",")]  # runs of 19 digits end to end
+    assert len(ends) > 500 and all(b[0] >= a[1] for a, b in zip(ends, ends[1:]))
+    assert got[1].spans == "secret:0:20000" or got[1].spans == "number:0:20000"  # one token
+    assert (got[2].n_email, got[2].n_ip) == (1, 2_000)
+
+
+def test_resolve_against_brute_force(spark):
+    """The rule of resolve, in plain Python."""
+    import random
+
+    rng, rows = random.Random(2), []
+    for i in range(300):
+        items = []
+        for _ in range(rng.randrange(40) if i else 1500):
+            s = rng.randrange(60 if i else 9000)
+            items.append((s, rng.randrange(5) > 0, s + rng.randrange(1, 9), rng.randrange(8), float(rng.randrange(4))))
+        rows.append((i, sorted((s, int(f), e, k, o if f else None) for s, f, e, k, o in items)))
+    frame = spark.createDataFrame(rows, "i int, items array<struct<s:bigint,f:int,e:bigint,k:int,o:double>>")
+    got = {r.i: [tuple(x) for x in r.out] for r in frame.select("i", pii.resolve(F.col("items")).alias("out")).collect()}
+    for i, items in rows:
+        held = out = None
+        wall, want = 0, []
+        for x in items:
+            s, f, e, k, o = x
+            clear, back = held is None or held[2] <= s, out is not None and out[2] <= s
+            if not f:
+                want += [held] if clear else [out] if back else []
+                held, out, wall = None, None, max(wall, e)
+            elif s < wall:
+                continue
+            elif clear:
+                want.append(held)
+                held, out = x, None
+            elif o > held[4] or o == held[4] and e - s > held[2] - held[0]:
+                if back:
+                    want.append(out)
+                held, out = x, None if back else held
+        want = [(x[0], x[2], x[3]) for x in [*want, held] if x]
+        assert got[i] == want
+
+
 def test_licenses(spark):
     said = {1: "Released under the MIT License.", 2: "A driving licence is required.", 3: None, 4: "x\nLicensed under CC BY-NC 4.0.", 5: "Licensed under the Apache License, Version 2.0."}
     rows = spark.createDataFrame(list(said.items()), "doc_id long, text string")
