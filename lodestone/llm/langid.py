@@ -126,12 +126,12 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, per_lang: int = PER_LANG, most: int = SAMPLE) -> DataFrame:
     """lang, text of the documents to learn from.
 
-    A first cut by a bound on the hash, from the number of each language's rows,
+    A first cut by a bound on the hash, from the number (about) of each language's different rows,
     leaves about twice as many as are wanted, so what is ranked within a language
     is small however many rows it has.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    counts = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")), "langs")
     want = max(2, min(per_lang, most // max(counts.count(), 1)))
     share = F.least(F.lit(1.0), F.lit(2.0 * want + 50) / F.col("n"))
     near = rows.join(counts, "lang").where(F.shiftrightunsigned("h", 11) < share * float(1 << 53))
