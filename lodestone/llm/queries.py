@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, imatch, langid, licenses, linededup, packing, pii, quality, simhash, substrings
+from lodestone.llm import bpe, collocations, imatch, langid, licenses, linededup, neighbours, packing, pii, quality, simhash, substrings, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +55,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir)).drop("found")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_license_scan, op4_simhash, op5_quality_rules, op6_imatch, op7_bpe, op8_substring_dedup, op9_language_id, op10_pii)
+    for f in (op1_packing, op2_line_dedup, op3_license_scan, op4_simhash, op5_quality_rules, op6_imatch, op7_bpe, op8_substring_dedup, op9_language_id, op10_pii, op11_whitening, op12_collocations, op13_neighbours)
 }
 
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -76,5 +92,40 @@ WITH l AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    "op12_collocations": """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS text_no,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), q AS (
+  SELECT lang, text_no, generate_subscripts(pieces, 1) AS piece, unnest(pieces) AS piece_text FROM p
+), v AS (
+  SELECT lang, text_no, piece, list_filter(string_split_regex(piece_text, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM q
+), w AS (
+  SELECT lang, text_no, piece, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w1 FROM v
+), t AS (
+  SELECT lang, w1, lead(w1, 1) OVER z AS w2, lead(w1, 2) OVER z AS w3, lead(w1, 3) OVER z AS w4 FROM w WINDOW z AS (PARTITION BY lang, text_no, piece ORDER BY pos)
+), f AS (
+  SELECT lang, phrase, k, count(*)::BIGINT AS f FROM (
+    SELECT lang, w1 AS phrase, 1 AS k FROM t
+    UNION ALL SELECT lang, w1 || ' ' || w2, 2 FROM t WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3 FROM t WHERE w3 IS NOT NULL
+    UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 4 FROM t WHERE w4 IS NOT NULL
+  ) GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM f WHERE k > 1
+), s AS (
+  SELECT c.lang, c.phrase, c.k, c.a, c.cut, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.cut + 1:], ' ')
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), kept AS (
+  SELECT * FROM b WHERE NOT EXISTS (
+    SELECT 1 FROM f g WHERE g.lang = b.lang AND g.k > b.k AND 100 * g.f >= 80 * b.a AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' '))
+), n AS (
+  SELECT lang, count(*)::BIGINT AS n FROM w GROUP BY lang
+)
+SELECT kept.lang, (row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase))::BIGINT AS rank, phrase, a, l, r, n.n AS n, score::BIGINT AS score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """,
 }
