@@ -140,23 +140,26 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
             begin, size = k + 1, 0
 
 
-def _span_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    names = ["doc_id", "th", "i", "j", "h", "g"]
+def _span_rows(docs: DataFrame, min_words: int, identity: list[Column]) -> DataFrame:
+    names = ["doc_id", "th", "tl", "i", "j", "h", "g"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
+            texts = [t or "" for t in batch.column(3).to_pylist()]
             for a, b in _blocks(texts):
                 whose, *found = spans_of(texts[a:b], min_words)
                 at = pa.array(whose + a, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, found)], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), *map(pa.array, found)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), _text_hash(F.coalesce("text", F.lit(""))), "text").mapInArrow(run, "doc_id long, th int, i int, j int, h long, g int")
+    return docs.select(F.col("doc_id").cast("long"), *identity, "text").mapInArrow(run, "doc_id long, th long, tl int, i int, j int, h long, g int")
 
 
-def _text_hash(text: Column) -> Column:
-    """32 bits that tell rows of one doc_id apart."""
-    return F.hash(text).alias("th")
+def _identity(docs: DataFrame) -> list[Column]:
+    """th, tl: 96 bits of the text that tell rows of one doc_id apart; zero where every doc_id has one row, as then nothing needs telling apart."""
+    text = F.coalesce("text", F.lit(""))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    told = ids.where(F.col("doc_id").isNull() | (F.col("n") > 1)).isEmpty()
+    return [(F.lit(0) if told else F.xxhash64(text)).cast("long").alias("th"), (F.lit(0) if told else F.hash(text)).cast("int").alias("tl")]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +169,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges the first place of the partition's first hash and of its last one: what
     earlier partitions hold can only change the former.
     """
-    names = ["edge", "lead", "h", "gt", "doc_id", "ij"]
+    names = ["edge", "lead", "h", "gt", "doc_id", "th", "ij"]
     first = None  # row of the first place of the hash at hand, as Arrow
     lead = True
     for batch in batches:
@@ -177,7 +180,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gt = cols["gt"].to_numpy()
         key = [cols["h"].to_numpy(), gt >> 32]
         nil = np.asarray(cols["doc_id"].is_null())
-        place = [nil, cols["doc_id"].fill_null(0).to_numpy(), gt & 0xFFFFFFFF, cols["ij"].to_numpy() >> 32]
+        place = [nil, cols["doc_id"].fill_null(0).to_numpy(), cols["th"].to_numpy(), gt & 0xFFFFFFFF, cols["ij"].to_numpy() >> 32]
         new = np.ones(n, bool)
         new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
         if first is not None:
@@ -192,7 +195,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(other)
         no, take = pa.array(np.zeros(len(at), bool)), pa.array(at)
         # The hashes have done their work here; only the edges need them further on.
-        yield pa.RecordBatch.from_arrays([no, no, pa.array(np.zeros(len(at), np.int64)), pa.array(gt[at] & 0xFFFFFFFF), cols["doc_id"].take(take), cols["ij"].take(take)], names)
+        yield pa.RecordBatch.from_arrays([no, no, pa.array(np.zeros(len(at), np.int64)), pa.array(gt[at] & 0xFFFFFFFF), *(cols[c].take(take) for c in names[4:])], names)
         if starts[-1] >= 0:
             k = int(starts[-1])
             first = ((key[0][k], key[1][k]), [c[k] for c in place], [cols[c].slice(k, 1) for c in names[2:]])
@@ -204,7 +207,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(table: DataFrame) -> DataFrame:
-    """doc_id, th, i, j of the spans (of _span_rows) that are not at the first place of their hash.
+    """doc_id, th, tl, i, j of the spans (of _span_rows) that are not at the first place of their hash.
 
     The table meets itself in one global sort by hash and place: a hash that a
     large share of the documents hold goes over many partitions, as its places
@@ -214,14 +217,14 @@ def repeated_spans(table: DataFrame) -> DataFrame:
     two = lambda a, b: (F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long").bitwiseAND(0xFFFFFFFF)))
     high = lambda c: F.shiftright(c, 32).cast("int")
     low = lambda c: (F.shiftright(F.shiftleft(F.col(c), 32), 32)).cast("int")
-    packed = table.select("h", two("g", "th").alias("gt"), "doc_id", two("i", "j").alias("ij"))
-    order = ["h", high("gt"), F.asc_nulls_last("doc_id"), low("gt"), high("ij")]
-    met = materialize(packed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_meet, "edge boolean, lead boolean, h long, gt long, doc_id long, ij long"), "repeats")
-    met = met.select("edge", "lead", "h", high("gt").alias("g"), "doc_id", low("gt").alias("th"), high("ij").alias("i"), low("ij").alias("j"))
-    place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th", "i")
+    packed = table.select("h", two("g", "tl").alias("gt"), "doc_id", "th", two("i", "j").alias("ij"))
+    order = ["h", high("gt"), F.asc_nulls_last("doc_id"), "th", low("gt"), high("ij")]
+    met = materialize(packed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_meet, "edge boolean, lead boolean, h long, gt long, doc_id long, th long, ij long"), "repeats")
+    met = met.select("edge", "lead", "h", high("gt").alias("g"), "doc_id", "th", low("gt").alias("tl"), high("ij").alias("i"), low("ij").alias("j"))
+    place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th", "tl", "i")
     edges = met.where("edge").withColumn("first", F.min(place).over(Window.partitionBy("h", "g")))
     late = edges.where(F.col("lead") & (place != F.col("first")))
-    return met.where("not edge").select("doc_id", "th", "i", "j").unionByName(late.select("doc_id", "th", "i", "j"))
+    return met.where("not edge").select("doc_id", "th", "tl", "i", "j").unionByName(late.select("doc_id", "th", "tl", "i", "j"))
 
 
 def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -229,13 +232,14 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     n_sentences and n_removed count the parts of `sentences`. A null or empty
     text has none and becomes or stays empty. The first
-    occurrence is that of the smallest doc_id (null last), then hash of the text,
-    then position; rows that repeat both doc_id and text are one document and all
+    occurrence is that of the smallest doc_id (null last), then 96 bits of
+    hash of the text, then position; rows that repeat both doc_id and text are one document and all
     returned alike. A document none of whose parts repeat keeps its text to
     the letter. An empty table gives an empty result; other columns play no part.
     """
-    later = repeated_spans(materialize(_span_rows(docs, min_words), "spans"))
-    gone = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("i", "j"))).alias("removed"))
+    identity = _identity(docs)
+    later = repeated_spans(materialize(_span_rows(docs, min_words, identity), "spans"))
+    gone = later.groupBy("doc_id", "th", "tl").agg(F.array_sort(F.collect_set(F.struct("i", "j"))).alias("removed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +256,8 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         texts[a + k] = "".join([text[at[x] : at[x + 1]] for x in range(len(at) - 1) if x not in lost])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_all, pa.int64()), pa.array(n_gone, pa.int64()), batch.column(2), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "removed", "text"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).alias("d")
-    met = rows.join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (_text_hash(F.col("d.text")) == F.col("g.th")), "left")
+    rows = docs.select(F.col("doc_id").cast("long"), *identity, F.coalesce("text", F.lit("")).alias("text")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.th") == F.col("g.th")) & (F.col("d.tl") == F.col("g.tl"))
+    met = rows.join(gone.alias("g"), same, "left")
     kind = "array<struct<i:int,j:int>>"
     return met.select("d.doc_id", "d.text", F.coalesce("g.removed", F.array().cast(kind)).alias("removed")).mapInArrow(run, f"doc_id long, n_sentences long, n_removed long, removed {kind}, text string")

@@ -266,12 +266,12 @@ def test_substring_dedup(docs, texts):
 @pytest.mark.parametrize("parts", [1, 3, 50])
 def test_repeated_spans_over_partitions(spark, parts):
     """A hash whose places fill many partitions, repeated rows and a null doc_id."""
-    rows = [(d, d or 7, i, i + 1, 5 if d is None or d % 3 else 6 + d % 2, i % 2) for d in [*range(400), 3, 3, None] for i in range(4)]
-    table = spark.createDataFrame(rows, "doc_id long, th int, i int, j int, h long, g int")
-    place = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    rows = [(d, d or 7, -1, i, i + 1, 5 if d is None or d % 3 else 6 + d % 2, i % 2) for d in [*range(400), 3, 3, None] for i in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, th long, tl int, i int, j int, h long, g int")
+    place = lambda r: (r[0] is None, r[0] or 0, *r[1:4])
     first = {}
     for r in rows:
-        first[r[4:]] = min(first.get(r[4:], place(r)), place(r))
+        first[r[5:]] = min(first.get(r[5:], place(r)), place(r))
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
     try:
@@ -279,7 +279,7 @@ def test_repeated_spans_over_partitions(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert got == {r[:4] for r in rows if place(r) != first[r[4:]]}
+    assert got == {r[:5] for r in rows if place(r) != first[r[5:]]}
 
 
 def test_language_id(spark):
