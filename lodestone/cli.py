@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids
-from lodestone.operators import contracts, detectors, grouping, inference, metrics, pairs, reports, selections, tables
-from lodestone.plans import catalogue, studies  # noqa: F401
-from lodestone.sources import files, rows, settings
+from lodestone.operators import contracts, detectors, grouping, images, inference, metrics, pairs, provenance, reports, selections, tables
+from lodestone.plans import catalogue, pixels, studies  # noqa: F401
+from lodestone.sources import cache, files, rows, settings
 
 
 def _session() -> SparkSession:
@@ -147,6 +147,30 @@ def report_artifacts(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def cache_generate(spark: SparkSession, a: argparse.Namespace) -> int:
+    pictures = images.decoded(files.scan(spark, a.images, "*.png"), spark.read.parquet(a.manifest)).select("path", "image")
+    _put(cache.fill_pairs(spark.read.parquet(a.pairs), pictures, a.cache), a.out)
+    return 0
+
+
+def cache_validate(spark: SparkSession, a: argparse.Namespace) -> int:
+    return _none_left(cache.violations(spark.read.parquet(a.pairs), a.cache), a.out)
+
+
+def freeze_protocol(spark: SparkSession, a: argparse.Namespace) -> int:
+    found = provenance.scanned(files.scan(spark, a.folder))
+    _put(provenance.freeze(found, a.name), a.out)
+    return 0
+
+
+def verify_protocol(spark: SparkSession, a: argparse.Namespace) -> int:
+    frozen = spark.read.parquet(a.frozen)
+    edges = frozen.select("parent", "child", "expected")
+    if a.edges:
+        edges = edges.unionByName(spark.read.parquet(a.edges))
+    return _none_left(provenance.problems(provenance.scanned(files.scan(spark, a.folder)).unionByName(provenance.frozen_node(frozen)), edges), a.out)
+
+
 def synthetic_smoke(spark: SparkSession, a: argparse.Namespace) -> int:
     for name in ("clean_accuracy", "headline_replay"):
         print(name, [r.asDict() for r in catalogue.QUERIES[name](spark, a.data).collect()])
@@ -161,6 +185,8 @@ COMMANDS = {
     "review-freeze": (review_freeze, "first second third key answer out kappa=0.6"), "condition-policy": (condition_policy, "rows chosen out"), "detector-fit": (detector_fit, "rows target feature* out c=1.0 least=10"),
     "detector-evaluate": (detector_evaluate, "rows model out"), "statistics": (statistics, "left right key group value out replicates=2000 seed=1"), "primary-statistics": (primary_statistics, "rows group value out replicates=2000 seeds=3"),
     "report-inputs": (report_inputs, "folder out"), "report-artifacts": (report_artifacts, "data out query*"), "synthetic-smoke": (synthetic_smoke, "data"),
+    "cache-generate": (cache_generate, "pairs images manifest cache out"), "cache-validate": (cache_validate, "pairs cache out?"),
+    "freeze-protocol": (freeze_protocol, "folder name out"), "verify-protocol": (verify_protocol, "folder frozen edges? out?"),
 }
 
 

@@ -13,7 +13,7 @@ EXPRESSIONS = {
     "lodestone_entropy(p ARRAY<DOUBLE>) RETURNS DOUBLE": "-aggregate(p, 0D, (a, x) -> a + if(x > 0, x * ln(x), 0D))",
     "lodestone_hamming(a BIGINT, b BIGINT) RETURNS INT": "bit_count(a ^ b)",
     "lodestone_digest(a STRING, b STRING) RETURNS STRING": "sha2(concat(a, char(0), b), 256)",
-    "lodestone_safe_path(p STRING) RETURNS BOOLEAN": r"p <> '' AND NOT p RLIKE '^[/\\\\]|^[A-Za-z]:|(^|[/\\\\])[.][.]([/\\\\]|$)'",
+    "lodestone_safe_path(p STRING) RETURNS BOOLEAN": r"p <> '' AND NOT p RLIKE '\\A/|(\\A|/)[.][.](/|\\z)|[:\\\\\\x00]'",
 }
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def decision(c: Column) -> Column:
-    """A reviewer's word without white space around it, in lower case."""
-    return F.lower(F.trim(c))
+    """A reviewer's word without white space (of any kind) around it, in lower case."""
+    return F.lower(F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""))
 
 
 def run_parts(c: Column, mark: str = "-seed") -> Column:
@@ -18,9 +18,10 @@ def run_parts(c: Column, mark: str = "-seed") -> Column:
     return F.struct(F.when(has, F.substring(c, F.lit(1), at - 1)).otherwise(c).alias("model"), F.when(has, F.substring(c, at + len(mark), F.length(c))).alias("seed"))
 
 
-def slug(c: Column) -> Column:
-    """Lower-case letters, digits, dots and dashes; runs of anything else become one dash, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9.]+", "-"), "^-+|-+$", "")
+def slug(c: Column, empty: str = "lodestone") -> Column:
+    """ASCII letters, digits, underscores, dots and dashes; a run of anything else becomes a dash, no dots and dashes at the ends; `empty` if nothing is left."""
+    found = F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9_.-]+", "-"), r"\A[.-]+|[.-]+\z", "")
+    return F.when(found == "", F.lit(empty)).otherwise(found)
 
 
 def moved(path: Column, root: str, to: str) -> Column:
@@ -29,8 +30,8 @@ def moved(path: Column, root: str, to: str) -> Column:
 
 
 def safe_relative(path: Column) -> Column:
-    """Whether a path stays below where it is unpacked: relative, no drive, no part of two dots, not empty."""
-    return (path != "") & ~path.rlike(r"^[/\\]|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|$)|\x00")
+    """Whether a path stays below where it is unpacked, on any system: relative, no part of two dots, no colon, backslash or NUL, not empty."""
+    return (path != "") & ~path.rlike(r"\A/|(\A|/)\.\.(/|\z)|[:\\\x00]")
 
 
 def mean_sd(mean: Column, sd: Column, digits: int = 2) -> Column:
@@ -43,6 +44,14 @@ def largest_batch(cap: Column, target: Column, world: Column) -> Column:
     return F.array_max(F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(cap.cast("long"), F.lit(1).cast("long"))), lambda b: (target % (b * world) == 0) & (b <= cap)))
 
 
-def canonical_json(row: Column) -> Column:
-    """Compact JSON of a struct whose fields are given in the order of their names."""
-    return F.to_json(row, {"ignoreNullFields": "false"})
+Fields = dict[str, "Column | Fields"]
+
+
+def fields_in_order(fields: Fields) -> Column:
+    """A struct of the fields by name, structs within it too."""
+    return F.struct(*[(fields_in_order(v) if isinstance(v, dict) else v).alias(k) for k, v in sorted(fields.items())])
+
+
+def canonical_json(fields: Fields) -> Column:
+    """Compact JSON of the fields in the order of their names, nulls kept; fields may be fields again."""
+    return F.to_json(fields_in_order(fields), {"ignoreNullFields": "false"})

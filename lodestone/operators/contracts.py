@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import texts
+
 
 def repeated(rows: DataFrame, *key: str) -> DataFrame:
     """Keys of more than one row, with their number n."""
@@ -80,7 +82,7 @@ def unexplained_access(log: DataFrame, subject: str, order: list[str], reason: C
 
 def same_person(rows: DataFrame, key: str, people: list[str]) -> DataFrame:
     """key of rows whose people are not as many different names; blanks and case do not tell names apart."""
-    names = F.array_distinct(F.filter(F.array(*[F.lower(F.trim(F.col(c))) for c in people]), lambda x: x.isNotNull() & (x != "")))
+    names = F.array_distinct(F.filter(F.array(*[texts.decision(F.col(c)) for c in people]), lambda x: x.isNotNull() & (x != "")))
     return rows.where(F.size(names) < len(people)).select(key)
 
 

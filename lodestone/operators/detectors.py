@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.inference import draws
-from lodestone.operators.ordering import numbered
+from lodestone.operators.ordering import before, numbered
 from lodestone.storage import materialize
 
 
@@ -70,8 +70,8 @@ def ranked_areas(levels: DataFrame, *by: str) -> DataFrame:
 
     Both are null where there is one class only.
     """
-    running = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = levels.select(*by, "pos", "cnt", F.sum("pos").over(running).alias("tp"), F.sum("cnt").over(running).alias("k"))
+    placed = before(levels, F.sum, {"_tp": F.col("pos"), "_k": F.col("cnt")}, F.desc("s"), by=by)
+    cum = placed.select(*by, "pos", "cnt", (F.coalesce("_tp", F.lit(0)) + F.col("pos")).alias("tp"), (F.coalesce("_k", F.lit(0)) + F.col("cnt")).alias("k"))
     above = F.col("k") - F.col("tp") - (F.col("cnt") - F.col("pos"))  # negatives of better score
     sums = cum.groupBy(*by).agg(
         F.sum("pos").alias("pos"), F.sum("cnt").alias("n"), F.sum(F.col("pos") * F.col("tp") / F.col("k")).alias("a"),

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import hamming
 from lodestone.operators.components import connected_components
+from lodestone.operators.ordering import before
+from lodestone.storage import materialize
 
 
 def duplicate_counts(rows: DataFrame, content: str) -> DataFrame:
@@ -52,7 +54,7 @@ def hamming_edges(rows: DataFrame, key: str, bits: str, radius: int = 4, spare:
 
 
 def duplicate_groups(rows: DataFrame, key: str, content: str, edges: DataFrame) -> DataFrame:
-    """key, group_key (smallest key of the group), group_id (hash of the members' sorted contents).
+    """key, group_key (smallest key of the group), group_id (hash of the members' sorted contents; a group's digests, 65 bytes a member, meet in one task).
 
     Groups join equal contents and the edges a, b.
     """
@@ -63,43 +65,51 @@ def duplicate_groups(rows: DataFrame, key: str, content: str, edges: DataFrame)
     return labelled.join(named, "group_key").select(key, "group_key", "group_id")
 
 
-def grouped_split(rows: DataFrame, group: str, label: str, fractions: dict[str, float], seed: int = 7) -> DataFrame:
-    """rows with role: groups stay whole and go, largest first, where they most reduce the classes' shortfall.
+LARGE = 0.01  # share of its stratum beyond which a group is dealt by itself
+
 
-    The driver sees a row of class counts for each group that shares its counts
-    with no other and one row for those that do: their number, not their names.
-    Roles are dealt within such a set by the order of a hash.
+def grouped_split(rows: DataFrame, group: str, label: str, fractions: dict[str, float], seed: int = 7) -> DataFrame:
+    """rows with role: groups stay whole, and every label comes near its fractions.
+
+    A group belongs to the stratum of its most frequent label (ties: the first). Groups of more
+    than LARGE of a stratum, 1 / LARGE of them at most, go largest first to the role
+    that misses most. The others stand in the order of a hash, and what each role
+    still misses is a stretch of that line; so a role misses its share of a stratum by no more
+    than LARGE of it at either end of its stretch, and what large groups exceed (labels
+    that share groups with the label of a large one are displaced with it). No group and no
+    count of groups reaches the driver, and a stratum's line goes over many tasks.
     """
-    named = rows.withColumn("_class", F.coalesce(F.col(label).cast("string"), F.lit("(none)")))
-    classes = [r[0] for r in named.select("_class").distinct().orderBy("_class").collect()]
-    counts = named.groupBy(group).pivot("_class", classes).count().na.fill(0)
-    profile = F.array(*[F.col(f"`{c}`").cast("long") for c in classes])
-    shaped = counts.select(group, profile.alias("profile"))
-    shapes = [(tuple(r[0]), r[1]) for r in shaped.groupBy("profile").count().collect()]
-    total = [sum(p[i] * n for p, n in shapes) for i in range(len(classes))]
-    goal = {role: [t * f for t in total] for role, f in fractions.items()}
-    have = {role: [0] * len(classes) for role in fractions}
-    order = sorted(shapes, key=lambda s: (-sum(s[0]), random.Random(f"{seed}:{s[0]}").random()))
-    miss = lambda now, aim: sum(((a - b) / max(b, 1)) ** 2 for a, b in zip(now, aim))
-    dealt = []
-    for shape, n in order:
-        given = dict.fromkeys(fractions, 0)
-        for _ in range(n):
-            after = {r: [x + y for x, y in zip(have[r], shape)] for r in fractions}
-            best = min(fractions, key=lambda r: miss(after[r], goal[r]) - miss(have[r], goal[r]))
-            have[best] = after[best]
-            given[best] += 1
-        last = 0
-        for role, k in given.items():
-            if k:
-                dealt.append((list(shape), last, last + k, role))
-                last += k
-    table = rows.sparkSession.createDataFrame(dealt, "profile array<bigint>, low bigint, high bigint, role string")
-    placed = shaped.withColumn("k", F.row_number().over(Window.partitionBy("profile").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(group).cast("string"), F.lit("(none)"))), 256))) - 1)
-    roles = placed.join(table, "profile").where((F.col("k") >= F.col("low")) & (F.col("k") < F.col("high"))).select(F.col(group).alias("_group"), "role")
-    return rows.join(roles, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
-
-
-def split_violations(rows: DataFrame, group: str, role: str = "role") -> DataFrame:
-    """group, roles of the groups that more than one role holds: a sound split gives none."""
-    return rows.groupBy(group).agg(F.count_distinct(role).alias("roles")).where("roles > 1")
+    name = F.coalesce(F.col(label).cast("string"), F.lit("(none)"))
+    each = rows.groupBy(F.col(group).alias("_group"), name.alias("_stratum")).agg(F.count("*").alias("_n"))
+    first = F.min(F.struct(-F.col("_n"), "_stratum"))  # the most frequent label, then the first by name
+    placed = each.groupBy("_group").agg(F.sum("_n").alias("_size"), first.alias("_m")).select("_group", F.col("_m._stratum").alias("_stratum"), "_size")
+    placed = materialize(placed, "split")
+    total = placed.groupBy("_stratum").agg(F.sum("_size").alias("_total"))
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_group").cast("string"), F.lit("(none)"))), 256)
+    sized = placed.join(total, "_stratum").withColumn("_hash", digest)
+    big = F.col("_size") > LARGE * F.col("_total")
+    roles = list(fractions)
+
+    def deal(part: pd.DataFrame) -> pd.DataFrame:
+        left = {r: fractions[r] * part["_total"].iloc[0] for r in roles}
+        given = []
+        for size in (ordered := part.sort_values(["_size", "_hash"], ascending=[False, True]))["_size"]:
+            role = max(roles, key=lambda r: left[r])
+            left[role] -= size
+            given.append(role)
+        return pd.DataFrame({"_stratum": ordered["_stratum"], "_hash": ordered["_hash"], "role": given})
+
+    dealt = materialize(sized.where(big).select("_stratum", "_hash", "_size", "_total").groupBy("_stratum").applyInPandas(deal, "_stratum string, _hash string, role string"), "large")
+    large = sized.where(big).join(dealt, ["_stratum", "_hash"])
+    taken = large.groupBy("_stratum").agg(*[F.coalesce(F.sum(F.when(F.col("role") == r, F.col("_size"))), F.lit(0)).alias(f"_{k}") for k, r in enumerate(roles)])
+    rest = [F.greatest(F.lit(fractions[r]) * F.col("_total") - F.coalesce(f"_{k}", F.lit(0)), F.lit(0.0)) for k, r in enumerate(roles)]
+    line = before(sized.where(~big), F.sum, F.col("_size"), "_hash", out="_at", by=("_stratum",)).join(taken, "_stratum", "left")
+    small = sized.where(~big).groupBy("_stratum").agg(F.sum("_size").alias("_small"))
+    share = (F.coalesce("_at", F.lit(0)) + F.col("_size") / 2.0) / F.col("_small") * reduce(lambda a, b: a + b, rest)
+    role, upto = F.lit(roles[-1]), []
+    for k in range(len(roles) - 1):
+        upto.append((reduce(lambda a, b: a + b, rest[: k + 1]), roles[k]))
+    for bound, r in reversed(upto):
+        role = F.when(share < bound, F.lit(r)).otherwise(role)
+    given = line.join(small, "_stratum").select("_group", role.alias("role")).unionByName(large.select("_group", "role"))
+    return rows.alias("l").join(given.alias("r"), F.col(f"l.`{group}`").eqNullSafe(F.col("r._group"))).select("l.*", "r.role")

@@ -1,16 +1,17 @@
 """Resampling, paired tests and corrections for many tests."""
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lodestone.functions import ids
 from lodestone.operators.metrics import midranks
-from lodestone.operators.ordering import numbered
+from lodestone.operators.ordering import before, counts, numbered, same
 from lodestone.storage import materialize
 
 
@@ -29,6 +30,69 @@ def draws(groups: DataFrame, replicates: int, seed: int) -> DataFrame:
     return drawn.groupBy("replicate", "number").agg(F.count("*").alias("weight"))
 
 
+Statistic = Callable[[DataFrame, tuple[str, ...]], DataFrame]
+
+
+def resampled(rows: DataFrame, group: str, states: dict[str, Column], *levels: str, by: tuple[str, ...] = (), replicates: int = 2000, seed: int = 1) -> DataFrame:
+    """by, levels, replicate and the states of every replicate: sums over groups, each as often as it is drawn; replicate -1 is the data themselves.
+
+    A state is an aggregate that adds up over rows (F.sum, F.count, F.sum of products). Groups
+    are reduced to their states before they meet their draws, and draws are the same for all cells of by.
+    """
+    sums = rows.groupBy(*by, *levels, F.col(group).alias("_group")).agg(*[c.alias(k) for k, c in states.items()])
+    groups = materialize(numbered(sums.select("_group").distinct(), "_group"), "groups")
+    weights = draws(groups, replicates, seed).unionByName(groups.select(F.lit(-1).alias("replicate"), "number", F.lit(1).cast("long").alias("weight")))
+    met = sums.join(groups, "_group").join(weights, "number")
+    return met.groupBy(*by, "replicate", *levels).agg(*[F.sum(F.col("weight") * F.col(k)).alias(k) for k in states])
+
+
+def of_sums(value: Column) -> Statistic:
+    """A statistic that is an expression of the states' sums: a mean, a ratio, a variance, a correlation."""
+    return lambda sums, keys: sums.select(*keys, value.alias("value"))
+
+
+def of_levels(score: str, positives: str = "pos", n: str = "cnt", area: str = "ap") -> Statistic:
+    """Average precision ("ap") or the area under the ROC curve ("auroc") over levels of a score, from their positives and numbers."""
+    from lodestone.operators.detectors import ranked_areas
+
+    def found(sums: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        levels = sums.select(*keys, F.col(score).alias("s"), F.col(positives).alias("pos"), F.col(n).alias("cnt")).where("cnt > 0")
+        return ranked_areas(levels, *keys).select(*keys, F.col(area).alias("value"))
+
+    return found
+
+
+def of_function(f: Callable[[pd.DataFrame], float | None]) -> Statistic:
+    """Any function of a replicate's rows of states (one for each level), which must fit a task; None where it is undefined."""
+
+    def found(sums: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        kinds = ", ".join(f"`{k}` {kind}" for k, kind in sums.dtypes if k in keys)
+
+        def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([[*key, f(part)]], columns=[*keys, "value"]).astype({"value": "float64"})
+
+        return sums.groupBy(*keys).applyInPandas(one, f"{kinds}, value double")
+
+    return found
+
+
+def bootstrap(rows: DataFrame, group: str, states: dict[str, Column], statistic: Statistic, *levels: str, by: tuple[str, ...] = (), replicates: int = 2000, confidence: float = 0.95, seed: int = 1) -> DataFrame:
+    """by, estimate, lower, upper, valid, defined of any statistic when whole groups are drawn.
+
+    One draw serves every statistic: it meets the groups' states, and the statistic
+    reads the sums of a replicate. Replicates where it is null are not valid; with
+    fewer valid ones than max(100, replicates / 2) the numbers are null.
+    """
+    sums = resampled(rows, group, states, *levels, by=by, replicates=replicates, seed=seed)
+    values = statistic(sums, (*by, "replicate"))
+    drawn, low = F.when(F.col("replicate") >= 0, F.col("value")), (1 - confidence) / 2
+    ends = F.percentile(drawn, F.array(F.lit(low), F.lit(1 - low)))  # of replicates, whatever the rows
+    found = values.groupBy(*by).agg(F.max(F.when(F.col("replicate") < 0, F.col("value"))).alias("e"), ends.alias("q"), F.count(drawn).alias("valid"))
+    enough = F.col("valid") >= max(100, replicates // 2)
+    told = [F.when(enough, c).alias(k) for k, c in (("estimate", F.col("e")), ("lower", F.col("q")[0]), ("upper", F.col("q")[1]))]
+    return found.select(*by, *told, "valid", enough.alias("defined"))
+
+
 def cluster_bootstrap(rows: DataFrame, group: str, value: str, *by: str, replicates: int = 2000, confidence: float = 0.95, seed: int = 1) -> DataFrame:
     """by, estimate, lower, upper, groups of the mean of value when whole groups are drawn, the same draws for every cell of by.
 
@@ -114,15 +178,22 @@ def benjamini_hochberg(rows: DataFrame, p: str, *by: str, q: float = 0.05) -> Da
 
 
 def _corrected(rows: DataFrame, p: str, by: tuple[str, ...], name: str, level: float) -> DataFrame:
-    tested = rows.where(F.col(p).isNotNull())
-    one = Window.partitionBy(*by).orderBy(p)
-    ranked = tested.select("*", F.row_number().over(one).alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("_m"))
+    """Counted by p-value, so equal ones get one answer: under Holm the first of them has the most tests left, under BH the last the highest rank."""
+    each = counts(rows, p, *by)
+    tests = each.groupBy(*by).agg(F.sum("n").alias("_m"))
+    met = each.alias("e").join(tests.alias("t"), same("e", "t", by)).select("e.*", "t._m")
     if name == "holm":
-        value = F.max((F.col("_m") - F.col("_r") + 1) * F.col(p)).over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
+        own = (F.col("_m") - F.col("n_before")) * F.col(p)
+        met = before(met, F.max, own, F.col(p), out="_other", by=by)
+        value = F.greatest(own, F.col("_other"))
     else:
-        value = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(Window.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    done = ranked.withColumn(f"{name}_p", F.least(value, F.lit(1.0))).withColumn(f"{name}_rejected", F.col(f"{name}_p") <= level).drop("_r", "_m")
-    return done.unionByName(rows.where(F.col(p).isNull()), allowMissingColumns=True)
+        own = F.col(p) * F.col("_m") / (F.col("n_before") + F.col("n"))
+        met = before(met, F.min, own, F.desc(p), out="_other", by=by)
+        value = F.least(own, F.col("_other"))
+    told = met.select(*by, p, F.least(value, F.lit(1.0)).alias(f"{name}_p"))
+    same_p = same("l", "r", by) & (F.col(f"l.`{p}`") == F.col(f"r.`{p}`"))
+    done = rows.alias("l").join(told.alias("r"), same_p, "left").select("l.*", f"r.{name}_p")
+    return done.withColumn(f"{name}_rejected", F.col(f"{name}_p") <= level)
 
 
 EXACT = 50  # differences up to which the distribution of the rank sum is counted out

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
+from lodestone.operators import merging
+from lodestone.operators.ordering import counts, quantiles, same
+from lodestone.storage import materialize
 
 
 def classification(rows: DataFrame, classes: int, target: str = "label", predicted: str = "predicted") -> DataFrame:
     """class, support, precision, recall, f1; a ratio without cases is 0 and absent classes are listed."""
     grid = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("class"))
-    counts = rows.groupBy(F.col(target).alias("t"), F.col(predicted).alias("p")).count()
-    sums = counts.select(F.inline(F.array(F.struct(F.col("t").alias("class"), F.col("count").alias("support"), F.lit(0).cast("long").alias("said"), F.when(F.col("t") == F.col("p"), F.col("count")).otherwise(0).alias("hit")), F.struct(F.col("p").alias("class"), F.lit(0).cast("long").alias("support"), F.col("count").alias("said"), F.lit(0).cast("long").alias("hit")))))
+    cells = rows.groupBy(F.col(target).alias("t"), F.col(predicted).alias("p")).count()
+    sums = cells.select(F.inline(F.array(F.struct(F.col("t").alias("class"), F.col("count").alias("support"), F.lit(0).cast("long").alias("said"), F.when(F.col("t") == F.col("p"), F.col("count")).otherwise(0).alias("hit")), F.struct(F.col("p").alias("class"), F.lit(0).cast("long").alias("support"), F.col("count").alias("said"), F.lit(0).cast("long").alias("hit")))))
     each = grid.join(sums.groupBy("class").agg(F.sum("support").alias("support"), F.sum("said").alias("said"), F.sum("hit").alias("hit")), "class", "left").na.fill(0)
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     each = each.select("class", "support", ratio("hit", "said").alias("precision"), ratio("hit", "support").alias("recall"))
@@ -22,8 +26,8 @@ def classification(rows: DataFrame, classes: int, target: str = "label", predict
 def confusion(rows: DataFrame, classes: int, target: str = "label", predicted: str = "predicted") -> DataFrame:
     """target, predicted, n for every cell of the class grid."""
     one = rows.sparkSession.range(classes * classes).select((F.col("id") / classes).cast("int").alias("target"), (F.col("id") % classes).cast("int").alias("predicted"))
-    counts = rows.groupBy(F.col(target).alias("target"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
-    return one.join(counts, ["target", "predicted"], "left").na.fill(0, ["n"])
+    cells = rows.groupBy(F.col(target).alias("target"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    return one.join(cells, ["target", "predicted"], "left").na.fill(0, ["n"])
 
 
 def reliability(rows: DataFrame, bins: int = 15, p: str = "p", target: str = "label") -> DataFrame:
@@ -54,31 +58,34 @@ def pair_metrics(pairs: DataFrame) -> DataFrame:
 
 
 def condition_summary(metrics: DataFrame, *by: str) -> DataFrame:
-    """Means, failures and prevalence by condition; prevalence is null without correct clean cases."""
-    change = F.percentile("confidence_change", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return metrics.groupBy(*by).agg(
+    """Means, failures, prevalence and quartiles by condition; prevalence is null without correct clean cases.
+
+    The measures are written once, as quartiles go over them a second time.
+    """
+    metrics = materialize(metrics, "measures")
+    whole = metrics.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_distinct("vec_id").alias("sources"),
         *[F.avg(c).alias(f"mean_{c}") for c in ("js", "entropy", "changed_entropy", "confidence_change", "instability")],
         F.avg(F.col("consistent").cast("double")).alias("consistency"), F.sum(F.col("failure").cast("long")).alias("failures"), F.sum(F.col("clean_correct").cast("long")).alias("clean_correct"),
         F.try_divide(F.sum(F.col("failure").cast("double")), F.sum(F.col("clean_correct").cast("long"))).alias("prevalence"),
-        change[0].alias("change_q25"), change[1].alias("change_median"), change[2].alias("change_q75"),
         F.avg(F.when(F.col("failure"), (F.col("confidence_change") > 0).cast("double"))).alias("failures_more_confident"),
     )
+    quartiles = quantiles(metrics, "confidence_change", {"change_q25": 0.25, "change_median": 0.5, "change_q75": 0.75}, *by)
+    return whole.alias("w").join(quartiles.alias("q"), same("w", "q", by), "left").select("w.*", "q.change_q25", "q.change_median", "q.change_q75")
 
 
 def ranking(rows: DataFrame, target: str, score: str, *by: str, min_positives: int = 20) -> DataFrame:
     """n, positives, defined, underpowered, average_precision, auroc by group.
 
-    Equal scores are one threshold: counts are summed for each score first, so the
-    running sums go over distinct scores only. Undefined for a single class.
+    Equal scores are one threshold: counts are summed for each score first, and
+    run on from score to score over ranges, so no task holds a group's scores. Undefined for a single class.
     """
-    levels = rows.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(target).cast("long")).alias("pos"), F.count("*").alias("cnt"))
-    running = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = levels.select("*", F.sum("pos").over(running).alias("tp"), F.sum("cnt").over(running).alias("k"))
+    hit = F.col(target).cast("long")
+    cum = counts(rows, score, *by, order=F.desc(score), pos=hit).withColumns({"tp": F.col("pos_before") + F.col("pos"), "k": F.col("n_before") + F.col("n")})
     whole = cum.groupBy(*by).agg(
-        F.sum("cnt").alias("n"), F.sum("pos").alias("positives"),
+        F.sum("n").alias("n"), F.sum("pos").alias("positives"),
         F.sum(F.col("pos") * F.col("tp") / F.col("k")).alias("a"),
-        F.sum(F.col("pos") * (F.col("k") - F.col("tp") - (F.col("cnt") - F.col("pos")) / 2)).alias("b"),
+        F.sum(F.col("pos") * (F.col("k") - F.col("tp") - (F.col("n") - F.col("pos")) / 2)).alias("b"),
     )
     defined = (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
     negatives = F.col("n") - F.col("positives")
@@ -106,26 +113,26 @@ def control_ecdf(rows: DataFrame, value: str, is_control: str) -> DataFrame:
 
 
 def linear_cka(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Linear CKA of two representations from sums of products; null if one is constant.
+    """n and linear CKA of two representations from centred products; null if one is constant.
 
-    Products of elements are summed by position, so partial sums of at most
-    (dims of x + dims of y) squared rows leave a task.
+    Partitions sum the products of blocks of rows as matrices, and the matrices are
+    merged as a tree with a correction for their means: the shuffle carries one matrix a
+    partition and no row for each pair of elements.
     """
-    n = rows.count()
-    both = rows.select(F.concat(x, y).alias("z"), F.size(x).alias("dx"))
-    long = both.select("dx", F.posexplode(F.transform("z", lambda v: F.struct(v.alias("v"), F.col("z").alias("z")))).alias("i", "s")).select("dx", "i", F.col("s.v").alias("v"), F.posexplode("s.z").alias("j", "w")).where("i <= j")
-    moments = long.groupBy("i", "j").agg(F.covar_pop("v", "w").alias("c"), F.first("dx").alias("dx"))
-    twice = F.when(F.col("i") == F.col("j"), 1).otherwise(2)
-    side = lambda test, weight: F.sum(F.when(test, weight * F.col("c") * F.col("c")))
-    sums = moments.agg(side((F.col("i") < F.col("dx")) & (F.col("j") >= F.col("dx")), F.lit(1)).alias("xy"), side(F.col("j") < F.col("dx"), twice).alias("xx"), side(F.col("i") >= F.col("dx"), twice).alias("yy"))
-    return sums.select(F.lit(n).cast("long").alias("n"), F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / (F.sqrt("xx") * F.sqrt("yy"))).alias("cka"))
+    found = merging.gram(rows.select(F.concat(x, y).alias("z"), F.size(x).alias("dx")))
+    n, cka = 0, None
+    if found is not None:
+        n, d, product = found
+        c = product / n
+        xy, xx, yy = (float((c[a] ** 2).sum()) for a in (np.s_[:d, d:], np.s_[:d, :d], np.s_[d:, d:]))
+        cka = xy / (xx**0.5 * yy**0.5) if xx > 0 and yy > 0 else None
+    return rows.sparkSession.createDataFrame([(n, cka)], "n long, cka double")
 
 
 def midranks(rows: DataFrame, value: str, out: str, *by: str) -> DataFrame:
-    """Rank among the rows of a group, the mean rank for equal values; from counts of each value."""
-    levels = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.join(levels.select(*by, value, (upto - (F.col("_c") - 1) / 2).alias(out)), [*by, value])
+    """Rank among the rows of a group, the mean rank for equal values; from counts of each value, range by range."""
+    ranks = counts(rows, value, *by).select(*by, value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(out))
+    return rows.alias("l").join(ranks.alias("r"), same("l", "r", by) & (F.col(f"l.`{value}`") == F.col(f"r.`{value}`"))).select("l.*", f"r.`{out}`")
 
 
 def cohen_kappa(rows: DataFrame, a: str, b: str) -> DataFrame:

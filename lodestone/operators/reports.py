@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,18 +64,40 @@ def reconcile(first: DataFrame, second: DataFrame, third: DataFrame, key: str, a
 
 
 def early_stop(rows: DataFrame, run: str, step: str, score: str, min_delta: float, patience: int) -> DataFrame:
-    """run, best, best_step, stopped_at (null if never): a score counts as better only by more than min_delta."""
-    log = F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), F.col(score).alias("score"))))
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("at"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"))
-
-    def fold(a: Column, x: Column) -> Column:
-        better = a["best"].isNull() | (x["score"] > a["best"] + min_delta)
-        bad = F.when(better, F.lit(0)).otherwise(a["bad"] + 1)
-        on = F.struct(F.when(better, x["score"]).otherwise(a["best"]).alias("best"), F.when(better, x["step"].cast("long")).otherwise(a["at"]).alias("at"), bad.alias("bad"), F.when(bad >= patience, x["step"].cast("long")).alias("stop"))
-        return F.when(a["stop"].isNotNull(), a).otherwise(on)
-
-    done = rows.groupBy(run).agg(log.alias("log")).select(run, F.aggregate("log", start, fold).alias("r"))
-    return done.select(run, F.col("r.best").alias("best"), F.col("r.at").alias("best_step"), F.col("r.stop").alias("stopped_at"))
+    """run, best, best_step, stopped_at (null if never): a score counts as better only by more than min_delta.
+
+    Null scores are no steps. The runs' logs are sorted over many partitions and
+    each is folded as it streams by, so no run is held whole; ties of a step go by score.
+    """
+    kind = dict(rows.dtypes)[run]
+    steps = rows.where(F.col(score).isNotNull()).select(F.col(run).alias("run"), F.col(step).cast("long").alias("step"), F.col(score).cast("double").alias("score"))
+    names = ["run", "best", "best_step", "stopped_at"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, at, bad, stop, any_row = None, None, None, 0, None, False
+        for batch in batches:
+            out: list[tuple] = []
+            for r, s, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if not any_row or r != now:
+                    if any_row:
+                        out.append((now, best, at, stop))
+                    now, best, at, bad, stop, any_row = r, None, None, 0, None, True
+                if stop is None:
+                    if best is None or v > best + min_delta:
+                        best, at, bad = v, s, 0
+                    else:
+                        bad += 1
+                        stop = s if bad >= patience else None
+            yield _told(out, batch.schema.field(0).type)
+        if any_row:
+            yield _told([(now, best, at, stop)], batch.schema.field(0).type)
+
+    def _told(out: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key, pa.float64(), pa.int64(), pa.int64()))], names)
+
+    found = steps.repartition("run").sortWithinPartitions("run", "step", "score").mapInArrow(fold, f"run {kind}, best double, best_step long, stopped_at long")
+    return found.withColumnRenamed("run", run)
 
 
 def acceptance(rows: DataFrame, accepted: str, z: float, *by: str) -> DataFrame:

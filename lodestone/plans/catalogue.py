@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import ids
 from lodestone.functions import scalars as S
 from lodestone.operators import grouping, inference, metrics, pairs, reports
+from lodestone.operators.ordering import quantiles
 from lodestone.sources import files, synthetic
+from lodestone.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -176,10 +178,10 @@ def pair_metrics(spark, d):
     return _metrics(spark, d).select("vec_id", "label", "family", "severity", "ordinal", *[_no_zero(F.col(c)).alias(c) for c in _REAL], *_FLAGS)
 
 
-@query(f"WITH {_pairs_sql()} SELECT vec_id, round(sum(p * ln(p / q)), 6) + 0.0 AS kl, bool_and(p BETWEEN 0 AND 1) AS valid FROM pq WHERE family = 'mix' AND severity = 'severe' GROUP BY vec_id")
+@query(f"WITH {_pairs_sql()} SELECT vec_id, family, severity, round(sum(p * ln(p / q)), 6) + 0.0 AS kl, bool_and(p BETWEEN 0 AND 1) AS valid FROM pq GROUP BY vec_id, family, severity")
 def prob_kl(spark, d):
-    rows = pairs.pairs(spark, d).where("family = 'mix' AND severity = 'severe'")
-    return rows.select("vec_id", _no_zero(S.kl_divergence(F.col("p"), F.col("q"))).alias("kl"), S.valid_probabilities(F.col("p")).alias("valid"))
+    rows = pairs.pairs(spark, d)
+    return rows.select("vec_id", "family", "severity", _no_zero(S.kl_divergence(F.col("p"), F.col("q"))).alias("kl"), S.valid_probabilities(F.col("p")).alias("valid"))
 
 
 @query(f"WITH {_pairs_sql()} SELECT vec_id, family, severity, round(entropy, 6) + 0.0 AS entropy, round(changed_entropy, 6) + 0.0 AS changed_entropy FROM pm")
@@ -202,10 +204,12 @@ def vec_cosine(spark, d):
  round(avg((confidence_change > 0)::INT) FILTER (WHERE failure), 6) + 0.0 AS failures_more_confident FROM pm GROUP BY 1""")
 def confidence_summary(spark, d):
     change = F.col("confidence_change")
-    found = _metrics(spark, d).groupBy("family").agg(
-        F.count("*").alias("n"), F.avg(change).alias("mean_change"), F.avg(F.abs(change)).alias("mean_absolute"), F.percentile(change, F.lit(0.5)).alias("median_change"),
+    rows = materialize(_metrics(spark, d).select("family", "confidence_change", "failure"), "changes")
+    whole = rows.groupBy("family").agg(
+        F.count("*").alias("n"), F.avg(change).alias("mean_change"), F.avg(F.abs(change)).alias("mean_absolute"),
         F.avg(F.when(F.col("failure"), (change > 0).cast("double"))).alias("failures_more_confident"),
     )
+    found = whole.join(quantiles(rows, "confidence_change", {"median_change": 0.5}, "family"), "family")
     return found.select("family", "n", *[_no_zero(F.col(c)).alias(c) for c in found.columns[2:]])
 
 
@@ -533,9 +537,13 @@ def learning_curve(spark, d):
     return reports.learning_curve(train, rows.where("event_type = 'error'").groupBy("user_id", "epoch").agg(F.max("value").alias("best")), ["user_id", "epoch"], "loss", "best")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE value IS NOT NULL),
+ s AS (SELECT user_id, k, value AS best, event_id AS best_step, 0 AS bad, NULL::BIGINT AS stopped_at FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.k, CASE WHEN e.value > s.best + 0.5 THEN e.value ELSE s.best END, CASE WHEN e.value > s.best + 0.5 THEN e.event_id ELSE s.best_step END,
+   CASE WHEN e.value > s.best + 0.5 THEN 0 ELSE s.bad + 1 END, CASE WHEN e.value <= s.best + 0.5 AND s.bad + 1 >= 5 THEN e.event_id END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1 WHERE s.stopped_at IS NULL)
+ SELECT user_id, best, best_step, coalesce(stopped_at, -1) AS stopped_at FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
 def early_stop(spark, d):
-    return reports.early_stop(table(spark, d, "events"), "user_id", "event_id", "value", 0.5, 5)
+    return reports.early_stop(table(spark, d, "events"), "user_id", "event_id", "value", 0.5, 5).withColumn("stopped_at", F.coalesce("stopped_at", F.lit(-1)))
 
 
 @query("""WITH a AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 100 <> 7), e AS (SELECT doc_id AS path, CASE WHEN doc_id % 100 = 3 THEN sha256('changed') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 100 <> 5)
@@ -560,7 +568,8 @@ def review_fill(spark, d):
 
 @query("SELECT event_type, median(value) AS median_value, round(median(value) * 253 * 50 / 3600, 6) AS hours FROM events WHERE event_id > 5 GROUP BY 1")
 def step_time_median(spark, d):
-    return table(spark, d, "events").where("event_id > 5").groupBy("event_type").agg(F.median("value").alias("median_value"), r6(F.median("value") * 253 * 50 / 3600, "hours"))
+    found = quantiles(table(spark, d, "events").where("event_id > 5"), "value", {"median_value": 0.5}, "event_type")
+    return found.select("event_type", "median_value", r6(F.col("median_value") * 253 * 50 / 3600, "hours"))
 
 
 @query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256('3' || chr(0) || o_orderkey)) - 1 AS k, count(*) OVER () AS n FROM orders) SELECT o_orderkey, k // 64 AS batch, (k % 64 // 32)::BIGINT AS shard FROM r WHERE k < n // 64 * 64""")

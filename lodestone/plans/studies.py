@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids, texts
 from lodestone.functions import scalars as S
-from lodestone.operators import contracts, detectors, inference, metrics, pairs, reports, selections, tables
+from lodestone.operators import contracts, detectors, grouping, inference, metrics, pairs, provenance, reports, selections, tables
 from lodestone.operators.ordering import numbered
 from lodestone.plans.catalogue import _no_zero, query, r6, table
+from lodestone.storage import materialize
 
 #: A study as SQL: sources in groups, two models, three seeds, families and severities.
 _STUDY = """st AS (SELECT l_orderkey AS source, l_suppkey AS grp, l_linestatus AS model, (l_linenumber % 3)::INT AS seed, l_returnflag AS family,
@@ -86,11 +89,13 @@ def eligible_partners(spark, d):
     return selections.eligible_partners(rows, "vec_id", "grp", "content", "bits", "label", 14).groupBy("vec_id").agg(F.count("*").alias("partners"), F.min("partner").alias("first"))
 
 
-@query("SELECT o_orderkey, 'run-a' AS run, 'm1' AS model, 17 AS seed FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'run-b', 'm2', 29 FROM orders WHERE o_orderstatus = 'O'")
+@query("SELECT o_orderkey, 'run-a' AS run, 'm1' AS model, 17 AS seed FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'run-b', 'm2', 29 FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'run-c', 'm2', 43 FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
 def run_keys(spark, d):
     rows = table(spark, d, "orders")
-    each = [rows.where(F.col("o_orderstatus") == s).select("o_orderkey").withColumns({"run": F.lit(r), "model": F.lit(m), "seed": F.lit(k)}) for s, r, m, k in (("F", "run-a", "m1", 17), ("O", "run-b", "m2", 29))]
-    return each[0].unionByName(each[1])
+    status = F.col("o_orderstatus")
+    runs = [(status == "F", "run-a", "m1", 17), (status == "O", "run-b", "m2", 29), (~status.isin("F", "O"), "run-c", "m2", 43)]
+    each = [rows.where(test).select("o_orderkey").withColumns({"run": F.lit(r), "model": F.lit(m), "seed": F.lit(k)}) for test, r, m, k in runs]
+    return reduce(DataFrame.unionByName, each)
 
 
 @query(f"""WITH {_STUDY}, s AS (SELECT family, severity, count(*)::DOUBLE AS n, avg(value) AS mean_value, stddev_samp(value) AS sd_value FROM st GROUP BY 1, 2), u AS (UNPIVOT s ON n, mean_value, sd_value INTO NAME metric VALUE value)
@@ -245,19 +250,30 @@ def subset_missing(spark, d):
 @query("""SELECT r_regionkey, '{"key":' || r_regionkey || ',"name":"' || r_name || '"}' AS document, sha256('{"key":' || r_regionkey || ',"name":"' || r_name || '"}') AS digest,
  substr(sha256('{"key":' || r_regionkey || ',"name":"' || r_name || '"}'), 1, 13) AS stage FROM region""")
 def canonical_json(spark, d):
-    text = texts.canonical_json(F.struct(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")))
+    text = texts.canonical_json({"name": F.col("r_name"), "key": F.col("r_regionkey")})
     return table(spark, d, "region").select("r_regionkey", text.alias("document"), F.sha2(text, 256).alias("digest"), ids.opaque(F.sha2(text, 256), 13).alias("stage"))
 
 
-@query("SELECT c_custkey, lower(trim('  ' || c_mktsegment || ' ')) AS decision FROM customer")
+@query("""SELECT c_custkey, lower(regexp_extract(CASE c_custkey % 4 WHEN 0 THEN chr(9) || c_mktsegment || chr(10) WHEN 1 THEN ' ' || chr(160) || c_mktsegment || chr(8195) WHEN 2 THEN chr(13) || chr(28) || c_mktsegment || ' x ' ELSE c_mktsegment END,
+ '^[\\x{1C}-\\x{1F}\\s\\x{A0}\\x{2003}\\x0B]*(.*?)[\\x{1C}-\\x{1F}\\s\\x{A0}\\x{2003}\\x0B]*$', 1)) AS decision FROM customer""")
 def decision_words(spark, d):
-    return table(spark, d, "customer").select("c_custkey", texts.decision(F.concat(F.lit("  "), "c_mktsegment", F.lit(" "))).alias("decision"))
+    k, word = F.col("c_custkey") % 4, F.col("c_mktsegment")
+    written = F.when(k == 0, F.concat(F.lit("\t"), word, F.lit("\n"))).when(k == 1, F.concat(F.lit(" \xa0"), word, F.lit("\u2003"))).when(k == 2, F.concat(F.lit("\r\x1c"), word, F.lit(" x "))).otherwise(word)
+    return table(spark, d, "customer").select("c_custkey", texts.decision(written).alias("decision"))
+
 
+_NAMES = "CASE s_suppkey % 5 WHEN 0 THEN s_name WHEN 1 THEN '..-' || s_name || ' v_2.0 é!-' WHEN 2 THEN '-.' || chr(10) WHEN 3 THEN '__A  b__' || s_suppkey ELSE 'Ä/Ö' || s_suppkey || '.' END"
 
-@query("SELECT s_suppkey, s_name AS model, (s_suppkey % 50)::VARCHAR AS seed, trim(regexp_replace(lower(s_name), '[^a-z0-9.]+', '-', 'g'), '-') AS slug FROM supplier")
+
+@query(f"""SELECT s_suppkey, s_name AS model, (s_suppkey % 50)::VARCHAR AS seed, coalesce(nullif(trim(regexp_replace({_NAMES}, '[^A-Za-z0-9_.-]+', '-', 'g'), '-.'), ''), 'lodestone') AS slug FROM supplier""")
 def run_names(spark, d):
     name = texts.run_parts(F.concat("s_name", F.lit("-seed"), F.col("s_suppkey") % 50))
-    return table(spark, d, "supplier").select("s_suppkey", name["model"].alias("model"), name["seed"].alias("seed"), texts.slug(F.col("s_name")).alias("slug"))
+    k, own = F.col("s_suppkey") % 5, F.col("s_name")
+    written = (
+        F.when(k == 0, own).when(k == 1, F.concat(F.lit("..-"), own, F.lit(" v_2.0 é!-"))).when(k == 2, F.lit("-.\n"))
+        .when(k == 3, F.concat(F.lit("__A  b__"), "s_suppkey")).otherwise(F.concat(F.lit("Ä/Ö"), "s_suppkey", F.lit(".")))
+    )
+    return table(spark, d, "supplier").select("s_suppkey", name["model"].alias("model"), name["seed"].alias("seed"), texts.slug(written).alias("slug"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS field, '[' || user_id || ',' || event_id || ']' AS cell FROM events")
@@ -281,11 +297,14 @@ def moved_paths(spark, d):
     return table(spark, d, "part").select("p_partkey", move(F.concat_ws("/", F.lit("/logical"), "p_brand", "p_partkey")).alias("path"), move(F.concat(F.lit("/logical-not/"), "p_partkey")).alias("other"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN true WHEN 4 THEN true ELSE false END AS safe FROM nation")
+_HOSTILE = ["a/b..c.json", "/etc/passwd", "a/../../b", "C:\\x", "x/..y/z", "x\\escape", "a/b:stream", "../up", "a/..", "..", "a/./b", "", "\\\\host\\share"]
+
+
+@query(f"""WITH p AS (SELECT p_partkey, [{", ".join(f"'{x}'" for x in _HOSTILE)}][p_partkey % {len(_HOSTILE)} + 1] AS path FROM part)
+ SELECT p_partkey, path <> '' AND path[1] <> '/' AND NOT list_contains(string_split(path, '/'), '..') AND NOT contains(path, ':') AND NOT contains(path, chr(92)) AS safe FROM p""")
 def safe_paths(spark, d):
-    k = F.col("n_nationkey") % 5
-    path = F.when(k == 0, "a/b..c.json").when(k == 1, "/etc/passwd").when(k == 2, "a/../../b").when(k == 3, "C:\\x").otherwise("x/..y/z")
-    return table(spark, d, "nation").select("n_nationkey", texts.safe_relative(path).alias("safe"))
+    path = F.get(F.array(*map(F.lit, _HOSTILE)), (F.col("p_partkey") % len(_HOSTILE)).cast("int"))
+    return table(spark, d, "part").select("p_partkey", texts.safe_relative(path).alias("safe"))
 
 
 @query("SELECT c_nationkey, printf('%.3f ± %.3f', round(avg(c_acctbal) / 7, 6), round(stddev_samp(c_acctbal), 6)) AS told FROM customer GROUP BY 1 HAVING count(*) > 1")
@@ -506,10 +525,10 @@ def reviewer_identities(spark, d):
     return contracts.same_person(rows, "doc_id", ["a", "b", "c"])
 
 
-@query("""WITH e AS (SELECT user_id, event_id // 100 AS step, count(*) AS n FROM events WHERE user_id % 10 = 0 GROUP BY 1, 2), l AS (SELECT *, lag(step) OVER (PARTITION BY user_id ORDER BY step) AS b FROM e)
+@query("""WITH e AS (SELECT user_id, event_id // 100 AS step, count(*) AS n FROM events GROUP BY 1, 2), l AS (SELECT *, lag(step) OVER (PARTITION BY user_id ORDER BY step) AS b FROM e)
  SELECT user_id, step, CASE WHEN n > 1 THEN 'repeated' ELSE 'gap' END AS problem FROM l WHERE n > 1 OR step <> b + 1""")
 def training_gaps(spark, d):
-    rows = table(spark, d, "events").where("user_id % 10 = 0").select("user_id", F.expr("event_id DIV 100").alias("step"))
+    rows = table(spark, d, "events").select("user_id", F.expr("event_id DIV 100").alias("step"))
     return contracts.gaps(rows, "user_id", "step")
 
 
@@ -541,3 +560,107 @@ def immutable_fields(spark, d):
 def unresolved_references(spark, d):
     used = table(spark, d, "lineitem").select((F.col("l_suppkey") + 3).alias("s_suppkey"))
     return contracts.missing(used, table(spark, d, "supplier"), "s_suppkey")
+
+
+# --- split, provenance, and statistics of one's own -----------------------------------------------------
+
+
+_FRACTIONS = {"train": 0.6, "validation": 0.15, "calibration": 0.1, "final_test": 0.15}
+
+
+@query("""WITH t AS (SELECT coalesce(lang, '(none)') AS lang, count(*) AS total FROM documents GROUP BY 1), r AS (SELECT * FROM (VALUES ('train'), ('validation'), ('calibration'), ('final_test')) r(role))
+ SELECT lang, role, total, true AS near, true AS whole FROM t, r""")
+def split_invariants(spark, d):
+    """Of a split by content and language: whether each role is near its share of a language, and every content in one role.
+
+    A role may miss 5 % of the language's rows: what groups of several languages and large ones displace.
+    """
+    rows = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("(none)")).alias("lang"), F.sha2("text", 256).alias("content"))
+    split = materialize(grouping.grouped_split(rows, "content", "lang", _FRACTIONS), "split")
+    counts = split.groupBy("lang").pivot("role", list(_FRACTIONS)).agg(F.count(F.lit(1)))
+    torn = split.groupBy("content").agg(F.count_distinct("role").alias("n"), F.any_value("lang").alias("lang")).where("n > 1").groupBy("lang").agg(F.count("*").alias("torn"))
+    total = reduce(lambda a, b: a + b, [F.coalesce(r, F.lit(0)) for r in _FRACTIONS])
+    near = lambda r, f: F.abs(F.coalesce(r, F.lit(0)) - f * total) <= 0.05 * total + 2
+    each = F.array(*[F.struct(F.lit(r).alias("role"), near(r, f).alias("near")) for r, f in _FRACTIONS.items()])
+    met = counts.join(torn, "lang", "left").select("lang", total.cast("long").alias("total"), F.col("torn").isNull().alias("whole"), F.inline(each))
+    return met.select("lang", "role", "total", "near", "whole")
+
+
+_GRAPH = """n AS (SELECT 'order:' || o_orderkey AS node, sha256('order:' || o_orderkey || ':' || o_orderstatus) AS digest FROM orders
+  UNION ALL SELECT 'customer:' || c_custkey, sha256('customer:' || c_custkey) FROM customer WHERE c_custkey % 97 <> 5 UNION ALL SELECT 'nation:' || n_nationkey, sha256('nation:' || n_name) FROM nation UNION ALL SELECT 'freeze', sha256('freeze')),
+ e AS (SELECT 'customer:' || o_custkey AS parent, 'order:' || o_orderkey AS child, CASE WHEN o_orderkey % 1009 = 7 THEN sha256('changed') ELSE sha256('order:' || o_orderkey || ':' || o_orderstatus) END AS expected FROM orders
+  UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, sha256('customer:' || c_custkey) FROM customer UNION ALL SELECT 'freeze', 'nation:' || n_nationkey, sha256('nation:' || n_name) FROM nation
+  UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, sha256('customer:' || o_custkey) FROM orders WHERE o_orderkey % 5003 = 2)"""
+
+
+def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Customers name their orders, nations their customers, a freeze the nations; some customers are missing, some orders changed, some name their customer."""
+    read = lambda name: table(spark, d, name)
+    sha = lambda *parts: F.sha2(F.concat(*parts), 256)
+    order, customer = F.concat(F.lit("order:"), "o_orderkey"), lambda c: F.concat(F.lit("customer:"), c)
+    nation = lambda c: F.concat(F.lit("nation:"), c)
+    now = sha(order, F.lit(":"), "o_orderstatus")
+    nodes = [
+        read("orders").select(order.alias("node"), now.alias("digest")), read("customer").where("c_custkey % 97 <> 5").select(customer("c_custkey").alias("node"), F.sha2(customer("c_custkey"), 256).alias("digest")),
+        read("nation").select(nation("n_nationkey").alias("node"), sha(F.lit("nation:"), "n_name").alias("digest")), spark.range(1).select(F.lit("freeze").alias("node"), F.sha2(F.lit("freeze"), 256).alias("digest")),
+    ]
+    edge = lambda rows, parent, child, expected: rows.select(parent.alias("parent"), child.alias("child"), expected.alias("expected"))
+    told = F.when(F.col("o_orderkey") % 1009 == 7, F.sha2(F.lit("changed"), 256)).otherwise(now)
+    edges = [
+        edge(read("orders"), customer("o_custkey"), order, told), edge(read("customer"), nation("c_nationkey"), customer("c_custkey"), F.sha2(customer("c_custkey"), 256)),
+        edge(read("nation"), F.lit("freeze"), nation("n_nationkey"), sha(F.lit("nation:"), "n_name")), edge(read("orders").where("o_orderkey % 5003 = 2"), order, customer("o_custkey"), F.sha2(customer("o_custkey"), 256)),
+    ]
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
+
+
+@query(f"""WITH RECURSIVE {_GRAPH}, b AS (SELECT DISTINCT 'order:' || o_orderkey AS o, 'customer:' || o_custkey AS c FROM orders WHERE o_orderkey % 5003 = 2),
+ up(node) AS (SELECT o FROM b UNION SELECT c FROM b UNION SELECT e.parent FROM e JOIN up ON e.child = up.node),
+ p AS (SELECT e.child AS node, CASE WHEN n.node IS NULL THEN 'missing' ELSE 'digest' END AS problem, e.parent FROM e LEFT JOIN n ON n.node = e.child WHERE n.node IS NULL OR n.digest <> e.expected UNION ALL SELECT node, 'cycle', NULL FROM up),
+ l AS (SELECT x.node, CASE WHEN x.node IN (SELECT node FROM up) THEN -1 WHEN x.node LIKE 'order:%' THEN 0 WHEN x.node LIKE 'customer:%' THEN CASE WHEN x.node IN (SELECT parent FROM e) THEN 1 ELSE 0 END ELSE 2 END AS level FROM (SELECT DISTINCT node FROM p) x)
+ SELECT DISTINCT node, problem, parent, level FROM p JOIN l USING (node)""")
+def digest_problems(spark, d):
+    """Changed, missing and circular artifacts of a graph of digests; level -1 for what has none."""
+    nodes, edges = _graph(spark, d)
+    return provenance.problems(nodes, edges).withColumn("level", F.coalesce("level", F.lit(-1)))
+
+
+@query("""WITH c AS (SELECT DISTINCT 'customer:' || o_custkey AS parent, 'order:' || o_orderkey AS cause FROM orders WHERE o_orderkey % 1009 = 7), k AS (SELECT parent AS node, min(cause) AS cause, 0 AS cause_level FROM c GROUP BY 1),
+ own AS (SELECT cause AS node, cause, 0 AS cause_level FROM c), n AS (SELECT 'nation:' || c_nationkey AS node, min(cause) AS cause, 0 AS cause_level FROM k JOIN customer ON k.node = 'customer:' || c_custkey GROUP BY 1)
+ SELECT * FROM own UNION ALL SELECT * FROM k UNION ALL SELECT * FROM n UNION ALL SELECT 'freeze', min(cause), 0 FROM n HAVING count(*) > 0""")
+def digest_affected(spark, d):
+    """What stands above changed orders, and the first of them below it; without missing and circular artifacts."""
+    nodes, edges = _graph(spark, d)
+    whole = table(spark, d, "customer").where("c_custkey % 97 = 5").select(F.concat(F.lit("customer:"), "c_custkey").alias("node"), F.sha2(F.concat(F.lit("customer:"), "c_custkey"), 256).alias("digest"))
+    return provenance.affected(nodes.unionByName(whole), edges.where("NOT (parent LIKE 'order:%')"))
+
+
+def _draws_sql(groups: str, replicates: int) -> str:
+    return f"""g AS MATERIALIZED (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS number, count(*) OVER () AS n FROM (SELECT DISTINCT {groups})),
+ w AS MATERIALIZED (SELECT replicate, number, count(*) AS weight FROM (SELECT r.range AS replicate, ('0x' || substr(sha256('1' || chr(0) || r.range || chr(0) || s.number), 1, 16))::UBIGINT % s.n AS number FROM g s, range({replicates}) r) GROUP BY ALL UNION ALL SELECT -1, number, 1 FROM g)"""
+
+
+_ENDS = "max(value) FILTER (WHERE replicate < 0) AS e, quantile_cont(value, 0.025) FILTER (WHERE replicate >= 0) AS lo, quantile_cont(value, 0.975) FILTER (WHERE replicate >= 0) AS hi, count(value) FILTER (WHERE replicate >= 0) AS valid"
+
+
+@query(f"""WITH {_draws_sql("l_suppkey AS grp FROM lineitem", 2000)}, s AS (SELECT l_returnflag, l_suppkey AS grp, sum(l_extendedprice * l_discount) AS given, sum(l_extendedprice) AS price FROM lineitem GROUP BY ALL),
+ v AS (SELECT l_returnflag, replicate, sum(weight * given) / sum(weight * price) AS value FROM s JOIN g USING (grp) JOIN w USING (number) GROUP BY ALL), t AS (SELECT l_returnflag, {_ENDS} FROM v GROUP BY 1)
+ SELECT l_returnflag, round(e, 6) AS estimate, round(lo, 6) AS lower, round(hi, 6) AS upper, valid FROM t""")
+def ratio_bootstrap(spark, d):
+    """A statistic of one's own, a ratio of two sums, by whole suppliers."""
+    rows = table(spark, d, "lineitem")
+    states = {"given": F.sum(F.col("l_extendedprice") * F.col("l_discount")), "price": F.sum("l_extendedprice")}
+    found = inference.bootstrap(rows, "l_suppkey", states, inference.of_sums(F.col("given") / F.col("price")), by=("l_returnflag",))
+    return found.select("l_returnflag", r6("estimate", "estimate"), r6("lower", "lower"), r6("upper", "upper"), "valid")
+
+
+@query(f"""WITH x AS (SELECT l.quality, l.doc_id, d.source AS grp, round(d.n_chars / 500.0::DOUBLE) AS s, 1 - l.quality AS y FROM labels l JOIN documents d USING (doc_id)), {_draws_sql("grp FROM x", 2000)},
+ a AS (SELECT grp, s, sum(y) AS pos, count(*) AS cnt FROM x GROUP BY ALL), m AS (SELECT replicate, s, sum(weight * pos) AS pos, sum(weight * cnt) AS cnt FROM a JOIN g USING (grp) JOIN w USING (number) GROUP BY ALL),
+ k AS (SELECT *, sum(pos) OVER z AS tp, sum(cnt) OVER z AS k FROM m WINDOW z AS (PARTITION BY replicate ORDER BY s DESC)),
+ v AS (SELECT replicate, CASE WHEN sum(pos) > 0 AND sum(pos) < sum(cnt) THEN sum(pos * tp / k) / sum(pos) END AS value FROM k GROUP BY 1), t AS (SELECT {_ENDS} FROM v)
+ SELECT round(e, 6) AS estimate, round(lo, 6) AS lower, round(hi, 6) AS upper, valid FROM t""")
+def precision_bootstrap(spark, d):
+    """Average precision through the same path: states for each level of the score."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.round(F.col("n_chars") / 500.0).alias("s"))
+    rows = table(spark, d, "labels").join(docs, "doc_id").withColumn("y", 1 - F.col("quality"))
+    found = inference.bootstrap(rows, "source", {"pos": F.sum("y"), "cnt": F.count("*")}, inference.of_levels("s"), "s")
+    return found.select(r6("estimate", "estimate"), r6("lower", "lower"), r6("upper", "upper"), "valid")

@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def safe(name: str) -> bool:
-    """Whether a member's name stays below where it is unpacked."""
-    parts = name.replace("\\", "/").split("/")
-    return bool(name) and "\0" not in name and not name.startswith(("/", "\\")) and name[1:2] != ":" and ".." not in parts
+    """Whether a member's name stays below where it is unpacked; as texts.safe_relative."""
+    return bool(name) and not name.startswith("/") and ".." not in name.split("/") and not set(name) & set(":\\\0")
 
 
 class _Joined:

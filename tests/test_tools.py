@@ -38,7 +38,7 @@ def test_archive_in_parts(spark, tmp_path):
     for bad in ({**listed, "c": (1, "")}, {"b.txt": listed["b.txt"]}, {**listed, "b.txt": (256, "0")}):
         with pytest.raises(ValueError):
             list(archives.members(paths, bad))
-    assert not any(map(archives.safe, ["/x", "..", "a/../b", "c:/x", "", "\\x", "a\0"])) and archives.safe("a/..b")
+    assert not any(map(archives.safe, ["/x", "..", "a/../b", "c:/x", "", "\\x", "x\\escape", "a/b:c", "a\0"])) and archives.safe("a/..b")
 
 
 def test_settings_contract():
@@ -71,6 +71,9 @@ def test_tensors(spark):
 
 def test_registered_functions(spark):
     registered.register(spark)
+    hostile = ["../escape", "/absolute", "C:/escape", "x\\escape", "a/b:c", "", "a/..", "a\0b", "a/..b", "..\n"]
+    safe = spark.createDataFrame([(p,) for p in hostile], "p string").selectExpr("p", "lodestone_safe_path(p) AS safe")
+    assert [r.p for r in safe.where("safe").collect()] == ["a/..b", "..\n"]
     got = spark.sql("SELECT lodestone_entropy(array(0.5D, 0.5D, 0D)) AS e, lodestone_hamming(6, 3) AS h, lodestone_digest('a', 'b') AS d, lodestone_safe_path('a/b') AS p, lodestone_safe_path('../b') AS q").first()
     assert (round(got.e, 6), got.h, got.d, got.p, got.q) == (0.693147, 2, hashlib.sha256(b"a\0b").hexdigest(), True, False)
     assert spark.sql("SELECT * FROM lodestone_conditions()").count() == 12
