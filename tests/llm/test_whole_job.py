@@ -52,12 +52,24 @@ def test_near_copies_are_all_found(spark, monkeypatch):
     for (d, _), p in zip(rows, part):
         least[p] = min(least.get(p, d), d)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for bound in (0, 100_000):  # the order of the shingles changes nothing
+    hot = nearcopies._apart
+    for bound, least_hot in ((0, 64), (100_000, 64), (0, 1)):  # neither the order of the shingles nor how hot keys are split changes anything
         monkeypatch.setattr(nearcopies, "FREQUENT", bound)
+        monkeypatch.setattr(nearcopies, "_apart", lambda members, _: hot(members, least_hot))
         got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()}
         assert got == {d: least[p] for (d, _), p in zip(rows, part)}
 
 
+def test_near_copies_without_doc_id_and_repeated_rows(spark):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    rows = [(None, base[0]), (None, base[0] + " x"), (None, base[1]), (7, base[1] + " y"), (7, base[2]), (7, base[2]), (7, base[2] + " z"), (9, base[3]), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id or 0) for r in nearcopies.near_copies(docs).collect())
+    assert got == sorted([(True, 0, 0)] * 2 + [(True, 0, 7), (False, 7, 7)] + [(False, 7, 7)] * 3 + [(False, 9, 9)] + [(True, 0, 0)] * 2)
+    assert nearcopies.drop_near_copies(docs).count() == 5
+
+
 def test_stage_keeps_one_of_each_group(spark):
     import corpus_pipeline
 
