@@ -1,18 +1,22 @@
 """Licence scans (operator 3): a trained paragraph classifier, without user functions.
 
-A paragraph is a line and, unless an ending mark or a blank line closes it, the
-line after it. Those that pass a gate, which is made of the templates' own words
-and word pairs and of general anchor words, are described by the hashed words and
-word pairs they hold; a multinomial logistic regression with sparse weights
-gives a licence family, another licence, or none. Its probabilities are calibrated
-by a temperature, and the threshold below which the answer is "unknown" is chosen
-on licences that it has not seen (STRANGE): at most LET_THROUGH of their variants
-get a family. A prediction counts as confirmed if enough of the paragraph's or the
-template's word pairs are shared with a template of that family.
-
-Fitted on the driver on variants of the templates below and on at most
-NEGATIVES lines of the corpus without an anchor word or licence name (smallest
-hash first) of about NEGATIVE_DOCS documents.
+A paragraph is the lines up to a blank one. It is cut into sentences, and a sentence of more
+than WIDTH words into windows of so many words that overlap by half, so words
+around a statement cannot drown it, and a statement that breaks over lines stays whole.
+Windows that pass a gate, which is made of the templates' own words and word pairs and of
+general anchor words, are described by the hashed words and word pairs they
+hold; a multinomial logistic regression with sparse weights gives a licence
+family, another licence, or none. Its probabilities are calibrated by a
+temperature, and the threshold below which the answer is "unknown" is chosen on
+licences that it has not seen (STRANGE): at most LET_THROUGH of their variants
+get a family. A prediction counts as confirmed if enough of the window's or the
+template's word pairs are shared with a template of that family. A sentence has
+the family of its best window, a paragraph those of its sentences; it is
+"unknown" only if none of them has one.
+
+Fitted on the driver on variants of the templates below, set into words of the
+corpus, and on at most NEGATIVES windows of the corpus without an anchor word or
+licence name (smallest hash first) of about NEGATIVE_DOCS documents.
 """
 
 from __future__ import annotations
@@ -31,15 +35,18 @@ NEGATIVES, NEGATIVE_DOCS = 400, 20_000  # bounds of what the classifier takes fr
 LET_THROUGH = 0.05  # share of variants of unseen licences that may get a family
 VARIANTS = 30  # of each template
 CONFIRMED = 0.5  # share of word pairs
+WIDTH, STEP = 12, 4  # words of a window, and from one to the next
+PADDING = (0, 0, 2, 5, 7)  # words of the corpus that a variant has on either side
+SPACE, ENDS = r"[\x20\x09-\x0D]+", r"(?<=[.!?;:])[\x20\x09-\x0D]+"  # between words, between sentences
 
 # Short statements that name a licence, by family.
 TEMPLATES = {
     "apache": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license", "you may obtain a copy of the license at http www.apache.org licenses license-2.0"],
     "mit": ["released under the mit license", "licensed under the mit license see the license file", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
     "gpl": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "licensed under gpl v2 or later"],
-    "lgpl": ["licensed under the gnu lesser general public license version 2.1", "distributed under the terms of the gnu lgpl"],
-    "agpl": ["licensed under the gnu affero general public license version 3", "distributed under the terms of the gnu agpl"],
-    "bsd": ["licensed under the bsd 3 clause license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "lgpl": ["licensed under the gnu lesser general public license version 2.1", "distributed under the terms of the gnu lgpl", "licensed under lgpl v2.1 or later", "released under the gnu lgpl", "this library is covered by the lgpl"],
+    "agpl": ["licensed under the gnu affero general public license version 3", "distributed under the terms of the gnu agpl", "licensed under agpl v3 or later", "released under the gnu agpl", "this program is covered by the agpl"],
+    "bsd": ["licensed under the bsd 3 clause license", "licensed under the bsd 3-clause license", "released under the bsd license", "distributed under the bsd 2-clause license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],
     "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "creative commons attribution 4.0 international"],
     "cc-by-sa": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license", "creative commons attribution sharealike 4.0 international"],
@@ -85,7 +92,7 @@ def tokens(line: str) -> list[str]:
     """Words as the column expression cuts them."""
     import regex
 
-    return [w for w in regex.split(PART, line.lower()) if w.strip(".-")]
+    return [w for w in (w.strip(".-") for w in regex.split(PART, line.lower())) if w]
 
 
 def grams(words: list[str]) -> list[str]:
@@ -114,7 +121,7 @@ def fit(negatives: list[str]) -> dict:
         out = []
         for v in range(VARIANTS):
             words = [w for w in text.split() if v == 0 or rng.random() > 0.08]
-            out.append(" ".join([rng.choice(plain) for _ in range(rng.choice((0, 0, 2, 5)))] + words + [rng.choice(plain) for _ in range(rng.choice((0, 0, 2, 5)))]))
+            out.append(" ".join([rng.choice(plain) for _ in range(rng.choice(PADDING))] + words + [rng.choice(plain) for _ in range(rng.choice(PADDING))]))
         return out
 
     for c, texts in enumerate([*TEMPLATES.values(), ANOTHER], 1):
@@ -151,11 +158,33 @@ def fit(negatives: list[str]) -> dict:
 def train(docs: DataFrame) -> dict:
     names = "|".join(NAMES).replace(" ", PART)
     one_in = max(1, docs.count() // NEGATIVE_DOCS)
-    lines = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(one_in)) == 0).select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(rf"{ANCHORS}|(?<![\p{{L}}\p{{N}}])(?:{names})(?!\p{{L}})") & (F.char_length("line") > 20))
-    rows = lines.select(F.xxhash64("line").alias("h"), "line").orderBy("h", "line").limit(NEGATIVES).collect()
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(one_in)) == 0)
+    lines = some.select(F.explode(F.flatten(F.flatten(F.transform(paragraphs(F.coalesce("text", F.lit(""))), lambda p: windows(p["t"]))))).alias("line"))
+    lines = lines.where(~F.col("line").rlike(rf"{ANCHORS}|(?<![\p{{L}}\p{{N}}])(?:{names})(?!\p{{L}})") & (F.char_length("line") > 20))
+    rows = lines.select(F.xxhash64("line").alias("h"), "line").distinct().orderBy("h", "line").limit(NEGATIVES).collect()
     return fit([r[1] for r in rows])
 
 
+def paragraphs(text: Column) -> Column:
+    """Array of (line, t): first line, from 0, and text of the paragraphs, whose lines are joined by spaces."""
+
+    def between(lines: Column) -> Column:
+        blank = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
+        edges = F.concat(F.array(F.lit(-1)), blank, F.array(F.size(lines)))
+        part = lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: F.struct((F.get(e, k) + 1).alias("line"), (F.get(e, k + 1) - F.get(e, k) - 1).alias("n")))
+        found = let(edges, lambda e: F.filter(part(e), lambda p: p["n"] > 0))
+        return F.transform(found, lambda p: F.struct(p["line"].alias("line"), F.array_join(F.slice(lines, p["line"] + 1, p["n"]), " ").alias("t")))
+
+    return let(F.split(text, "\n"), between)
+
+
+def windows(paragraph: Column) -> Column:
+    """Array, for each sentence, of its windows."""
+    last = lambda w: F.size(w) - STEP - 1
+    cut = lambda s, w: F.when(F.size(w) <= WIDTH, F.array(s)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last(w), F.lit(0)), F.lit(STEP)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(WIDTH)), " ")))
+    return F.transform(F.split(paragraph, ENDS), lambda s: let(F.split(s, SPACE), lambda w: cut(s, w)))
+
+
 def _numbers(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(f"{v:.5g}" for v in values)), ",").cast("array<double>")
 
@@ -171,7 +200,7 @@ def classify(line: Column, model: dict) -> Column:
     weights = _numbers(model["w"].reshape(-1))
     biases = F.array(*[F.lit(float(v)) for v in model["b"]])
     pairs = F.array(*[F.array(*[F.lit(h - (1 << 64) if h >> 63 else h) for h in sorted({_hash(g) for t in TEMPLATES.get(c, []) for g in grams(t.split()) if " " in g})] or [F.lit(0).cast("long")]).cast("array<bigint>") for c in classes])
-    words = F.filter(F.split(F.lower(line), PART), lambda w: F.regexp_replace(w, "[.-]", "") != "")
+    words = F.filter(F.transform(F.split(F.lower(line), PART), lambda w: F.regexp_replace(w, r"\A[.-]+|[.-]+\z", "")), lambda w: w != "")
     both = lambda w: F.concat(w, F.filter(F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))), lambda g: g.contains(" ")))
     shortest = F.array(*map(F.lit, shortest_of()))
 
@@ -199,21 +228,37 @@ def classify(line: Column, model: dict) -> Column:
     return let(let(hashes, scored), told)
 
 
+def _best(found: Column) -> Column:
+    """Of the results (probability, family, confirmed) of a sentence: the family of the highest probability, else unknown, else null."""
+    said = lambda rs, test: F.array_max(F.filter(rs, test))
+    return F.coalesce(said(found, lambda r: ~r["family"].isin("none", "unknown")), said(found, lambda r: r["family"] == "unknown"))
+
+
+def _told(found: Column) -> Column:
+    """Of the sentences' results of a paragraph: the best of each family, unknown only alone."""
+    named = F.filter(found, lambda r: r["family"] != "unknown")
+    each = lambda rs: F.transform(F.array_sort(F.array_distinct(F.transform(rs, lambda r: r["family"]))), lambda f: F.array_max(F.filter(rs, lambda r: r["family"] == f)))
+    return let(F.when(F.size(named) > 0, named).otherwise(found), each)
+
+
 def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """doc_id, families (sorted, distinct; "unknown" for a licence paragraph of no certain family), paragraphs of every row.
 
     paragraphs: array of (line, family, probability, confirmed) of the paragraphs that
-    pass the gate and that the classifier does not take for ordinary text, by the
-    first line, which counts from 0. Texts of any length are read whole. A null or empty text has none. Repeated rows repeat, further
-    columns play no part, and an empty table gives an empty result.
+    the classifier does not take for ordinary text, a row for each of their families, by the
+    first line, which counts from 0. Of windows, or families, of equal probability the last by
+    name counts. Texts of any length are read whole. A null or empty text has none.
+    Rows with a null doc_id and repeated rows come out each for itself, further columns play no
+    part, whatever their names, and an empty table gives an empty result.
     """
     model = train(docs) if model is None else model
     text = F.coalesce("text", F.lit(""))
-    closed = lambda x, after: x.rlike(r"[.!?:;]\s*$") | after.isNull() | ~after.rlike(r"\S")
-    windows = lambda all_lines: F.transform(all_lines, lambda x, i: F.struct(i.alias("line"), F.when(closed(x, F.get(all_lines, i + 1)), x).otherwise(F.concat_ws(" ", x, F.get(all_lines, i + 1))).alias("t")))
-    lines = F.filter(let(F.split(text, "\n"), windows), lambda s: s["t"].rlike(gate()))
-    each = lambda s: let(classify(s["t"], model), lambda r: F.struct(s["line"].alias("line"), r["family"].alias("family"), r["probability"].alias("probability"), r["confirmed"].alias("confirmed")))
+    scored = lambda line: let(classify(line, model), lambda r: F.struct(r["probability"].alias("probability"), r["family"].alias("family"), r["confirmed"].alias("confirmed")))
+    sentence = lambda ws: _best(F.transform(F.filter(ws, lambda w: w.rlike(gate())), scored))
+    results = lambda p: let(F.array_compact(F.transform(windows(p["t"]), sentence)), _told)
+    rows = lambda p: F.transform(results(p), lambda r: F.struct(p["line"].alias("line"), r["family"].alias("family"), r["probability"].alias("probability"), r["confirmed"].alias("confirmed")))
+    passed = F.filter(paragraphs(text), lambda p: p["t"].rlike(gate()))
     kind = "array<struct<line:int,family:string,probability:double,confirmed:boolean>>"
-    found = F.when(text.rlike(gate()), F.filter(F.transform(lines, each), lambda r: r["family"] != "none")).otherwise(F.array().cast(kind))
-    rows = docs.select(F.col("doc_id").cast("long"), found.alias("paragraphs"))
-    return rows.select("doc_id", F.array_sort(F.array_distinct(F.transform("paragraphs", lambda r: r["family"]))).alias("families"), "paragraphs")
+    found = F.when(text.rlike(gate()), F.flatten(F.transform(passed, rows))).otherwise(F.array().cast(kind))
+    told = docs.select(F.col("doc_id").cast("long"), found.cast(kind).alias("paragraphs"))
+    return told.select("doc_id", F.array_sort(F.array_distinct(F.transform("paragraphs", lambda r: r["family"]))).alias("families"), "paragraphs")

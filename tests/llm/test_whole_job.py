@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,11 +56,24 @@ def test_near_copies_are_all_found(spark, monkeypatch):
     hot = nearcopies._apart
     for bound, least_hot in ((0, 64), (100_000, 64), (0, 1)):  # neither the order of the shingles nor how hot keys are split changes anything
         monkeypatch.setattr(nearcopies, "FREQUENT", bound)
-        monkeypatch.setattr(nearcopies, "_apart", lambda members, _: hot(members, least_hot))
+        monkeypatch.setattr(nearcopies, "_apart", lambda members, sets, _: hot(members, sets, least_hot))
         got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()}
         assert got == {d: least[p] for (d, _), p in zip(rows, part)}
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_keys_of_several_nodes_over_batches(size):
+    rng = random.Random(size)
+    rows = sorted({(rng.randrange(40) ** 2 // 60, rng.randrange(1000)) for _ in range(300)})
+    batches = [rows[i : i + size] for i in range(0, len(rows), size)]
+    columns = lambda part: [pa.array(c, pa.int64()) for c in (*zip(*part), [n * 2 for _, n in part])]
+    got = [tuple(r.values()) for b in nearcopies._met(pa.RecordBatch.from_arrays(columns(p), ["key", "node", "nat"]) for p in batches) for r in b.to_pylist()]
+    by = {}
+    for k, n in rows:
+        by.setdefault(k, []).append(n)
+    assert sorted(got) == sorted((k, n, 2 * n, ns[0], 2 * ns[0]) for k, ns in by.items() if len(ns) > 1 for n in ns)
+
+
 def test_near_copies_without_doc_id_and_repeated_rows(spark):
     rng = random.Random(8)
     base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
@@ -165,27 +179,73 @@ def test_overlaps_are_settled_by_score(spark):
 
 
 def plain_families(text, model):
-    """The licence scan in plain Python: paragraphs, gate, regression and template comparison."""
+    """The licence scan in plain Python: paragraphs, sentences, windows, gate, regression and template comparison."""
     import regex
 
-    rule, out, lines = regex.compile(licenses.gate()), [], (text or "").split("\n")
+    rule, out = regex.compile(licenses.gate()), []
     names, shortest = model["classes"], licenses.shortest_of()
-    for i, line in enumerate(lines):
-        after = lines[i + 1] if i + 1 < len(lines) else None
-        if not re.search(r"[.!?:;]\s*$", line) and after is not None and re.search(r"\S", after):
-            line = f"{line} {after}"
-        if not rule.search(line):
-            continue
-        found = licenses.grams(licenses.tokens(line))
-        z = (licenses._vector(line) @ np.vectorize(lambda v: float(f"{v:.5g}"))(model["w"]) + model["b"]) / model["temperature"]
+    rounded = np.vectorize(lambda v: float(f"{v:.5g}"))(model["w"])
+
+    def scored(window):
+        found = licenses.grams(licenses.tokens(window))
+        z = (licenses._vector(window) @ rounded + model["b"]) / model["temperature"]
         c, p = int(z.argmax()), 1 / np.exp(z - z.max()).sum()
         own = {g for t in licenses.TEMPLATES.get(names[c], []) for g in licenses.grams(t.split()) if " " in g}
         share = len(own & set(found)) / min(max(len(found) // 2, 1), shortest[c])
-        if c:
-            out.append((i, "unknown" if c == len(names) - 1 or p < model["threshold"] or share < licenses.CONFIRMED else names[c]))
+        return round(p, 6), "none" if c == 0 else "unknown" if c == len(names) - 1 or p < model["threshold"] or share < licenses.CONFIRMED else names[c]
+
+    lines = (text or "").split("\n")
+    blank = [-1, *[i for i, x in enumerate(lines) if not re.search(r"[^\x20\x09-\x0D]", x)], len(lines)]
+    for a, b in zip(blank, blank[1:]):
+        paragraph = " ".join(lines[a + 1 : b])
+        if b - a < 2 or not rule.search(paragraph):
+            continue
+        told = []
+        for sentence in re.split(licenses.ENDS, paragraph):
+            w = re.split(licenses.SPACE, sentence)
+            cut = [sentence] if len(w) <= licenses.WIDTH else [" ".join(w[k : k + licenses.WIDTH]) for k in range(0, max(len(w) - licenses.STEP, 1), licenses.STEP)]
+            results = [r for x in cut if rule.search(x) if (r := scored(x))[1] != "none"]
+            if results:
+                told.append(max([r for r in results if r[1] != "unknown"] or results))
+        families = {f for _, f in told}
+        out += [(a + 1, f) for f in sorted(families - {"unknown"} or families)]
     return out
 
 
+STATEMENTS = [
+    ("This text is released under the MIT License.", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+    ("This text is licensed under CC BY-SA 4.0.", "cc-by-sa"), ("It is distributed under the terms of the GNU AGPL.", "agpl"), ("Licensed under the BSD 3-Clause License.", "bsd"),
+]
+
+
+@pytest.mark.parametrize("around", [60, 200, 1000])
+def test_statements_inside_prose(spark, around):
+    """Set into one-line prose of the corpus, with so many characters on either side: found, and no other family."""
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = licenses.train(base)
+    rule = re.compile(r"(?i)licen|copyright|gnu|gpl|cc[ -]?by|rights|apache|\bmit\b|public|free")
+    prose = [" ".join(r.text.split()) for r in base.orderBy("doc_id").collect() if r.text and len(r.text) > 2500 and not rule.search(r.text)][:48]
+    rows = []
+    for k, text in enumerate(prose):
+        statement, family = STATEMENTS[k % len(STATEMENTS)]
+        a, b = text[:around], text[around : 2 * around]
+        rows.append((k, f"{a} {statement} {b}" if k % 2 else f"{a}. {statement} {b}", family))
+    got = {r.doc_id: r.families for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()}
+    assert sum(family in got[k] for k, _, family in rows) >= 0.95 * len(rows)
+    assert sum(bool(set(got[k]) - {family}) for k, _, family in rows) <= 0.05 * len(rows)
+    clean = spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")
+    assert not any(r.families for r in licenses.scan(clean, model).collect())
+
+
+def test_statements_over_several_lines(spark):
+    said = {1: ("Licensed\nunder the\nApache License,\nVersion 2.0", ["apache"]), 2: ("prose here\n\nThis work is licensed under the\nGNU General Public\nLicense, version 3.\n\nmore", ["gpl"]), 3: ("Released under the MIT License.\n\nLicensed under CC BY 4.0.", ["cc-by", "mit"]), 4: (" \n\t\n", [])}
+    rows = spark.createDataFrame([(d, t) for d, (t, _) in said.items()], "doc_id long, text string")
+    model = licenses.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    got = {r.doc_id: r for r in licenses.scan(rows, model).collect()}
+    assert {d: r.families for d, r in got.items()} == {d: f for d, (_, f) in said.items()}
+    assert [p.line for p in got[2].paragraphs] == [2] and [p.line for p in got[3].paragraphs] == [0, 2]
+
+
 PLANTED = {
     "apache": ["Licensed under the Apache License, Version 2.0 (the License);", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
     "mit": ["This project is released under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files"],
