@@ -44,21 +44,6 @@ def normalised(e: Column, mean: list[float], sd: list[float]) -> Column:
     return F.transform(e, lambda x, i: (x - F.get(means, i % len(mean))) / F.get(sds, i % len(sd)))
 
 
-def attention_rollout(layers: np.ndarray) -> np.ndarray:
-    """layers (depth, tokens, tokens) of head means: what the first token draws from the square grid of the others, from 0 to 1."""
-    tokens = layers.shape[1]
-    side = int(round((tokens - 1) ** 0.5))
-    if side * side != tokens - 1:
-        raise ValueError("tokens beside the first are no square grid")
-    out = np.eye(tokens)
-    for layer in layers:
-        mixed = layer + np.eye(tokens)
-        out = (mixed / mixed.sum(1, keepdims=True)) @ out
-    grid = out[0, 1:].reshape(side, side)
-    spread = grid.max() - grid.min()
-    return (grid - grid.min()) / spread if spread > 0 else np.zeros_like(grid)
-
-
 def applied(rows: DataFrame, vector: str, key: str, f: Callable[[np.ndarray], np.ndarray], rows_at_once: int = 256) -> DataFrame:
     """key, out (array of doubles): f of blocks of at most so many vectors, so that no more are held at once."""
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids
-from lodestone.operators import images, pairs
+from lodestone.operators import attention, images, pairs
 from lodestone.plans.catalogue import _no_zero, query, table
-from lodestone.sources import cache
+from lodestone.sources import cache, nested
 from lodestone.storage import shared_dir
 
 SIDE = 8
@@ -131,3 +131,38 @@ def tensor_cache(spark, d):
     broken = cache.violations(wanted, folder).select("cache_key", F.lit(False).alias("sound"))
     met = wanted.select("vec_id", "cache_key").join(filled.select("cache_key", "bytes"), "cache_key").join(broken, "cache_key", "left")
     return met.select("vec_id", "cache_key", "bytes", F.coalesce("sound", F.lit(True)).alias("sound"))
+
+
+_CELLS = "l AS (SELECT vec_id, (i // 25)::INT AS layer, (i % 25 // 5)::INT AS r, (i % 5)::INT AS c, exp(v) AS v FROM e WHERE i < 50), w AS (SELECT vec_id, layer, r, c, v / sum(v) OVER (PARTITION BY vec_id, layer, r) AS v FROM l)"
+
+
+@query(f"""WITH {_PX}, {_CELLS}, a AS (SELECT vec_id, layer, r, c, (v + (r = c)::INT) / 2 AS v FROM w),
+ j AS (SELECT y.vec_id, x.c, sum(y.v * x.v) AS v FROM a y JOIN a x ON x.vec_id = y.vec_id AND y.layer = 1 AND x.layer = 0 AND y.c = x.r WHERE y.r = 0 AND x.c > 0 GROUP BY 1, 2),
+ g AS (SELECT vec_id, (c - 1) // 2 AS y, (c - 1) % 2 AS x, v FROM j), t AS (SELECT o, greatest(least((o + 0.5) / 2 - 0.5, 1), 0) AS at FROM range(4) o(o)),
+ h AS (SELECT vec_id, b.o AS y, a.o AS x, sum(v * (CASE WHEN g.y = 1 THEN b.at ELSE 1 - b.at END) * (CASE WHEN g.x = 1 THEN a.at ELSE 1 - a.at END)) AS v FROM g, t a, t b GROUP BY 1, 2, 3),
+ n AS (SELECT *, min(v) OVER (PARTITION BY vec_id) AS low, max(v) OVER (PARTITION BY vec_id) AS high FROM h)
+ SELECT vec_id, round(sum((v - low) / (high - low) * ((y * 4 + x) * 7 % 13)), 6) + 0.0 AS mass FROM n GROUP BY 1""")
+def attention_maps(spark, d):
+    """Two layers of five tokens from each representation, rolled out and stretched to 4 x 4."""
+    raw = F.transform(F.slice("embedding", 1, 50), lambda v: F.exp(v.cast("double")))
+    row = lambda i: F.aggregate(F.slice("raw", F.floor(i / 5).cast("int") * 5 + 1, 5), F.lit(0.0), lambda a, v: a + v)
+    rows = table(spark, d, "embeddings").select("vec_id", raw.alias("raw"))
+    layers = images.from_vector(F.transform("raw", lambda v, i: v / row(i)), 2, 5, 5)
+    rolled = rows.select("vec_id", layers.alias("layers")).select("vec_id", attention.rollout(F.col("layers"), 4, 4).alias("map"))
+    return rolled.select("vec_id", _mass(F.col("map"), 0, 4).alias("mass"))
+
+
+_METRICS = "SELECT l_suppkey, l_returnflag AS family, CASE WHEN l_linenumber <= 2 THEN 'mild' ELSE 'severe' END AS severity, count(*) AS n, round(avg(l_extendedprice), 2) AS mean_price, count(*) FILTER (WHERE l_discount < 0.05) AS low, count(*) FILTER (WHERE l_discount >= 0.05) AS high FROM lineitem GROUP BY ALL"
+
+
+@query(f"""SELECT l_suppkey, family, severity, '[' || low || ',' || high || ']' AS bins, mean_price, n FROM ({_METRICS})""")
+def nested_metrics(spark, d):
+    """Metrics of conditions as one nested document a supplier, and flattened to a wide table again."""
+    severity = F.when(F.col("l_linenumber") <= 2, "mild").otherwise("severe")
+    low = F.col("l_discount") < 0.05
+    each = table(spark, d, "lineitem").groupBy("l_suppkey", F.concat_ws(":", "l_returnflag", severity).alias("condition")).agg(
+        F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 2).alias("mean_price"), F.array(F.count_if(low), F.count_if(~low)).alias("bins"),
+    )
+    entry = F.struct(F.col("condition").alias("key"), F.struct("n", "mean_price", "bins").alias("value"))
+    documents = each.groupBy("l_suppkey").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("conditions"))).alias("document"))  # six conditions each
+    return nested.wide(nested.entries(documents, "document", "conditions", "l_suppkey"), "l_suppkey")

@@ -61,10 +61,6 @@ def test_tensors(spark):
     assert got[0].g == pytest.approx([min(1.0, a * (1 + 2 * b)) for a, b in zip(x, y)])
     out = rows.where("k = 1").select(tensors.resized(F.col("x"), 8).alias("r"), tensors.resized(F.col("x"), 4).alias("s"), tensors.normalised(F.col("x"), [0.5, 0.0], [0.5, 1.0]).alias("n")).first()
     assert out.s == pytest.approx(x) and out.r == pytest.approx(np.interp((np.arange(8) + 0.5) / 2 - 0.5, range(4), x).tolist()) and out.n == pytest.approx([-0.8, 0.9, -0.2, 0.2])
-    grid = tensors.attention_rollout(np.random.default_rng(0).random((3, 5, 5)))
-    assert grid.shape == (2, 2) and grid.min() == 0 and grid.max() == 1
-    with pytest.raises(ValueError):
-        tensors.attention_rollout(np.zeros((1, 4, 4)))
     sums = tensors.applied(spark.range(10).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v")), "v", "id", lambda m: m.sum(1, keepdims=True), 3)
     assert {r.id: r.out for r in sums.collect()} == {i: [i + 1.0] for i in range(10)}
 
