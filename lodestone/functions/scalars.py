@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(logits: Column) -> Column:
     """exp(x - max) over their sum; the maximum and the sum are computed once for each row."""
     shifted = F.transform(F.array(F.array_max(logits)), lambda m: F.transform(logits, lambda x: F.exp(x - m)))[0]
@@ -37,10 +44,12 @@ def kl_divergence(p: Column, q: Column) -> Column:
 
 
 def js_divergence(p: Column, q: Column) -> Column:
-    """Jensen-Shannon divergence, held within 0 and ln 2."""
+    """Jensen-Shannon divergence, held within 0 and ln 2; a value further than 1e-5 outside (from what are no probabilities) is an error."""
     side = lambda x, m: F.when(x > 0, x * (_log(x) - _log(m))).otherwise(0.0)
     both = total(F.zip_with(p, q, lambda a, b: side(a, (a + b) / 2) + side(b, (a + b) / 2))) / 2
-    return F.least(F.greatest(both, F.lit(0.0)), F.ln(F.lit(2.0)))
+    top = F.ln(F.lit(2.0))
+    outside = lambda v: F.raise_error(F.concat(F.lit("divergence outside its bounds: "), v.cast("string"))).cast("double")
+    return once(both, lambda v: F.when((v < -1e-5) | (v > top + 1e-5), outside(v)).otherwise(F.least(F.greatest(v, F.lit(0.0)), top)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,9 +57,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Null where a norm is zero."""
+    """Null for a null vector; vectors of different lengths, or without a norm, are an error."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms)
+    undefined = F.raise_error(F.lit("cosine of a zero vector or of different lengths")).cast("double")
+    found = once(norms, lambda n: F.when((n > 0) & (F.size(a) == F.size(b)), dot(a, b) / n).otherwise(undefined))
+    return F.when(a.isNotNull() & b.isNotNull(), found)
 
 
 def argmax(p: Column) -> Column:

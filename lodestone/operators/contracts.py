@@ -23,6 +23,40 @@ def key_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return met.select(key, F.when(F.col("_l").isNull(), "right").otherwise("left").alias("side"))
 
 
+def _or_error(sound: Column, message: str, *keys: str) -> Column:
+    """A filter that keeps sound rows and is an error, naming the key, at others."""
+    told = F.concat_ws(" ", F.lit(message), *[F.col(k).cast("string") for k in keys])
+    return F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))
+
+
+def matched(left: DataFrame, right: DataFrame, *keys: str, same: tuple[str, ...] = ()) -> DataFrame:
+    """keys, columns of left, and columns of right but `same`: rows of two tables that must have the same keys, each once, and equal `same` columns.
+
+    A key of one side only, a repeated one, and a difference are errors that name the key when rows are read; none is dropped.
+    """
+    once = Window.partitionBy(*keys)
+    one = left.withColumn("_l", F.count("*").over(once))
+    two = right.withColumn("_r", F.count("*").over(once)).withColumnsRenamed({c: f"_same_{c}" for c in same})
+    met = one.join(two, list(keys), "full")
+    sound = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in same], (F.col("_l") == 1) & (F.col("_r") == 1))
+    return met.where(_or_error(sound, "unmatched key", *keys)).drop("_l", "_r", *[f"_same_{c}" for c in same])
+
+
+def two_sided(rows: DataFrame, level: str, low: str, high: str, value: str, *keys: str, same: tuple[str, ...] = ()) -> DataFrame:
+    """keys, same, effect: value at the high level less that at the low one; rows of other levels play no part.
+
+    A key with one of the two levels only, with one of them twice, or whose `same` columns differ, is an error that names it.
+    """
+    at = lambda s, f: f(F.when(F.col(level) == s, F.col(value)))
+    here = lambda s: F.count_if(F.col(level) == s)
+    each = rows.where(F.col(level).isin(low, high)).groupBy(*keys).agg(
+        here(low).alias("_n"), here(high).alias("_m"), (at(high, F.max) - at(low, F.max)).alias("effect"),
+        *[f(c).alias(f"_{k}_{c}") for c in same for k, f in (("a", F.min), ("b", F.max))],
+    )
+    sound = reduce(lambda a, b: a & b, [F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")) for c in same], (F.col("_n") == 1) & (F.col("_m") == 1))
+    return each.where(_or_error(sound, f"no pair of {low} and {high} for", *keys)).select(*keys, *[F.col(f"_a_{c}").alias(c) for c in same], "effect")
+
+
 def missing(needed: DataFrame, found: DataFrame, *key: str, k: int | None = None) -> DataFrame:
     """Keys of needed that found lacks; with k the first k of them as a report's examples."""
     gone = needed.select(*key).distinct().join(found.select(*key), list(key), "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import ids
 from lodestone.functions import scalars as S
-from lodestone.operators import grouping, inference, metrics, pairs, reports
+from lodestone.operators import contracts, grouping, inference, metrics, pairs, reports
 from lodestone.operators.ordering import quantiles
 from lodestone.sources import files, synthetic
 from lodestone.storage import materialize
@@ -314,13 +314,12 @@ def master_summary(spark, d):
 
 @query(f"""WITH {_pairs_sql()}, w AS (SELECT vec_id, family, max(js) FILTER (WHERE severity = 'mild') AS mild, max(js) FILTER (WHERE severity = 'severe') AS severe FROM pm GROUP BY 1, 2) SELECT vec_id, family, round(severe - mild, 6) + 0.0 AS effect FROM w""")
 def severity_diff(spark, d):
-    at = lambda s: F.max(F.when(F.col("severity") == s, F.col("js")))
-    return _metrics(spark, d).groupBy("vec_id", "family").agg(_no_zero(at("severe") - at("mild")).alias("effect"))
+    found = contracts.two_sided(_metrics(spark, d), "severity", "mild", "severe", "js", "vec_id", "family", same=("label",))
+    return found.select("vec_id", "family", _no_zero(F.col("effect")).alias("effect"))
 
 
 def _effects(spark, d, temperature: float) -> DataFrame:
-    at = lambda s: F.max(F.when(F.col("severity") == s, F.col("js")))
-    return _metrics(spark, d, temperature).groupBy("vec_id", "label", "family").agg((at("severe") - at("mild")).alias("effect"))
+    return contracts.two_sided(_metrics(spark, d, temperature), "severity", "mild", "severe", "js", "vec_id", "family", same=("label",))
 
 
 _EFFECT = "SELECT vec_id, label, family, max(js) FILTER (WHERE severity = 'severe') - max(js) FILTER (WHERE severity = 'mild') AS effect FROM pm GROUP BY 1, 2, 3"
@@ -328,7 +327,7 @@ _EFFECT = "SELECT vec_id, label, family, max(js) FILTER (WHERE severity = 'sever
 
 @query(f"WITH a AS (WITH {_pairs_sql(10)} {_EFFECT}), b AS (WITH {_pairs_sql(5)} {_EFFECT}), g AS (SELECT family, label, avg(a.effect - b.effect) AS e FROM a JOIN b USING (vec_id, label, family) GROUP BY 1, 2) SELECT family, count(*) AS groups, round(avg(e), 6) + 0.0 AS effect FROM g GROUP BY 1")
 def cross_model_did(spark, d):
-    met = _effects(spark, d, 10.0).join(_effects(spark, d, 5.0).withColumnRenamed("effect", "other"), ["vec_id", "label", "family"])
+    met = contracts.matched(_effects(spark, d, 10.0), _effects(spark, d, 5.0).withColumnRenamed("effect", "other"), "vec_id", "family", same=("label",))
     groups = met.groupBy("family", "label").agg(F.avg(F.col("effect") - F.col("other")).alias("e"))
     return groups.groupBy("family").agg(F.count("*").alias("groups"), _no_zero(F.avg("e")).alias("effect"))
 

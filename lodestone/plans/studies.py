@@ -204,7 +204,7 @@ def key_set_difference(spark, d):
 def representation_alignment(spark, d):
     rows = pairs.samples(spark, d)
     left, right = rows.select("vec_id", F.slice("e", 1, 8).alias("a")), rows.select("vec_id", F.slice("e", 9, 8).alias("b"))
-    return left.join(right, "vec_id").select("vec_id", _no_zero(S.dot(F.col("a"), F.col("b"))).alias("product"))
+    return contracts.matched(left, right, "vec_id").select("vec_id", _no_zero(S.dot(F.col("a"), F.col("b"))).alias("product"))
 
 
 @query("SELECT a.r_name AS first, b.r_name AS second FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
-from lodestone.operators import grouping, inference, metrics, ordering, reports
+from lodestone.operators import contracts, grouping, inference, metrics, ordering, reports
 from lodestone.operators.components import connected_components
 
 
@@ -18,7 +18,11 @@ def test_divergence(spark):
     assert one(spark, S.js_divergence(F.col("p"), F.col("q")), p=[1, 0], q=[1, 0]) == 0
     assert 0 < one(spark, S.js_divergence(F.col("p"), F.col("q")), p=[0.5, 0.5], q=[0, 1]) <= math.log(2)
     assert one(spark, S.entropy(F.col("p")), p=[1, 0]) == 0
-    assert one(spark, S.cosine(F.col("p"), F.col("q")), p=[0, 0], q=[1, 0]) is None
+    for p, q in (([0, 0], [1, 0]), ([1, 0], [1, 0, 0])):  # undefined, so refused
+        with pytest.raises(Exception, match="zero vector"):
+            one(spark, S.cosine(F.col("p"), F.col("q")), p=p, q=q)
+    with pytest.raises(Exception, match="outside its bounds"):
+        one(spark, S.js_divergence(F.col("p"), F.col("q")), p=[2, 0], q=[0, 2])
     assert one(spark, S.argmax(F.col("p")), p=[0.4, 0.4, 0.2]) == 0
     assert one(spark, S.valid_probabilities(F.col("p")), p=[0.5, 0.6]) is False
 
@@ -149,3 +153,22 @@ def test_bootstraps_of_one_answer(spark):
     assert tuple(inference.two_level_bootstrap(rows, "s", "g", "score").first()) == (0.5, 0.5, 0.5)
     assert tuple(inference.clustered_ap(rows.limit(0), "g", "y", "score").first()) == (None, None, None, 0, False)
     assert tuple(inference.two_level_bootstrap(rows.limit(0), "s", "g", "score").first()) == (None, None, None)
+
+
+def test_matched_tables_drop_nothing(spark):
+    frame = lambda rows, c: spark.createDataFrame(rows, f"k int, g string, {c} double")
+    good = frame([(1, "x", 1.0), (2, "y", 2.0)], "a")
+    assert sorted(map(tuple, contracts.matched(good, frame([(2, "y", 5.0), (1, "x", 4.0)], "b"), "k", same=("g",)).collect())) == [(1, "x", 1.0, 4.0), (2, "y", 2.0, 5.0)]
+    for bad in ([(1, "x", 1.0)], [(1, "x", 1.0), (2, "y", 1.0), (3, "z", 1.0)], [(1, "x", 1.0), (2, "z", 1.0)], [(1, "x", 1.0), (2, "y", 1.0), (2, "y", 1.0)]):
+        with pytest.raises(Exception, match="unmatched key"):
+            contracts.matched(good, frame(bad, "b"), "k", same=("g",)).collect()
+
+
+def test_effects_need_both_sides(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "source int, grp string, severity string, v double")
+    whole = [(1, "x", "mild", 1.0), (1, "x", "severe", 4.0), (1, "x", "sham", 9.0), (2, "y", "mild", None), (2, "y", "severe", 1.0)]
+    found = lambda rows: contracts.two_sided(frame(rows), "severity", "mild", "severe", "v", "source", same=("grp",)).collect()
+    assert sorted(map(tuple, found(whole))) == [(1, "x", 3.0), (2, "y", None)]
+    for bad in (whole[1:], [*whole, (2, "y", "mild", 2.0)], [*whole[:1], (1, "z", "severe", 4.0)]):
+        with pytest.raises(Exception, match="no pair of mild and severe for"):
+            found(bad)
