@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.inference import draws
+from lodestone.operators.inference import drawn_states, draws
 from lodestone.operators.ordering import before, numbered
 from lodestone.storage import materialize
 
@@ -93,7 +93,7 @@ def clustered_delta(rows: DataFrame, group: str, target: str, first: str, second
         levels = each if levels is None else levels.unionByName(each)
     groups = materialize(numbered(rows.select(F.col(group).alias("_group")).distinct(), "_group"), "groups")
     weights = draws(groups, replicates, seed).unionByName(groups.select(F.lit(-1).alias("replicate"), "number", F.lit(1).cast("long").alias("weight")))
-    met = levels.join(groups, "_group").join(weights, "number").groupBy("replicate", "which", "s").agg(F.sum(F.col("weight") * F.col("pos")).alias("pos"), F.sum(F.col("weight") * F.col("cnt")).alias("cnt"))
+    met = drawn_states(levels.join(groups, "_group").drop("_group"), weights, "number").groupBy("replicate", "which", "s").agg(F.sum(F.col("weight") * F.col("pos")).alias("pos"), F.sum(F.col("weight") * F.col("cnt")).alias("cnt"))
     areas = ranked_areas(met, "replicate", "which")
     value = lambda k: F.max(F.when(F.col("which") == k, F.col(metric)))
     delta = areas.groupBy("replicate").agg((value(1) - value(0)).alias("d"))

@@ -1,10 +1,12 @@
 """Resampling, paired tests and corrections for many tests."""
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -22,12 +24,75 @@ def paired(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame
     return met.select(key, F.when(bad, F.raise_error(F.concat(F.lit("unpaired key "), F.col(key).cast("string"))).cast("double")).otherwise(F.col("a")).alias("a"), "b")
 
 
+COUNTED = 1 << 22  # numbers up to which a task counts a lot by itself, in two arrays of that length
+BROADCAST = 1_000_000  # rows of states up to which they are sent to all tasks
+
+
+def _counts(lots: DataFrame, keys: list[str]) -> DataFrame:
+    """As drawn, each lot counted in its task and passed on in slices."""
+    low = [b"%03d" % i for i in range(1000)]
+
+    def numbers(prefix: bytes, n: int) -> np.ndarray:
+        found = np.empty(n, np.int64)
+        for at in range(0, n, 1000):  # slots that share all but three digits
+            start = hashlib.sha256(prefix + (b"%d" % (at // 1000) if at else b""))
+            digests = []
+            for i in range(min(1000, n - at)):
+                h = start.copy()
+                h.update(low[i] if at else b"%d" % i)
+                digests.append(h.digest())
+            words = np.frombuffer(b"".join(digests), ">u8")[::4].astype(np.uint64)
+            found[at : at + len(words)] = words % np.uint64(n)
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                weight = np.bincount(numbers(row["_prefix"].encode(), row["_n"]))
+                number = np.flatnonzero(weight)
+                for at in range(0, len(number), 1 << 16):
+                    part = number[at : at + (1 << 16)]
+                    own = [pa.array(np.full(len(part), row[k], kinds[k])) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(part), pa.array(weight[part])], [*keys, "number", "weight"])
+
+    kinds = {k: {"int": np.int32, "bigint": np.int64}[kind] for k, kind in lots.dtypes if k in keys}
+    told = ", ".join(f"{k} {kind}" for k, kind in lots.dtypes if k in keys)
+    return lots.select(*keys, "_prefix", "_n").mapInArrow(run, f"{told}, number long, weight long")
+
+
+def drawn(lots: DataFrame, *keys: str, most: int, counted: int = COUNTED) -> DataFrame:
+    """keys (whole numbers), number, weight of lots (keys, _prefix, _n): how often the hashes of _prefix and the slots below _n pick each number below _n.
+
+    A lot of up to `counted` slots (most: the largest) is counted in one task, so draws
+    are neither shuffled nor held as rows; larger ones are drawn as rows and counted by partial aggregates.
+    """
+    if most <= counted:
+        return _counts(lots, list(keys))
+    block = 1 << 20
+    blocks = lots.withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((_n - 1) DIV {block} AS INT)")))).repartition(max(200, most // block))
+    first = F.col("_block").cast("long") * block
+    slots = blocks.select(*keys, "_prefix", "_n", F.explode(F.sequence(first, F.least(first + block, F.col("_n")) - 1)).alias("_slot"))
+    number = ids.choice(F.sha2(F.concat("_prefix", F.col("_slot").cast("string")), 256), F.col("_n"))
+    return slots.select(*keys, number.alias("number")).groupBy(*keys, "number").agg(F.count("*").alias("weight"))
+
+
 def draws(groups: DataFrame, replicates: int, seed: int) -> DataFrame:
     """replicate, number, weight: how often the hash draws each of the groups numbered from 0, as many draws as groups."""
-    n = groups.count()
-    slots = groups.sparkSession.range(n).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = slots.withColumn("number", ids.choice(ids.digest(str(seed), F.col("replicate"), F.col("slot")), max(n, 1)))
-    return drawn.groupBy("replicate", "number").agg(F.count("*").alias("weight"))
+    spark, n = groups.sparkSession, groups.count()
+    tasks = max(spark.sparkContext.defaultParallelism, min(replicates, n * replicates >> 20))
+    prefix = F.concat_ws("\0", F.lit(str(seed)), "id", F.lit(""))
+    lots = spark.range(0, replicates if n else 0, 1, tasks).select(F.col("id").cast("int").alias("replicate"), prefix.alias("_prefix"), F.lit(n).cast("long").alias("_n"))
+    return drawn(lots, "replicate", most=n)
+
+
+def drawn_states(states: DataFrame, weights: DataFrame, key: str) -> DataFrame:
+    """states and weights joined by key.
+
+    The planner takes weights for a small table, as they come from a range, and would send all of
+    them to the driver: so states are sent to the tasks, or both are sorted if they are many.
+    """
+    states = materialize(states, "states")
+    return weights.join(F.broadcast(states) if states.count() <= BROADCAST else states.hint("merge"), key)
 
 
 Statistic = Callable[[DataFrame, tuple[str, ...]], DataFrame]
@@ -42,7 +107,7 @@ def resampled(rows: DataFrame, group: str, states: dict[str, Column], *levels: s
     sums = rows.groupBy(*by, *levels, F.col(group).alias("_group")).agg(*[c.alias(k) for k, c in states.items()])
     groups = materialize(numbered(sums.select("_group").distinct(), "_group"), "groups")
     weights = draws(groups, replicates, seed).unionByName(groups.select(F.lit(-1).alias("replicate"), "number", F.lit(1).cast("long").alias("weight")))
-    met = sums.join(groups, "_group").join(weights, "number")
+    met = drawn_states(sums.join(groups, "_group").drop("_group"), weights, "number")
     return met.groupBy(*by, "replicate", *levels).agg(*[F.sum(F.col("weight") * F.col(k)).alias(k) for k in states])
 
 
@@ -99,11 +164,11 @@ def cluster_bootstrap(rows: DataFrame, group: str, value: str, *by: str, replica
     A replicate's mean is a ratio of weighted sums over groups, so replicates meet
     one row for each group and cell and never the rows.
     """
-    sums = rows.groupBy(*by, F.col(group).alias("_group")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    sums = materialize(rows.groupBy(*by, F.col(group).alias("_group")).agg(F.sum(value).alias("s"), F.count(value).alias("n")), "sums")
     names = sums.select("_group").distinct()
-    ordered = sums.join(numbered(names, "_group"), "_group")
+    ordered = sums.join(numbered(names, "_group"), "_group").drop("_group")
     mean = lambda w: F.try_divide(F.sum(w * F.col("s")), F.sum(w * F.col("n")))
-    means = draws(names, replicates, seed).join(ordered, "number").groupBy(*by, "replicate").agg(mean(F.col("weight")).alias("m"))
+    means = drawn_states(ordered, draws(names, replicates, seed), "number").groupBy(*by, "replicate").agg(mean(F.col("weight")).alias("m"))
     low = (1 - confidence) / 2
     ends = means.groupBy(*by).agg(F.percentile("m", F.array(F.lit(low), F.lit(1 - low))).alias("q"))
     whole = sums.groupBy(*by).agg(mean(F.lit(1)).alias("estimate"), F.count("*").alias("groups"))
@@ -134,7 +199,7 @@ def clustered_ap(rows: DataFrame, group: str, target: str, score: str, replicate
     levels = rows.groupBy(F.col(group).alias("_group"), F.col(score).alias("s")).agg(F.sum(F.col(target).cast("long")).alias("pos"), F.count("*").alias("cnt"))
     groups = materialize(numbered(levels.select("_group").distinct(), "_group"), "groups")
     weights = draws(groups, replicates, seed).unionByName(groups.select(F.lit(-1).alias("replicate"), "number", F.lit(1).cast("long").alias("weight")))
-    each = levels.join(groups, "_group").join(weights, "number").groupBy("replicate", "s").agg(F.sum(F.col("weight") * F.col("pos")).alias("pos"), F.sum(F.col("weight") * F.col("cnt")).alias("cnt"))
+    each = drawn_states(levels.join(groups, "_group").drop("_group"), weights, "number").groupBy("replicate", "s").agg(F.sum(F.col("weight") * F.col("pos")).alias("pos"), F.sum(F.col("weight") * F.col("cnt")).alias("cnt"))
     running = Window.partitionBy("replicate").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = each.select("replicate", "pos", "cnt", F.sum("pos").over(running).alias("tp"), F.sum("cnt").over(running).alias("k"))
     found = cum.groupBy("replicate").agg((F.sum(F.col("pos") * F.col("tp") / F.col("k")) / F.nullif(F.sum("pos"), F.lit(0))).alias("ap"), (F.sum("pos") < F.sum("cnt")).alias("both"))
@@ -155,13 +220,14 @@ def two_level_bootstrap(rows: DataFrame, seed_key: str, group: str, value: str,
     seeds = placed.groupBy("_seed").agg(F.count("*").alias("_m"), F.min("_at").alias("_first"), (F.sum("s") / F.sum("n")).alias("_mean"))
     seeds = materialize(seeds.withColumn("_pick", F.row_number().over(Window.orderBy("_seed")).cast("long") - 1), "seeds")
     count, most = seeds.agg(F.count("*"), F.max("_m")).first()
-    cells = rows.sparkSession.range(most or 0).select(F.col("id").alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(max(replicates * count, 1) - 1))).alias("_c"))
-    cells = cells.select("_i", F.expr(f"_c DIV {max(count, 1)}").alias("replicate"), (F.col("_c") % max(count, 1)).alias("slot"))
+    cells = rows.sparkSession.range(replicates * count).select(F.expr(f"id DIV {max(count, 1)}").alias("replicate"), (F.col("id") % max(count, 1)).alias("slot"))
     cells = cells.withColumn("_pick", ids.choice(ids.digest(str(seed), "seed", F.col("replicate"), F.col("slot")), max(count, 1)))
-    drawn = cells.join(seeds, "_pick").where("_i < _m")
-    at = F.col("_first") + ids.choice(ids.digest(str(seed), F.col("replicate"), F.col("slot"), F.col("_i")), F.col("_m"))
-    weights = drawn.select("replicate", "slot", at.alias("_at")).groupBy("replicate", "slot", "_at").agg(F.count("*").alias("w"))
-    means = weights.join(placed, "_at").groupBy("replicate", "slot").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+    prefix = F.concat_ws("\0", F.lit(str(seed)), "replicate", "slot", F.lit(""))
+    lots = cells.join(F.broadcast(seeds), "_pick").select("replicate", "slot", "_first", prefix.alias("_prefix"), F.col("_m").alias("_n"))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, min(replicates * count, replicates * count * (most or 0) >> 20))
+    weights = drawn(lots.repartition(tasks), "replicate", "slot", "_first", most=most or 0)
+    weights = weights.select("replicate", "slot", (F.col("_first") + F.col("number")).alias("_at"), F.col("weight").alias("w"))
+    means = drawn_states(placed.select("_at", "s", "n"), weights, "_at").groupBy("replicate", "slot").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
     low = (1 - confidence) / 2
     ends = means.groupBy("replicate").agg(F.avg("m").alias("m")).agg(F.percentile("m", F.array(F.lit(low), F.lit(1 - low))).alias("q"))
     return seeds.agg(F.avg("_mean").alias("estimate")).join(F.broadcast(ends)).select("estimate", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
