@@ -245,6 +245,7 @@ def benjamini_hochberg(rows: DataFrame, p: str, *by: str, q: float = 0.05) -> Da
 
 def _corrected(rows: DataFrame, p: str, by: tuple[str, ...], name: str, level: float) -> DataFrame:
     """Counted by p-value, so equal ones get one answer: under Holm the first of them has the most tests left, under BH the last the highest rank."""
+    rows = materialize(rows, "tests")  # read twice, and joined by equal p-values
     each = counts(rows, p, *by)
     tests = each.groupBy(*by).agg(F.sum("n").alias("_m"))
     met = each.alias("e").join(tests.alias("t"), same("e", "t", by)).select("e.*", "t._m")
@@ -291,7 +292,7 @@ def wilcoxon(rows: DataFrame, difference: str, *by: str) -> DataFrame:
     ranked = midranks(moved, "_abs", "_rank", *by)
     side = lambda test: F.coalesce(F.sum(F.when(test, F.col("_rank"))), F.lit(0.0))
     sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), side(F.col(difference) > 0).alias("up"), side(F.col(difference) < 0).alias("down"))
-    ties = moved.groupBy(*by, "_abs").count().groupBy(*by).agg(F.sum(F.col("count") * F.col("count") * F.col("count") - F.col("count")).alias("ties"))
+    ties = ranked.groupBy(*by, "_abs").count().groupBy(*by).agg(F.sum(F.col("count") * F.col("count") * F.col("count") - F.col("count")).alias("ties"))
     met = sums.join(ties, list(by)) if by else sums.join(F.broadcast(ties))
     n = F.col("n")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)

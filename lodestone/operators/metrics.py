@@ -130,7 +130,12 @@ def linear_cka(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def midranks(rows: DataFrame, value: str, out: str, *by: str) -> DataFrame:
-    """Rank among the rows of a group, the mean rank for equal values; from counts of each value, range by range."""
+    """Rank among the rows of a group, the mean rank for equal values; from counts of each value, range by range.
+
+    Rows are written first: they are read twice and meet by equal values, and a mean
+    that is computed again in another order can differ in its last bit.
+    """
+    rows = materialize(rows, "ranked")
     ranks = counts(rows, value, *by).select(*by, value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(out))
     return rows.alias("l").join(ranks.alias("r"), same("l", "r", by) & (F.col(f"l.`{value}`") == F.col(f"r.`{value}`"))).select("l.*", f"r.`{out}`")
 
