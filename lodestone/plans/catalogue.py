@@ -445,7 +445,8 @@ def two_level_ci(spark, d):
  SELECT o_orderpriority, n, least(up, down) AS statistic, round((up - down) / (n * (n + 1) / 2), 6) AS rank_biserial FROM s""")
 def wilcoxon_stat(spark, d):
     at = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
-    rows = table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.round(at("F") - at("O"), 2).alias("d")).where("d IS NOT NULL")
+    cents = F.round((at("F") - at("O")) * 100) / 100  # as the SQL's round: F.round(x, 2) goes by the decimal text and takes 1.005 up
+    rows = table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(cents.alias("d")).where("d IS NOT NULL")
     return inference.wilcoxon(rows, "d", "o_orderpriority").select("o_orderpriority", "n", "statistic", r6("rank_biserial", "rank_biserial"))
 
 

@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lodestone.operators import inference, metrics
+from lodestone.plans import catalogue, studies  # noqa: F401
 
 
 def test_ranks_of_values_that_differ_when_computed_again(spark):
@@ -13,3 +15,17 @@ def test_ranks_of_values_that_differ_when_computed_again(spark):
     assert metrics.midranks(rows, "v", "rank", "g").count() == 300
     assert {r.n for r in inference.wilcoxon(rows, "v", "g").collect()} == {100}
     assert inference.holm(rows.withColumn("v", again()), "v", "g").where("holm_p IS NULL").count() == 0
+
+
+def compared(spark, folder, name, **tables):
+    for t, frame in tables.items():
+        frame.coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return sorted(map(tuple, catalogue.QUERIES[name](spark, str(folder)).collect())), sorted(duckdb.sql(catalogue.ORACLE_SQL[name]).fetchall())
+
+
+def test_signed_ranks_of_half_cents(spark, tmp_path):
+    prices = [(1, "F", 1.00), (1, "F", 1.01), (1, "O", 0.0), (2, "F", 0.0), (2, "O", 1.0), (3, "F", 2.0), (3, "O", 0.5)]
+    orders = spark.createDataFrame([(k, "5-LOW", s, p) for k, s, p in prices], "o_custkey long, o_orderpriority string, o_orderstatus string, o_totalprice double")
+    got, wanted = compared(spark, tmp_path, "wilcoxon_stat", orders=orders)
+    assert got == wanted
