@@ -12,6 +12,7 @@ fingerprints that meet there enter a table under every whole key within half the
 radius: two of one key are within the radius of each other, and two within the
 radius have a key in common, so each is tied to the least of its key. Links grow
 with the fingerprints and never with the square of a group, and none is lost.
+Every table here grows with the documents, so joins sort and none is broadcast.
 Components follow by star contraction.
 """
 
@@ -78,7 +79,7 @@ def tied(prints: DataFrame, radius: int) -> DataFrame:
     masks = F.array(*[F.lit(m).cast("long") for m in ball_masks(64, radius // 2)])
     table = prints.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("entry"))
     least = table.groupBy("entry").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).where("u < most").drop("most")
-    near = table.join(least, "entry").where((F.col("u") < F.col("fp")) & (_distance("u", "fp") <= radius))
+    near = table.join(least.hint("merge"), "entry").where((F.col("u") < F.col("fp")) & (_distance("u", "fp") <= radius))
     return near.select("u", F.col("fp").alias("v"))
 
 
@@ -94,11 +95,11 @@ def links(prints: DataFrame, radius: int = 2, segments: int = SEGMENTS, hot: int
     masks = F.array(*[F.lit(m).cast("long") for m in ball_masks(width, ball)[1:]]).cast("array<bigint>")
     upward = lambda m: (F.col("value").bitwiseAND(m) == 0) | (F.bit_count(m) > 1)
     probes = own.select("fp", "segment", F.explode(F.transform(F.filter(masks, upward), lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
-    met = materialize(probes.join(held, ["segment", "value"]), "met")
+    met = materialize(probes.join(held.hint("merge"), ["segment", "value"]), "met")
     wanted = met.select("segment", "value", "n").unionByName(held.where("n > 1")).distinct()
-    owners = materialize(own.join(wanted, ["segment", "value"]), "owners")
+    owners = materialize(own.join(wanted.hint("merge"), ["segment", "value"]), "owners")
     members = met.unionByName(owners)
-    pairs = members.where(F.col("n") <= hot).join(owners.select("segment", "value", F.col("fp").alias("v")), ["segment", "value"])
+    pairs = members.where(F.col("n") <= hot).join(owners.select("segment", "value", F.col("fp").alias("v")).hint("merge"), ["segment", "value"])
     near = pairs.where((F.col("fp") != F.col("v")) & (_distance("fp", "v") <= radius)).select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v"))
     return near.unionByName(tied(members.where(F.col("n") > hot).select("fp").distinct(), radius)).distinct()
 
@@ -108,10 +109,10 @@ def labelled(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     rows = materialize(fingerprints(docs, shingle), "fingerprints")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     parts = connected_components(links(prints.select("fp"), radius)).withColumnRenamed("node", "fp")
-    grouped = prints.join(parts, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    grouped = prints.join(parts.hint("merge"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     grouped = materialize(grouped, "groups")
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    return rows.join(grouped.join(least, "component").select("fp", "component", "component_id"), "fp")
+    return rows.join(grouped.join(least.hint("merge"), "component").select("fp", "component", "component_id").hint("merge"), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
