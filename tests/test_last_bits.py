@@ -10,7 +10,7 @@ from lodestone.plans import catalogue, studies  # noqa: F401
 
 
 def test_ranks_of_values_that_differ_when_computed_again(spark):
-    again = F.udf(random.random, "double").asNondeterministic()
+    again = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
     rows = spark.range(300).select("id", (F.col("id") % 3).alias("g")).withColumn("v", again() - 0.5)
     assert metrics.midranks(rows, "v", "rank", "g").count() == 300
     assert {r.n for r in inference.wilcoxon(rows, "v", "g").collect()} == {100}
