@@ -53,6 +53,25 @@ def _grouped(keys: list) -> Iterator[tuple[object, list[int]]]:
     yield from by.items()
 
 
+AT_ONCE = 256  # tensors that a worker computes and passes on at once
+
+
+def _sliced(f: Callable[..., pa.Array], one: bool = True) -> Callable:
+    """f of one or of several columns in slices, passed on one by one: a worker holds a batch of inputs and never one of large outputs."""
+
+    def single(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at in range(0, len(batch), AT_ONCE):
+                yield f(batch.slice(at, AT_ONCE))
+
+    def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at in range(0, len(batch[0]), AT_ONCE):
+                yield f(*[c.slice(at, AT_ONCE) for c in batch])
+
+    return single if one else several
+
+
 def cubic(x: np.ndarray) -> np.ndarray:
     """Bicubic kernel."""
     x, a = np.abs(x), SHARPNESS
@@ -126,7 +145,7 @@ def intervene(source: Column, donor: Column, family: Column, strength: Column, g
     strength x strength and back, bicubic without aliasing. A donor of another
     shape, a tensor without three dimensions and another family are errors.
     """
-    return F.arrow_udf(_intervened, TENSOR)(source, donor, family, strength.cast("double"), gains)
+    return F.arrow_udf(_sliced(_intervened, False), TENSOR)(source, donor, family, strength.cast("double"), gains)
 
 
 def _resized(tensors: pa.Array, size: pa.Array) -> pa.Array:
@@ -140,17 +159,22 @@ def _resized(tensors: pa.Array, size: pa.Array) -> pa.Array:
 
 def resize(tensor: Column, size: int | Column) -> Column:
     """The tensor at size x size, bicubic without aliasing."""
-    return F.arrow_udf(_resized, TENSOR)(tensor, F.lit(size) if isinstance(size, int) else size)
+    return F.arrow_udf(_sliced(_resized, False), TENSOR)(tensor, F.lit(size) if isinstance(size, int) else size)
 
 
 def normalise(tensor: Column, mean: tuple[float, ...] = MEAN, deviation: tuple[float, ...] = DEVIATION) -> Column:
     """Each channel less its mean, by its deviation; a tensor of other channels is an error."""
+    return F.arrow_udf(_sliced(lambda tensors: _normalised(tensors, mean, deviation)), TENSOR)(tensor)
+
+
+def preprocessed(tensor: Column, size: int, mean: tuple[float, ...] = MEAN, deviation: tuple[float, ...] = DEVIATION) -> Column:
+    """normalise of resize in one pass, so that no batch of resized tensors goes from worker to worker."""
+    return F.arrow_udf(_sliced(lambda tensors: _normalised(_resized(tensors, pa.array([size] * len(tensors))), mean, deviation)), TENSOR)(tensor)
 
-    def run(tensors: pa.Array) -> pa.Array:
-        means, sds = (np.array(v)[:, None, None] for v in (mean, deviation))
-        return _tensors([None if a is None else (a - means) / sds if len(a) == len(means) else _refused(a) for a in _arrays(tensors)])
 
-    return F.arrow_udf(run, TENSOR)(tensor)
+def _normalised(tensors: pa.Array, mean: tuple[float, ...], deviation: tuple[float, ...]) -> pa.Array:
+    means, sds = (np.array(v)[:, None, None] for v in (mean, deviation))
+    return _tensors([None if a is None else (a - means) / sds if len(a) == len(means) else _refused(a) for a in _arrays(tensors)])
 
 
 def _refused(a: np.ndarray) -> np.ndarray:
@@ -246,7 +270,7 @@ def decoded(files: DataFrame, digests: DataFrame | None = None) -> DataFrame:
         told = files.join(digests.select("path", F.col("sha256").alias("_told")), "path", "left")
         wrong = F.raise_error(F.concat(F.lit("digest of "), "path")).cast("binary")
         files = told.withColumn("content", F.when(F.sha2("content", 256).eqNullSafe(F.col("_told")), F.col("content")).otherwise(wrong)).drop("_told")
-    return files.withColumn("image", F.arrow_udf(_decoded, TENSOR)("content", "path"))
+    return files.withColumn("image", F.arrow_udf(_sliced(_decoded, False), TENSOR)("content", "path"))
 
 
 def _encoded(tensors: pa.Array) -> pa.Array:

@@ -91,8 +91,7 @@ def image_resolution(spark, d):
  s AS (SELECT vec_id, c, y, x, (v - [{", ".join(map(str, images.MEAN))}][c + 1]::DOUBLE) / [{", ".join(map(str, images.DEVIATION))}][c + 1]::DOUBLE AS v FROM r)
  SELECT vec_id, c, {_MASS.format(v="v", side=28)} FROM s GROUP BY 1, 2""")
 def image_preprocessed(spark, d):
-    sized = tensors(spark, d).select("vec_id", images.resize(F.col("image"), 28).alias("image"))
-    ready = sized.select("vec_id", images.normalise(F.col("image")).alias("image"))
+    ready = tensors(spark, d).select("vec_id", images.preprocessed(F.col("image"), 28).alias("image"))
     return _by_channel(ready, "image", "vec_id", side=28)
 
 

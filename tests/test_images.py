@@ -193,3 +193,20 @@ def test_cache_violations(spark, tmp_path):
         if os.path.exists(crc):
             os.remove(crc)
     assert {(r.cache_key, r.problem) for r in cache.violations(rows, folder).collect()} == {("0", "missing"), ("1", "size"), ("2", "digest"), ("4", "uncommitted")}
+
+
+def test_workers_hold_slices_and_not_batches_of_outputs(spark, monkeypatch):
+    arrays = [None if k % 50 == 7 else RNG.random((3, 8, 8)) for k in range(600)]
+    held = []
+    steps = images._sliced(lambda t: held.append(len(t)) or images._resized(t, images.pa.array([28] * len(t))))
+    out = [a for part in steps(iter([images._tensors(arrays[:590]), images._tensors([]), images._tensors(arrays[590:])])) for a in images._arrays(part)]
+    assert max(held) <= images.AT_ONCE and len(out) == 600
+    rows = rows_of(spark, arrays).coalesce(1)
+    one = back(rows.select("i", images.normalise(images.resize(F.col("image"), 28)).alias("r")), "r")
+    two = back(rows.select("i", images.preprocessed(F.col("image"), 28).alias("r")), "r")
+    mean, deviation = (np.array(v)[:, None, None] for v in (images.MEAN, images.DEVIATION))
+    for k, a in enumerate(arrays):
+        if a is None:
+            assert out[k] is None and one[k] is None and two[k] is None
+        else:
+            assert np.allclose(out[k], images.resampled(a, 28, 28)) and np.array_equal(one[k], two[k]) and np.allclose(two[k], (out[k] - mean) / deviation)
