@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from functools import reduce
 from itertools import combinations
+from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +34,18 @@ def simhash_bits(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return sums.select(*by, reduce(lambda x, y: x.bitwiseOR(y), bit).alias("bits"))
 
 
+def word_bits(text: str | None) -> int:
+    """The 64-bit number whose bits are set in over half of the words' SHA-256 (first 8 bytes; A-Z lower-cased, split at blanks; 0 without words)."""
+    found = Counter(w for w in (text or "").encode().lower().split(b" ") if w)
+    digests = b"".join(hashlib.sha256(w).digest()[:8] for w in found)
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+    sums = np.fromiter(found.values(), np.int64, len(found)) @ bits.astype(np.int64)
+    return int.from_bytes(np.packbits(2 * sums > found.total()).tobytes(), "big", signed=True)
+
+
+ENTRIES = 200_000  # entries of a partition of the bands' table
+
+
 def hamming_edges(rows: DataFrame, key: str, bits: str, radius: int = 4, spare: int = 2) -> DataFrame:
     """a < b, distance: pairs of class representatives at most radius bits apart, and membership at distance 0.
 
@@ -37,18 +53,23 @@ def hamming_edges(rows: DataFrame, key: str, bits: str, radius: int = 4, spare:
     to each other member, so copies cost a row each and never their square. The
     representatives are cut into radius + spare bands of bits: those within the
     radius agree in some set of spare bands, so an equality join on (set, its
-    bits) finds all; pairs are verified and then made distinct.
+    bits) finds all; pairs are verified and kept where they meet first, so none
+    repeats. The table of entries has a partition for ENTRIES of them, whatever
+    its compressed size, so a task's sort does not grow with the rows.
     """
     cuts = [64 * b // (radius + spare) for b in range(radius + spare + 1)]
     bands = [(1 << high) - (1 << low) for low, high in zip(cuts, cuts[1:])]
     masks = [sum(c) for c in combinations(bands, spare)]
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
-    classes = rows.groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("id"))
-    keyed = classes.select("id", "h", F.posexplode(F.transform(masks, lambda m: F.col("h").bitwiseAND(m))).alias("set", "part"))
+    classes = materialize(rows.groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("id")), "classes")
+    parts = -(-classes.count() * comb(radius + spare, spare) // ENTRIES)
+    keyed = classes.select("id", "h", F.posexplode(F.transform(masks, lambda m: F.col("h").bitwiseAND(m))).alias("set", "part")).repartition(max(parts, 1), "set", "part")
     left, right = keyed.alias("l"), keyed.alias("r")
     met = left.join(right, (F.col("l.set") == F.col("r.set")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.id") < F.col("r.id")))
     distance = hamming(F.col("l.h"), F.col("r.h")).cast("int")
-    near = met.where(distance <= radius).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), distance.alias("distance")).distinct()
+    agree = F.transform(masks, lambda m: F.col("l.h").bitwiseXOR(F.col("r.h")).bitwiseAND(m) == 0)
+    near = met.where(distance <= radius).where(F.array_position(agree, True) - 1 == F.col("l.set"))
+    near = near.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), distance.alias("distance"))
     members = rows.select(F.col(bits).alias("h"), F.col(key).alias("b")).join(classes, "h").where("id <> b")
     return near.unionByName(members.select(F.col("id").alias("a"), "b", F.lit(0).alias("distance")))
 

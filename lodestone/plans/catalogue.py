@@ -64,11 +64,10 @@ def hash_coin_flip(spark, d):
 
 
 def content_bits(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, content, bits: SimHash of the words of the whole text (0 without words)."""
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content"), F.translate("text", _UPPER, _UPPER.lower()).alias("t"))
-    words = docs.select("doc_id", "content", F.explode_outer(F.filter(F.split("t", " "), lambda w: w != "")).alias("w"))
-    hashed = words.select("doc_id", "content", F.conv(F.substring(F.sha2("w", 256), 1, 16), 16, -10).cast("long").alias("v"))
-    return grouping.simhash_bits(hashed, "v", "doc_id", "content")
+    """doc_id, content, bits: SimHash of the words of the whole text (0 without words); a text is told in its row, and rows are written once."""
+    bits = F.udf(grouping.word_bits, "long", useArrow=True)
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content"), bits("text").alias("bits"))
+    return materialize(docs.distinct(), "bits")
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -172,3 +172,21 @@ def test_effects_need_both_sides(spark):
     for bad in (whole[1:], [*whole, (2, "y", "mild", 2.0)], [*whole[:1], (1, "z", "severe", 4.0)]):
         with pytest.raises(Exception, match="no pair of mild and severe for"):
             found(bad)
+
+
+def test_word_bits_are_those_of_single_words(spark):
+    texts = [None, "", "  ", "a", "A a b", "Ä ä Z\tq  z z", "x " * 500 + "y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    words = rows.select("k", F.explode_outer(F.filter(F.split(F.translate("text", "AZ", "az"), " "), lambda w: w != "")).alias("w"))
+    want = grouping.simhash_bits(words.select("k", F.conv(F.substring(F.sha2("w", 256), 1, 16), 16, -10).cast("long").alias("v")), "v", "k")
+    assert {r.k: r.bits for r in want.collect()} == {k: grouping.word_bits(t) for k, t in enumerate(texts)}
+
+
+def test_hamming_edges_over_many_partitions(spark, monkeypatch):
+    rng = random.Random(9)
+    values = [rng.getrandbits(6) << 58 | rng.getrandbits(4) << 20 for _ in range(150)]
+    rows = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "id long, h long")
+    want = sorted(tuple(r) for r in grouping.hamming_edges(rows, "id", "h").collect())
+    monkeypatch.setattr(grouping, "ENTRIES", 100)
+    assert sorted(tuple(r) for r in grouping.hamming_edges(rows, "id", "h").collect()) == want
+    assert len({(a, b) for a, b, _ in want}) == len(want)
