@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import ids
 from lodestone.functions import scalars as S
@@ -17,6 +22,8 @@ STRENGTH = {
     "resolution": {"sham": 1.0, "mild": 2.0, "moderate": 4.0, "severe": 16.0},
 }
 SEVERITIES = ["sham", "mild", "moderate", "severe"]
+SLICE = 512  # rows that a worker computes together
+TASK = 2048  # rows of a task: a few bytes each, but every condition is computed
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +80,77 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return rows.join(links, "vec_id").join(rows.select(F.col("vec_id").alias("_next"), F.col("e").alias("d")), "_next").drop("_next")
 
 
+def _lists(values: np.ndarray, told: np.ndarray) -> pa.Array:
+    """A list for each row of told: the next row of values where it is true, null elsewhere."""
+    ends = np.cumsum(np.where(told, values.shape[1], 0))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values.reshape(-1)), mask=pa.array(~told))
+
+
+def computed(both: DataFrame, centres: list[tuple[int, list[float]]], temperature: float) -> DataFrame:
+    """Rows (vec_id, label, e, d) under every condition, with p, family, severity, ordinal, strength, t and q.
+
+    Rows are computed together in Arrow batches. What is no plain vector of the
+    centres' length, or has no norm, gets nulls: the column expressions tell it.
+    """
+    c = np.array([x for _, x in centres]) if len({len(x) for _, x in centres}) == 1 else np.zeros((0, 0))
+    size = c.shape[1]
+
+    def tell(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        norm = np.sqrt((x * x).sum(1))
+        told = np.isfinite(norm) & (norm > 0)
+        logits = temperature * (x[told, None, :] * c).sum(2) / norm[told, None]  # no product of matrices: a row's sums depend on no other row
+        e = np.exp(logits - logits.max(1, keepdims=True, initial=-np.inf))
+        return e / e.sum(1, keepdims=True), told
+
+    def change(x: np.ndarray, y: np.ndarray, key: np.ndarray, family: str, strength: float) -> np.ndarray:
+        if family == "gain":
+            return x * (1 + strength * (np.fmod(key[:, None] * 31 + np.arange(size) * 17, 101) / 50.5 - 1))
+        if family == "mix":
+            return (1 - strength) * x + strength * y
+        begins = np.arange(0, size, int(strength))
+        sizes = np.diff(begins, append=size)
+        return np.repeat(np.add.reduceat(x, begins, axis=1) / sizes, sizes, axis=1)
+
+    def plain(row: list | None) -> bool:
+        return size > 0 and row is not None and len(row) == size and None not in row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            e, d = (batch.column(i).to_pylist() for i in (2, 3))
+            key = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            good = np.array([plain(x) and plain(y) for x, y in zip(e, d)]) & (np.abs(key) < 2**57)
+            x, y = (np.array([v for v, g in zip(rows, good) if g], float).reshape(-1, size) for rows in (e, d))
+
+            def whole(found: np.ndarray, told: np.ndarray) -> pa.Array:
+                at = good.copy()
+                at[good] = told
+                return _lists(found, at)
+
+            p = whole(*tell(x))
+            for family, by in STRENGTH.items():
+                for ordinal, severity in enumerate(SEVERITIES):
+                    t = change(x, y, key[good], family, by[severity])
+                    fixed = [pa.array([v] * batch.num_rows, kind) for v, kind in ((family, pa.string()), (severity, pa.string()), (ordinal, pa.int32()), (by[severity], pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, p, *fixed, _lists(t, good), whole(*tell(t))], names)
+
+    vector = T.ArrayType(T.DoubleType())
+    kinds = {"p": vector, "family": T.StringType(), "severity": T.StringType(), "ordinal": T.IntegerType(), "strength": T.DoubleType(), "t": vector, "q": vector}
+    schema = T.StructType([*both.schema.fields, *[T.StructField(k, v) for k, v in kinds.items()]])
+    names = schema.names
+    return both.mapInArrow(run, schema)
+
+
 def pairs(spark: SparkSession, sf_dir: str, temperature: float = 10.0) -> DataFrame:
     """vec_id, label, family, severity, ordinal, e, t (changed), p, q (probabilities before and after)."""
     rows = samples(spark, sf_dir)
     centres = centroids(rows)
-    both = neighbours(rows).withColumn("p", probabilities(F.col("e"), centres, temperature))
-    out = expand(both).withColumn("t", changed(F.col("e"), F.col("d"), F.col("family"), F.col("strength"), F.col("vec_id")))
-    return out.withColumn("q", probabilities(F.col("t"), centres, temperature)).drop("d", "strength")
+    both = neighbours(rows).select("vec_id", "label", "e", "d").repartition(max(1, -(-rows.count() // TASK)), "vec_id")
+    out = computed(both, centres, temperature)
+    if not centres:
+        return out.drop("d", "strength")
+    out = out.withColumn("t", F.coalesce("t", changed(F.col("e"), F.col("d"), F.col("family"), F.col("strength"), F.col("vec_id"))))
+    told = {"p": probabilities(F.col("e"), centres, temperature), "q": probabilities(F.col("t"), centres, temperature)}
+    return out.withColumns({k: F.coalesce(k, v) for k, v in told.items()}).drop("d", "strength")
 
 
 def partner(sources: DataFrame, candidates: DataFrame, purpose: str, same_class: bool, seed: int = 7) -> DataFrame:
