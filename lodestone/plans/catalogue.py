@@ -94,7 +94,7 @@ def neardup_edges(spark, d):
  h AS (SELECT group_key, sha256(coalesce(string_agg(content, chr(10) ORDER BY content), '')) AS group_id FROM g JOIN b USING (doc_id) GROUP BY 1) SELECT doc_id, group_key, group_id FROM g JOIN h USING (group_key)""")
 def dup_components(spark, d):
     rows = content_bits(spark, d)
-    return grouping.duplicate_groups(rows, "doc_id", "content", grouping.hamming_edges(rows, "doc_id", "bits", 4))
+    return grouping.duplicate_groups(rows, "doc_id", "content", grouping.hamming_edges(rows, "doc_id", "bits", 4, forest=True))
 
 
 @query("SELECT label, count(*) AS n, count(DISTINCT vec_id) AS sources FROM embeddings GROUP BY label")
