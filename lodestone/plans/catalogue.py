@@ -63,10 +63,21 @@ def hash_coin_flip(spark, d):
 # --- duplicates, groups and splits -----------------------------------------------------------------------
 
 
+FEW = 1000  # rows of a task that are not worth dealing out
+
+
+def dealt(docs: DataFrame, key: str) -> DataFrame:
+    """docs, dealt out by key where one task would read (a file has few row groups) over a quarter more than its share of the rows; only footers are read for that."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    each = docs.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    rows, most = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return docs.repartition(max(4 * cores, rows // 8192), key) if most > FEW and 4 * most * cores > 5 * rows else docs
+
+
 def content_bits(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, content, bits: SimHash of the words of the whole text (0 without words); a text is told in its row, and rows are written once."""
     bits = F.udf(grouping.word_bits, "long", useArrow=True)
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content"), bits("text").alias("bits"))
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.sha2("text", 256).alias("content"), bits("text").alias("bits"))
     return materialize(docs.distinct(), "bits")
 
 

@@ -5,6 +5,8 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark import TaskContext
+from pyspark.sql import functions as F
 
 from lodestone.operators import grouping
 from lodestone.plans import catalogue
@@ -81,3 +83,12 @@ def test_group_ids_go_on_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert got == {k: hashlib.sha256("\n".join(sorted(c for g, c in members if g == k and c is not None)).encode()).hexdigest() for k, _ in members}
+
+
+def test_a_file_of_one_row_group_is_told_in_many_tasks(spark, monkeypatch, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c"), F.col("id")).alias("text"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(grouping, "word_bits", lambda text: TaskContext.get().partitionId())
+    rows = catalogue.content_bits(spark, str(tmp_path))
+    assert rows.count() == 3000
+    assert rows.select("bits").distinct().count() > 1
